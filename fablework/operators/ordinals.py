@@ -28,6 +28,13 @@ def unit_bucket(u: Column, buckets: int = 65536) -> Column:
     return F.floor(u * F.lit(float(buckets))).cast("bigint")
 
 
+def magnitude_bucket(c: Column, fineness: float = 1e5) -> list[Column]:
+    """Bucket of a double by sign and logarithm: values within about 0.001 % share one."""
+    size = F.floor(F.ln(F.abs(c)) * F.lit(fineness)).cast("bigint")
+    sign = F.when(F.isnan(c), 2).otherwise(F.signum(c).cast("int"))
+    return [sign, F.when(F.isnan(c) | (c == 0), F.lit(0).cast("bigint")).when(c > 0, size).otherwise(-size)]
+
+
 def running_total(
     df: DataFrame,
     group: Sequence[str],
