@@ -1,5 +1,5 @@
 """Registered queries with the SQL each one must agree with."""
 
-from . import annotations, scoring, selection, tokens
+from . import annotations, runs, scoring, selection, tokens
 
-REGISTERED = (annotations, selection, tokens, scoring)
+REGISTERED = (annotations, selection, tokens, scoring, runs)

@@ -78,6 +78,30 @@ def running_total(
     )
 
 
+def running_min(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    bucket: Sequence[Column],
+    value: str,
+    before: str = "min_before",
+) -> DataFrame:
+    """Add the least ``value`` of the earlier rows of the group, null for the first."""
+    group = list(group)
+    names = [f"_bucket{i}" for i in range(len(bucket))]
+    rows = df.select("*", *[b.alias(n) for b, n in zip(bucket, names)])
+    earlier = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        rows.groupBy(*group, *names)
+        .agg(F.min(value).alias("_least"))
+        .select(*group, *names, F.min("_least").over(earlier).alias("_start"))
+    )
+    inside = Window.partitionBy(*group, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("_inside", F.min(value).over(inside))
+    joined = numbered.join(starts, [*group, *names])
+    return joined.select(*df.columns, F.least("_start", "_inside").alias(before))
+
+
 def ordinal(
     df: DataFrame,
     group: Sequence[str],
