@@ -8,7 +8,7 @@ from fablework.functions import uniform
 from fablework.operators import edits, predicates, render
 from fablework.plans import recipes
 from fablework.sources import readers
-from fablework.sources.sample_tables import stories, table
+from fablework.sources.sample_tables import documents_table, stories, table
 
 from . import sql
 
@@ -29,22 +29,22 @@ def stories_view(spark, folder):
 
 
 def shard_index(spark, folder):
-    docs = table(spark, folder, "documents").withColumnRenamed("source", "shard_key")
+    docs = documents_table(spark, folder).withColumnRenamed("source", "shard_key")
     return readers.shard_index(docs)
 
 
 def first_shards(spark, folder):
-    docs = table(spark, folder, "documents").withColumnRenamed("source", "shard_key")
+    docs = documents_table(spark, folder).withColumnRenamed("source", "shard_key")
     return readers.first_shards(docs, 10).select("doc_id", "shard_key", "shard_idx")
 
 
 def early_stop_scan(spark, folder):
-    docs = table(spark, folder, "documents").withColumnRenamed("source", "shard_key")
+    docs = documents_table(spark, folder).withColumnRenamed("source", "shard_key")
     return readers.early_stop_scan(docs, 200).select("doc_id", "shard_key")
 
 
 def random_u01(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", uniform(3, "draw", F.col("doc_id")).alias("u"))
+    return documents_table(spark, folder).select("doc_id", uniform(3, "draw", F.col("doc_id")).alias("u"))
 
 
 def filter_features(spark, folder):
@@ -56,7 +56,7 @@ def filter_words(spark, folder):
 
 
 def filter_length(spark, folder):
-    docs = table(spark, folder, "documents").withColumnRenamed("text", "story")
+    docs = documents_table(spark, folder).withColumnRenamed("text", "story")
     return predicates.keep(docs, "length=100,length!=5000").select("doc_id", F.char_length("story").cast("bigint").alias("chars"))
 
 
@@ -83,7 +83,7 @@ def recipe_counts(spark, folder):
 
 
 def corpus_counts(spark, folder):
-    return table(spark, folder, "documents").agg(
+    return documents_table(spark, folder).agg(
         F.count(F.lit(1)).alias("stories"), F.countDistinct("source").alias("shards")
     )
 
@@ -111,7 +111,7 @@ def edit_pipeline(spark, folder):
 
 
 def pick_sentence(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = documents_table(spark, folder)
     return docs.select("doc_id", render.picked_sentence(F.col("text"), F.col("doc_id"), 1).alias("sentence"))
 
 

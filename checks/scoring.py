@@ -8,7 +8,7 @@ from fablework.functions import uniform
 from fablework.operators import metrics, parse, scoring, splits
 from fablework.plans import scoring_job
 from fablework.sources import readers
-from fablework.sources.sample_tables import class_logits, generations, labelled, probe_logits, responses, table
+from fablework.sources.sample_tables import class_logits, documents_table, generations, labelled, probe_logits, responses, table
 
 from . import sql
 from .selection import _MARKERS
@@ -18,7 +18,7 @@ MODEL = "rule-model"
 
 
 def _docs(spark, folder):
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("story_id"), F.col("text").alias("story"))
+    return documents_table(spark, folder).select(F.col("doc_id").alias("story_id"), F.col("text").alias("story"))
 
 
 def _prompts(spark, folder):
@@ -62,7 +62,7 @@ def eval_set(spark, folder):
 
 
 def shot_blocks(spark, folder):
-    texts = table(spark, folder, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("value"))
+    texts = documents_table(spark, folder).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("value"))
     return readers.shot_blocks(texts, 2).select("doc_id", "shots")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fablework.operators import blocks, parse, predicates, sampling, splits
 from fablework.operators.render import render
-from fablework.sources.sample_tables import class_logits, generations, labelled, stories, table
+from fablework.sources.sample_tables import class_logits, documents_table, generations, labelled, stories, table
 
 from . import sql
 from .annotations import _ALL_KEYS, _text_sql
@@ -16,7 +16,7 @@ T = sql.with_views(sql.STORIES, TEXTS)
 
 
 def _docs(spark, folder):
-    return table(spark, folder, "documents").select(
+    return documents_table(spark, folder).select(
         F.col("source").alias("shard_key"), F.col("doc_id").alias("story_id")
     )
 
@@ -103,7 +103,7 @@ def work_chunks(spark, folder):
 
 
 def _blocks(spark, folder):
-    lengths = table(spark, folder, "documents").select(
+    lengths = documents_table(spark, folder).select(
         F.col("source").alias("shard_key"), F.col("n_chars").alias("length")
     )
     totals = lengths.groupBy("shard_key").agg(F.sum("length").alias("total"))
@@ -144,7 +144,7 @@ def sample_top_k(spark, folder):
 
 
 def head_rows(spark, folder):
-    longest = table(spark, folder, "documents").select("doc_id", "n_chars")
+    longest = documents_table(spark, folder).select("doc_id", "n_chars")
     return sampling.head(longest, 25, F.desc("n_chars"), "doc_id")
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fablework.operators import blocks, tokens
+from fablework.operators.metrics import bce_by_layer, probe_accuracy
+from fablework.operators.probes import fit_probes, probe_outputs
+from fablework.plans import corpus_build, recipes
 from fablework.session import cut_lineage
-from fablework.sources.sample_tables import document_words, table
+from fablework.sources.sample_tables import document_words, documents_table, stories, table
 
-from . import sql
+from . import annotations, sql
 
 SIZE = 8192
 
@@ -80,22 +83,21 @@ def bpe_pair_step(spark, folder):
 
 
 def _text_counts(spark, folder):
-    docs = table(spark, folder, "documents").select(tokens.chunks(F.col("text")).alias("words"))
-    return cut_lineage(tokens.word_counts(docs))
+    return corpus_build.chunk_counts(documents_table(spark, folder))
 
 
 def bpe_vocab(spark, folder):
     counts = _text_counts(spark, folder)
-    merges, _ = tokens.learn_merges(counts, 64)
+    merges, _ = tokens.learn_merges(counts, 24)
     return tokens.bpe_vocabulary(counts, merges)
 
 
 def bpe_round_trip(spark, folder):
     counts = _text_counts(spark, folder)
-    merges, _ = tokens.learn_merges(counts, 32)
+    merges, _ = tokens.learn_merges(counts, 8)
     vocab = tokens.bpe_vocabulary(counts, merges)
     ids = cut_lineage(tokens.word_ids(tokens.merge_words(counts, merges), vocab))
-    texts = table(spark, folder, "documents").select("doc_id", "text")
+    texts = documents_table(spark, folder).select("doc_id", "text")
     encoded = tokens.encode_text(texts, ids, counts, keys=("doc_id",))
     return tokens.decode_tokens(encoded, vocab, keys=("doc_id",))
 
@@ -112,7 +114,29 @@ def max_piece(spark, folder):
     return _counts(spark, folder).agg(F.max(F.octet_length("w")).alias("max_length"))
 
 
+def build_tokens(spark, folder):
+    """Filter, inject, render, learn the word vocabulary, encode: one dataset end to end."""
+    texts = recipes.build_text(stories(spark, folder), "filter-adv-Twist")
+    encoded = corpus_build.word_tokens(texts, corpus_build.word_vocabulary(texts, SIZE))
+    return encoded.select("shard_key", "story_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+def linear_probe(spark, folder):
+    """Six probes on the whole vectors as layer 0 and on their second half as layer 1."""
+    e = table(spark, folder, "embeddings")
+    target = F.array(*[(F.col("label") % 6 == f).cast("int") for f in range(6)])
+    rows = e.select(F.col("vec_id").alias("example_id"), F.col("embedding").cast("array<double>").alias("v"), target.alias("target"))
+    vectors = rows.select("example_id", F.lit(0).alias("layer"), F.col("v").alias("vector"), "target").unionByName(
+        rows.select("example_id", F.lit(1).alias("layer"), F.slice("v", 33, 32).alias("vector"), "target")
+    )
+    outputs = probe_outputs(vectors, fit_probes(vectors, [0, 1]))
+    loss = bce_by_layer(outputs).filter(F.col("layer").isNotNull())
+    return probe_accuracy(outputs).filter(F.col("layer").isNotNull()).join(loss, "layer")
+
+
 QUERIES = {
+    "build_tokens": build_tokens,
+    "linear_probe": linear_probe,
     "word_freq": word_freq,
     "rank_vocab": rank_vocab,
     "encode_words": encode_words,
@@ -153,7 +177,18 @@ blocks AS (SELECT shard_key, CAST(block AS BIGINT) block, list(token ORDER BY po
  WHERE block < total//{length}-1 GROUP BY shard_key, block)"""
 
 
+_BUILD = annotations.SQL["recipe_filter_adv_Twist"]
+_BUILT = f"""built AS (SELECT d.source shard_key, t.story_id, {sql.words('t.text')} ws FROM
+ (SELECT q.story_id, q.text FROM ({_BUILD}) q) t JOIN documents d ON d.doc_id=t.story_id),
+bw AS (SELECT shard_key, story_id, CAST(unnest(range(len(ws))) AS BIGINT) pos, unnest(ws) w FROM built),
+first_ten AS (SELECT DISTINCT shard_key FROM built ORDER BY shard_key LIMIT 10),
+bv AS (SELECT w, CAST(row_number() OVER (ORDER BY c DESC, w)+258 AS INTEGER) id FROM
+ (SELECT w, count(*) c FROM bw WHERE shard_key IN (SELECT shard_key FROM first_ten) GROUP BY w) q)"""
+
 SQL = {
+    "build_tokens": f"""WITH {_BUILT}
+SELECT shard_key, story_id, concat_ws(' ', '1', array_to_string(list(CASE WHEN v.id<{SIZE} THEN v.id ELSE 0 END ORDER BY pos),' ')) tokens
+ FROM bw LEFT JOIN bv v ON bw.w=v.w GROUP BY shard_key, story_id""",
     "word_freq": V + "SELECT w, CAST(c AS BIGINT) c FROM vocab",
     "rank_vocab": V + f"SELECT w, CAST(c AS BIGINT) c, id FROM vocab WHERE id < {SIZE}",
     "encode_words": sql.with_views(sql.TOKENS, _LISTS) + "SELECT shard_key, story_id, array_to_string(tokens,' ') tokens FROM lists",

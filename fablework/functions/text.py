@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The code points counted as white space when a text is stripped.
@@ -34,3 +34,13 @@ def capitalise(c: Column) -> Column:
 def word_list(c: Column) -> Column:
     """Lower-case runs of letters, in order."""
     return F.filter(F.split(F.lower(c), r"[^\p{L}]+", -1), lambda w: w != "")
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later steps use more than once.
+
+    Merged projections and pushed-down filters would copy its expression to every use. A
+    generator of one element is a border they do not cross.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))

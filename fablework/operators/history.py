@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import computed_once
 from ..session import broadcast_within
 from .ordinals import id_bucket, ordinal, running_min, with_halo
 
@@ -65,7 +66,7 @@ def smoothed(
         F.transform(F.sequence(-turns, turns), lambda m: F.array(i + n * 2 * m, n * 2 * m - i - 1))
     )
     near = F.filter(images, lambda p: (p >= -radius) & (p < n + radius))
-    spread = rows.withColumn("_p", F.explode(near))
+    spread = computed_once(rows, "_near", near).withColumn("_p", F.explode("_near")).drop("_near")
     chunked = with_halo(spread, "_p", max(chunk_rows, radius), radius, radius, "_chunk", "_own")
     line = Window.partitionBy(KEY, "_chunk").orderBy("_p")
     terms: Column = F.lit(0.0)

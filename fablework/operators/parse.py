@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import strip
+from ..functions import computed_once, strip
 from .render import INSTRUCTION_KEYS, STORY_PREFIX
 
 # Feature names in label order, the story marker, the instruction markers.
@@ -52,11 +52,12 @@ def labelled_stories(df: DataFrame, strict: bool = False) -> DataFrame:
 
     ``unknown`` lists feature names outside the fixed six; ``strict`` makes them an error.
     """
-    parsed = df.select(
-        "*",
-        extract_story(F.col("text")).alias("story"),
-        extract_features(F.col("text")).alias("names"),
-    ).filter(F.col("story").isNotNull() & F.col("names").isNotNull())
+    parts = F.struct(extract_story(F.col("text")).alias("story"), extract_features(F.col("text")).alias("names"))
+    parsed = (
+        computed_once(df, "_parts", parts)
+        .filter(F.col("_parts.story").isNotNull() & F.col("_parts.names").isNotNull())
+        .select(*df.columns, "_parts.story", "_parts.names")
+    )
     unknown = unknown_features(F.col("names"))
     if strict:
         unknown = F.when(F.size(unknown) == 0, unknown).otherwise(
@@ -68,7 +69,7 @@ def labelled_stories(df: DataFrame, strict: bool = False) -> DataFrame:
 def prefix_rows(df: DataFrame) -> DataFrame:
     """Generation prompts and targets; rows without a story marker are dropped."""
     prefix, target = split_prefix(F.col("text"))
-    return df.select("*", prefix.alias("prefix"), target.alias("target")).filter(F.col("target").isNotNull())
+    return computed_once(df.withColumn("prefix", prefix), "target", target).filter(F.col("target").isNotNull())
 
 
 def clean_generation(text: Column) -> Column:

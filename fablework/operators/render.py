@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import capitalise, one_line, strip, uniform
+from ..functions import capitalise, computed_once, one_line, strip, uniform
 
 # Names of the instruction lines and of the story line.
 INSTRUCTION_KEYS = ("Words", "Features", "Summary", "Sentence")
@@ -20,30 +20,33 @@ def sentence_candidates(story: Column) -> Column:
     return F.filter(F.split(story, "[.!?]", -1), lambda s: ~F.contains(s, F.lit('"')))
 
 
-def picked_sentence(story: Column, key: Column, seed: int = 0, purpose: str = "sentence") -> Column:
+def choose_sentence(candidates: Column, key: Column, seed: int = 0, purpose: str = "sentence") -> Column:
     """One candidate drawn by hash, stripped, without line breaks; null if there is none."""
     u = uniform(seed, purpose, key)
-    # the lambda argument keeps the candidate list from being computed twice
-    chosen = F.transform(
-        F.array(sentence_candidates(story)),
-        lambda c: F.try_element_at(c, F.floor(u * F.size(c)).cast("int") + F.lit(1)),
-    )
-    return one_line(F.element_at(chosen, 1))
+    return one_line(F.try_element_at(candidates, F.floor(u * F.size(candidates)).cast("int") + F.lit(1)))
+
+
+def picked_sentence(story: Column, key: Column, seed: int = 0, purpose: str = "sentence") -> Column:
+    """``choose_sentence`` straight from the story; the lambda splits it only once."""
+    chosen = F.transform(F.array(sentence_candidates(story)), lambda c: choose_sentence(c, key, seed, purpose))
+    return F.element_at(chosen, 1)
 
 
 def instruction_lines(seed: int = 0) -> dict[str, Column]:
-    """Value of each instruction line."""
+    """Value of each instruction line of a ``renderable`` row."""
+    picked = choose_sentence(F.col("candidates"), F.col("story_id"), seed)
     return {
         "Words": F.array_join("words", ", "),
         "Features": F.array_join(F.transform("features", capitalise), ", "),
         "Summary": one_line(F.col("summary")),
-        "Sentence": F.coalesce(F.col("sentence"), picked_sentence(F.col("story"), F.col("story_id"), seed)),
+        "Sentence": F.coalesce(F.col("sentence"), picked),
     }
 
 
 def renderable(df: DataFrame) -> DataFrame:
-    """Rows with at least one sentence to pick; the others cannot be rendered."""
-    return df.filter(F.size(sentence_candidates(F.col("story"))) > 0)
+    """Rows with a sentence to pick, and their ``candidates``; others cannot be rendered."""
+    found = computed_once(df, "candidates", sentence_candidates(F.col("story")))
+    return found.filter(F.size("candidates") > 0)
 
 
 def render_counts(df: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def render_counts(df: DataFrame) -> DataFrame:
 
 
 def training_text(subset: str | list[str] | None = None, seed: int = 0) -> Column:
-    """Instruction lines in hashed order, then the story line, the whole stripped."""
+    """Text of a ``renderable`` row: lines in hashed order, then the story, the whole stripped."""
     wanted = subset.split(",") if isinstance(subset, str) else list(subset or INSTRUCTION_KEYS)
     lines = [
         F.struct(
@@ -74,4 +77,5 @@ def training_text(subset: str | list[str] | None = None, seed: int = 0) -> Colum
 
 def render(df: DataFrame, subset: str | list[str] | None = None, seed: int = 0) -> DataFrame:
     """``(shard_key, story_id, text)`` of every row that can be rendered."""
-    return renderable(df).select("shard_key", "story_id", training_text(subset, seed).alias("text"))
+    rows = computed_once(renderable(df), "text", training_text(subset, seed))
+    return rows.select("shard_key", "story_id", "text")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import word_list
+from ..functions import computed_once, word_list
 from ..session import cut_lineage
 
 # Special ids, the byte range, the piece that stands for a blank, id limit.
@@ -36,7 +36,10 @@ LITERAL_MERGES = 64
 
 
 def word_counts(words: DataFrame, column: str = "words") -> DataFrame:
-    """``(w, c)`` over all rows of word lists; counted before the shuffle."""
+    """``(w, c)`` over all rows of word lists; counted before the shuffle.
+
+    Give the lists as a stored column or by ``computed_once``.
+    """
     return words.select(F.explode(column).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
 
 
@@ -94,8 +97,8 @@ def chunks(text: Column) -> Column:
 
 
 def _pieces(word: Column) -> Column:
-    """``‹a›‹b›`` as an array of pieces."""
-    return F.split(F.substr(word, F.lit(2), F.length(word) - 2), CLOSE + OPEN, -1)
+    """``‹a›‹b›`` as an array of pieces; splitting at one character needs no regex."""
+    return F.split(F.trim(F.translate(word, OPEN, ""), F.lit(CLOSE)), CLOSE, -1)
 
 
 def _spread(word: Column) -> Column:
@@ -108,13 +111,18 @@ def pair_counts(words: DataFrame) -> DataFrame:
 
     ``words`` has ``pieces`` (array) and ``c``.
     """
-    pieces = F.col("pieces")
-    pairs = F.arrays_zip(
-        F.slice(pieces, 1, F.size(pieces) - 1).alias("left"), F.slice(pieces, F.lit(2), F.size(pieces) - 1).alias("right")
+    # the lambda argument keeps the pieces from being computed for each of their uses
+    pairs = F.transform(
+        F.array("pieces"),
+        lambda p: F.zip_with(
+            F.slice(p, 1, F.size(p) - 1),
+            F.slice(p, 2, F.size(p) - 1),
+            lambda left, right: F.struct(left.alias("left"), right.alias("right")),
+        ),
     )
     return (
-        words.filter(F.size("pieces") > 1)
-        .select("c", F.explode(pairs).alias("p"))
+        computed_once(words.select("c", "pieces"), "pairs", F.element_at(pairs, 1))
+        .select("c", F.explode("pairs").alias("p"))
         .groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right"))
         .agg(F.sum("c").alias("c"))
     )
@@ -153,7 +161,7 @@ def independent_prefix(
 
 
 def learn_merges(
-    counts: DataFrame, merges: int, candidates: int = 256, keep_every: int = 16
+    counts: DataFrame, merges: int, candidates: int = 256, keep_every: int = 8
 ) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """The first ``merges`` pair merges over the distinct-word table ``(w, c)``.
 
@@ -165,7 +173,9 @@ def learn_merges(
     rewritten table ``(w, c, word)``.
     """
     plain = counts.filter(~F.col("w").rlike(f"[{OPEN}{CLOSE}]"))
-    table = cut_lineage(plain.select("w", "c", _spread(F.col("w")).alias("word")))
+    # a fixed number of partitions: every round works on few bytes but all cores
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    table = cut_lineage(plain.select("w", "c", _spread(F.col("w")).alias("word")).repartition(cores))
     found: list[tuple[str, str, int]] = []
     known: set[str] = set()
     rounds = 0
@@ -197,8 +207,9 @@ def learn_merges(
 
 def character_counts(counts: DataFrame) -> DataFrame:
     """``(piece, c)`` of single characters over the distinct-word table."""
+    spelled = computed_once(counts, "letters", F.regexp_extract_all("w", F.lit(r"([\s\S])"), F.lit(1)))
     return (
-        counts.select("c", F.explode(F.regexp_extract_all("w", F.lit(r"([\s\S])"), F.lit(1))).alias("piece"))
+        spelled.select("c", F.explode("letters").alias("piece"))
         .groupBy("piece")
         .agg(F.sum("c").alias("c"))
     )
@@ -291,7 +302,8 @@ def encode_text(
     broadcast, a bounded list, and never shuffled by word; only the rest is joined by
     word, and no word of it is frequent enough to weigh down a task.
     """
-    spread = texts.select(*keys, F.posexplode(chunks(F.col(text))).alias("pos", "w"))
+    cut = computed_once(texts.select(*keys, text), "_chunks", chunks(F.col(text)))
+    spread = cut.select(*keys, F.posexplode("_chunks").alias("pos", "w"))
     hot = most_frequent(counts, frequent).select("w")
     hot_ids = F.broadcast(ids.join(F.broadcast(hot), "w", "left_semi"))
     near = spread.join(hot_ids, "w")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import uniform, word_list
+from ..functions import computed_once, uniform, word_list
 from ..operators.ordinals import id_bucket, ordinal
 
 MODEL = "rule-model"
@@ -23,6 +23,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def documents_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, spread over the cores when the scan alone would leave some idle.
+
+    A small file with a single row group is read by one task, which would then do all the
+    text work. A large input has more splits than there are cores and stays where it is.
+    """
+    found = table(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores, "doc_id") if found.rdd.getNumPartitions() < cores else found
+
+
 def _present(*items: Column) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
@@ -34,13 +45,11 @@ def stories(spark: SparkSession, folder: str) -> DataFrame:
     the length and the last character. The summary is the first line; labelled documents
     also carry their last line as the sentence to use.
     """
-    documents = table(spark, folder, "documents")
+    documents = documents_table(spark, folder)
     labels = table(spark, folder, "labels")
-    words = word_list(F.col("text"))
     lines = F.split("text", "\n", -1)
     return (
-        documents.join(labels, "doc_id", "left")
-        .withColumn("_w", words)
+        computed_once(documents.join(labels, "doc_id", "left"), "_w", word_list(F.col("text")))
         .select(
             F.col("doc_id").alias("story_id"),
             F.col("source").alias("shard_key"),
@@ -62,11 +71,10 @@ def stories(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_words(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as ordered word lists."""
-    return table(spark, folder, "documents").select(
-        F.col("source").alias("shard_key"),
-        F.col("doc_id").alias("story_id"),
-        word_list(F.col("text")).alias("words"),
+    named = documents_table(spark, folder).select(
+        F.col("source").alias("shard_key"), F.col("doc_id").alias("story_id"), "text"
     )
+    return computed_once(named, "words", word_list(F.col("text"))).drop("text")
 
 
 def history(spark: SparkSession, folder: str) -> DataFrame:
