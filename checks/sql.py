@@ -108,7 +108,7 @@ RESPONSES = f"""responses AS (
 PROBES = """probe_logits AS (
  SELECT vec_id example_id, CAST(i // 6 AS INTEGER) layer, CAST(i % 6 AS INTEGER) feature,
   CAST(embedding[i+1] AS DOUBLE)*10 logit, CASE WHEN label%6=i%6 THEN 1 ELSE 0 END target
- FROM embeddings, (SELECT unnest(range(60)) i) s)"""
+ FROM embeddings, (SELECT unnest(range(64)) i) s)"""
 
 CLASS_LOGITS = """class_logits AS (
  SELECT vec_id example_id, label, CAST(unnest(range(len(embedding))) AS BIGINT) class_id,

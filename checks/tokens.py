@@ -66,12 +66,12 @@ def next_token(spark, folder):
 
 def left_pad(spark, folder):
     encoded = _encoded(spark, folder)
-    place = F.col("story_id") % 8
+    # batches of eight stories; the filler is a story without BOS, closed by a line break
     rows = encoded.select(
         F.shiftright("story_id", 3).alias("batch_id"),
-        place.alias("place"),
+        (F.col("story_id") % 8).alias("place"),
         "tokens",
-        F.slice("tokens", F.lit(1), F.greatest(F.lit(1), F.floor(F.size("tokens") / 4).cast("int"))).alias("suffix"),
+        F.array_append(F.slice("tokens", F.lit(2), F.size("tokens")), F.lit(tokens.FIRST_BYTE + 10)).alias("suffix"),
     )
     padded = blocks.pad_left(rows)
     return padded.select("batch_id", "place", F.array_join("padded", " ").alias("padded"))
@@ -159,7 +159,7 @@ T = sql.with_views(sql.TOKENS)
 _LISTS = """lists AS (SELECT shard_key, story_id, list(token ORDER BY pos) tokens FROM tokens GROUP BY shard_key, story_id)"""
 # row i of a batch of n: the suffixes i+1, i+2, … to the left, as often as tokens are missing
 _PAD = """rowed AS (SELECT story_id>>3 batch_id, story_id%8 place, tokens,
-  tokens[1:greatest(1, len(tokens)//4)] suffix FROM lists),
+  list_append(tokens[2:], 13) suffix FROM lists),
 sized AS (SELECT *, max(len(tokens)) OVER (PARTITION BY batch_id) width FROM rowed),
 ring AS (SELECT batch_id, list(suffix ORDER BY place) ring, CAST(sum(len(suffix)) AS BIGINT) ring_size FROM sized GROUP BY batch_id),
 turned AS (SELECT s.batch_id, s.place, s.tokens, s.width-len(s.tokens) missing, ring_size,

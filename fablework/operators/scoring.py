@@ -98,10 +98,13 @@ def cached(prompts: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def missing(prompts: DataFrame, cache: DataFrame) -> DataFrame:
-    """Distinct prompts without a cached score."""
-    return (
-        prompts.select("cache_id", "prompt").join(cache.select("cache_id"), "cache_id", "left_anti").dropDuplicates(["cache_id"])
-    )
+    """Distinct prompts without a cached score.
+
+    Copies are dropped in every task before the shuffle; what is left is spread by a key
+    of which each value occurs once.
+    """
+    distinct = prompts.select("cache_id", "prompt").dropDuplicates(["cache_id"])
+    return distinct.join(cache.select("cache_id"), "cache_id", "left_anti")
 
 
 def score_prompts(prompts: DataFrame, scorer: Scorer, parallel: int | None = None) -> DataFrame:

@@ -34,13 +34,7 @@ STORY_SCHEMA = T.StructType(
 
 
 def shape_stories(raw: DataFrame) -> DataFrame:
-    """Parsed shard rows as stories; unreadable records are left out.
-
-    ``story_id`` combines the file name with a content hash-free running position: the
-    reader keeps array order inside a file, so the id is the file's rank in the high bits
-    and the position in the low ones. Files are one task each, as a JSON array cannot be
-    split.
-    """
+    """Parsed shard rows as stories; unreadable records are left out."""
     return raw.filter(F.col("_corrupt_record").isNull()).select(
         "shard_key",
         "story_id",
@@ -53,7 +47,12 @@ def shape_stories(raw: DataFrame) -> DataFrame:
 
 
 def read_story_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Stories of a folder of JSON-array shards, in the file order of each shard."""
+    """Stories of a folder of JSON-array shards, in the file order of each shard.
+
+    A JSON array cannot be split, so a file is read by one task and its rows keep their
+    order; ``story_id`` grows along it. Write the result as a table before it is used
+    again with other files or settings: the ids number the rows of this read.
+    """
     raw = (
         spark.read.schema(STORY_SCHEMA)
         .option("multiLine", True)
@@ -136,13 +135,13 @@ def read_token_bins(spark: SparkSession, folder: str, piece: int = 1 << 20) -> D
 
 
 def read_version_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Tables stored as ``v=N/*.json`` with ``columns`` and ``data``.
+    """Tables stored below ``v=N`` folders as documents with ``columns`` and ``data``.
 
     Versions count as long as none is missing: reading stops before the first gap. Rows
     come back as a map from column name to value.
     """
     raw = (
-        spark.read.schema("columns array<string>, data array<array<string>>, v int")
+        spark.read.schema("columns array<string>, data array<array<string>>, start bigint, v int")
         .option("multiLine", True)
         .json(folder)
     )
@@ -167,11 +166,10 @@ def contiguous_versions(df: DataFrame, version: str) -> DataFrame:
 
 def version_rows(df: DataFrame, version: str = "v") -> DataFrame:
     """One row per table row, values keyed by column name."""
+    place = F.coalesce("start", F.lit(0)) + F.col("pos")
     return df.select(
-        F.col(version).alias("version"), "columns", F.posexplode("data").alias("row_idx", "cells")
-    ).select(
-        "version", F.col("row_idx").cast("bigint").alias("row_idx"), F.map_from_arrays("columns", "cells").alias("row")
-    )
+        F.col(version).alias("version"), "columns", "start", F.posexplode("data").alias("pos", "cells")
+    ).select("version", place.alias("row_idx"), F.map_from_arrays("columns", "cells").alias("row"))
 
 
 VOCAB_SCHEMA = "piece string, score double"

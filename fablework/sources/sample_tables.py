@@ -162,9 +162,9 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def probe_logits(spark: SparkSession, folder: str, layers: int = 10, features: int = 6) -> DataFrame:
-    """Probe outputs in long form; consecutive embedding entries serve as logits."""
-    slots = F.posexplode(F.slice("embedding", 1, layers * features))
+def probe_logits(spark: SparkSession, folder: str, features: int = 6) -> DataFrame:
+    """Probe outputs in long form; each six embedding entries serve as a layer's logits."""
+    slots = F.posexplode("embedding")
     flat = table(spark, folder, "embeddings").select("vec_id", "label", slots.alias("slot", "entry"))
     feature = (F.col("slot") % features).cast("int")
     return flat.select(

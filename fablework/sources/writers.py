@@ -25,14 +25,15 @@ def dataset_path(root: str, vocab_size: int, dataset_name: str) -> str:
 
 
 def write_tokens(encoded: DataFrame, root: str, vocab_size: int, dataset_name: str) -> str:
-    """A tokenized dataset, one folder per shard.
+    """A tokenized dataset, one folder per shard, with the length of each story.
 
     Rows are laid out by shard and story first: a task then writes few folders, and a big
     shard is written by many tasks.
     """
     path = dataset_path(root, vocab_size, dataset_name)
     (
-        encoded.withColumn("tokens", in_id_range(F.col("tokens")))
+        encoded.select("shard_key", "story_id", in_id_range(F.col("tokens")).alias("tokens"))
+        .withColumn("n_tokens", F.size("tokens"))
         .repartitionByRange("shard_key", "story_id")
         .sortWithinPartitions("shard_key", "story_id")
         .write.mode("overwrite")
@@ -45,7 +46,7 @@ def write_tokens(encoded: DataFrame, root: str, vocab_size: int, dataset_name: s
 def read_tokens(spark: SparkSession, root: str, vocab_size: int, dataset_name: str) -> DataFrame:
     """A tokenized dataset; a filter on ``shard_key`` reads only its folders."""
     return (
-        spark.read.schema("story_id bigint, tokens array<int>, shard_key string")
+        spark.read.schema("story_id bigint, tokens array<int>, n_tokens int, shard_key string")
         .parquet(dataset_path(root, vocab_size, dataset_name))
     )
 
@@ -65,6 +66,7 @@ def write_chat_lines(rows: DataFrame, path: str) -> None:
     rows.select("messages").write.mode("overwrite").json(path)
 
 
+ROW_BITS = 14
 SCORE_SCHEMA = "cache_id string, score double, content string"
 
 
@@ -83,18 +85,24 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 
 def write_version_tables(rows: DataFrame, columns: list[str], path: str) -> None:
-    """Generation tables as ``v=N`` folders with one ``{columns, data}`` document each.
+    """Generation tables as ``v=N/part=M`` folders with one ``{columns, data}`` document each.
 
-    A version is one table logged at one evaluation, which is what its document holds.
+    A table of up to ``2**ROW_BITS`` rows is one document. A larger one is cut into parts,
+    each with the number of its first row in ``start``, so no document outgrows a task.
     """
     cells = F.array(*[F.col(c).cast("string") for c in columns])
     ordered = F.array_sort(F.collect_list(F.struct("row_idx", cells.alias("cells"))))
-    documents = rows.groupBy(F.col("version").alias("v")).agg(
+    part = F.shiftright("row_idx", ROW_BITS)
+    documents = rows.groupBy(F.col("version").alias("v"), part.alias("part")).agg(
         F.to_json(
-            F.struct(F.array(*[F.lit(c) for c in columns]).alias("columns"), ordered["cells"].alias("data"))
+            F.struct(
+                F.array(*[F.lit(c) for c in columns]).alias("columns"),
+                ordered["cells"].alias("data"),
+                F.min("row_idx").alias("start"),
+            )
         ).alias("value")
     )
-    documents.write.mode("overwrite").partitionBy("v").text(path)
+    documents.write.mode("overwrite").partitionBy("v", "part").text(path)
 
 
 def write_vocabulary(vocab: DataFrame, path: str) -> None:
