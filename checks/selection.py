@@ -56,7 +56,7 @@ def generation_table(spark, folder):
     texts = parse.prefix_rows(_texts(spark, folder))
     # a few stories per list: the lists of one step of generation
     grouped = texts.groupBy(F.shiftright("story_id", 3).alias("step")).agg(
-        F.array_sort(F.collect_list(F.struct("story_id", "prefix", "target"))).alias("rows")
+        F.sort_array(F.collect_list(F.struct("story_id", "prefix", "target"))).alias("rows")
     )
     lists = grouped.select(
         "step",

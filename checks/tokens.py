@@ -116,8 +116,9 @@ def max_piece(spark, folder):
 
 def build_tokens(spark, folder):
     """Filter, inject, render, learn the word vocabulary, encode: one dataset end to end."""
-    texts = recipes.build_text(stories(spark, folder), "filter-adv-Twist")
-    encoded = corpus_build.word_tokens(texts, corpus_build.word_vocabulary(texts, SIZE))
+    view = stories(spark, folder)
+    vocab = corpus_build.word_vocabulary(corpus_build.vocabulary_texts(view), SIZE)
+    encoded = corpus_build.word_tokens(recipes.build_text(view, "filter-adv-Twist"), vocab)
     return encoded.select("shard_key", "story_id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -178,12 +179,14 @@ blocks AS (SELECT shard_key, CAST(block AS BIGINT) block, list(token ORDER BY po
 
 
 _BUILD = annotations.SQL["recipe_filter_adv_Twist"]
+_ALL = sql.with_views(sql.STORIES) + annotations._text_sql("stories", annotations._ALL_KEYS, 0)
 _BUILT = f"""built AS (SELECT d.source shard_key, t.story_id, {sql.words('t.text')} ws FROM
  (SELECT q.story_id, q.text FROM ({_BUILD}) q) t JOIN documents d ON d.doc_id=t.story_id),
 bw AS (SELECT shard_key, story_id, CAST(unnest(range(len(ws))) AS BIGINT) pos, unnest(ws) w FROM built),
-first_ten AS (SELECT DISTINCT shard_key FROM built ORDER BY shard_key LIMIT 10),
+sample AS (SELECT {sql.words('t.text')} ws FROM (SELECT q.story_id, q.text FROM ({_ALL}) q) t
+ JOIN documents d ON d.doc_id=t.story_id WHERE d.source IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 10)),
 bv AS (SELECT w, CAST(row_number() OVER (ORDER BY c DESC, w)+258 AS INTEGER) id FROM
- (SELECT w, count(*) c FROM bw WHERE shard_key IN (SELECT shard_key FROM first_ten) GROUP BY w) q)"""
+ (SELECT w, count(*) c FROM (SELECT unnest(ws) w FROM sample) u GROUP BY w) q)"""
 
 SQL = {
     "build_tokens": f"""WITH {_BUILT}

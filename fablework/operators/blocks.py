@@ -53,7 +53,7 @@ def _windows(stream: DataFrame, length: int, span: int, *extra: Column) -> DataF
     )
     return pieces.groupBy("shard_key", "block").agg(
         F.first("total").alias("total"),
-        F.flatten(F.array_sort(F.collect_list(F.struct("at", "piece")))["piece"]).alias("tokens"),
+        F.flatten(F.sort_array(F.collect_list(F.struct("at", "piece")))["piece"]).alias("tokens"),
         *extra,
     )
 
@@ -120,7 +120,7 @@ def pad_left(rows: DataFrame, batch: str = "batch_id", place: str = "place") ->
     the caller sets.
     """
     gathered = rows.groupBy(batch).agg(
-        F.array_sort(F.collect_list(F.struct(place, "tokens", "suffix"))).alias("members")
+        F.sort_array(F.collect_list(F.struct(place, "tokens", "suffix"))).alias("members")
     )
     longest = F.array_max(F.transform("members", lambda m: F.size(m["tokens"])))
     ringed = gathered.select(

@@ -130,4 +130,4 @@ def mean_pool(vectors: DataFrame, seq: str, position: str, vector: str, last: in
     tail = vectors.select(seq, position, vector).withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= last)
     entries = tail.select(seq, F.posexplode(vector).alias("dim", "entry"))
     means = entries.groupBy(seq, "dim").agg(F.avg("entry").alias("entry"))
-    return means.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct("dim", "entry")))["entry"].alias("pooled"))
+    return means.groupBy(seq).agg(F.sort_array(F.collect_list(F.struct("dim", "entry")))["entry"].alias("pooled"))

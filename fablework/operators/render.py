@@ -71,7 +71,7 @@ def training_text(subset: str | list[str] | None = None, seed: int = 0) -> Colum
     story_line = F.concat(F.lit(STORY_PREFIX), strip(F.col("story")))
     if not lines:
         return strip(story_line)
-    ordered = F.transform(F.array_sort(F.array(*lines)), lambda s: s["line"])
+    ordered = F.transform(F.sort_array(F.array(*lines)), lambda s: s["line"])
     return strip(F.array_join(F.array_append(ordered, story_line), "\n"))
 
 

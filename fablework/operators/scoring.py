@@ -69,7 +69,7 @@ def join_shots(shots: DataFrame, seed: int = 0) -> DataFrame:
     """
     block = shot_block(F.col("story"), F.col("summary"), F.col("label"))
     keyed = F.struct(uniform(seed, "shot", F.col("story_id")).alias("u"), "story_id", block.alias("block"))
-    return shots.agg(F.array_join(F.array_sort(F.collect_list(keyed))["block"], "\n").alias("shots"))
+    return shots.agg(F.array_join(F.sort_array(F.collect_list(keyed))["block"], "\n").alias("shots"))
 
 
 def few_shot_prompt(story: Column, question: str, shots: DataFrame) -> Column:

@@ -73,12 +73,17 @@ def encode_words(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     they are sent to the story's place.
     """
     small = F.broadcast(vocab.select(F.col("w").alias("_w"), "id"))
+    # place and id in one number: plain numbers are gathered and sorted fastest
+    packed = F.col("pos").cast("bigint") * MAX_IDS + F.coalesce("id", F.lit(UNKNOWN))
     ids = (
         docs.select("shard_key", "story_id", F.posexplode("words").alias("pos", "_w"))
         .join(small, "_w", "left")
         .groupBy("shard_key", "story_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))))["id"].alias("ids")
+        .agg(F.sort_array(F.collect_list(packed)).alias("_packed"))
+        .select(
+            "shard_key",
+            "story_id",
+            F.transform("_packed", lambda x: x.bitwiseAND(F.lit(MAX_IDS - 1)).cast("int")).alias("ids"),
         )
     )
     bos = F.array(F.lit(BOS))
@@ -284,7 +289,7 @@ def word_ids(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
         .join(small, "piece", "left")
         .withColumn("ids", F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes))
         .groupBy("w")
-        .agg(F.flatten(F.array_sort(F.collect_list(F.struct("pos", "ids")))["ids"]).alias("ids"))
+        .agg(F.flatten(F.sort_array(F.collect_list(F.struct("pos", "ids")))["ids"]).alias("ids"))
     )
 
 
@@ -310,7 +315,7 @@ def encode_text(
     far = spread.join(F.broadcast(hot), "w", "left_anti").join(ids, "w")
     both = near.unionByName(far)
     joined = both.groupBy(*keys).agg(
-        F.flatten(F.array_sort(F.collect_list(F.struct("pos", "ids")))["ids"]).alias("ids")
+        F.flatten(F.sort_array(F.collect_list(F.struct("pos", "ids")))["ids"]).alias("ids")
     )
     return joined.select(*keys, F.concat(F.array(F.lit(BOS)), F.col("ids")).alias("tokens"))
 
@@ -325,7 +330,7 @@ def decode_tokens(encoded: DataFrame, vocab: DataFrame, keys: tuple[str, ...] =
         encoded.select(*keys, F.posexplode("tokens").alias("pos", "token"))
         .join(small, "token", "left")
         .groupBy(*keys)
-        .agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "hex")))["hex"], "").alias("hex"))
+        .agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "hex")))["hex"], "").alias("hex"))
     )
     # blocks may begin or end inside a character; such bytes become replacement characters
     text = F.replace(F.make_valid_utf8(F.unhex("hex").cast("string")), F.lit(BLANK), F.lit(" "))

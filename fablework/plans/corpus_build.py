@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import computed_once, word_list
 from ..operators import blocks, tokens
+from ..operators.render import render
 from ..session import cut_lineage
 from ..sources.readers import first_shards
 from ..sources.writers import write_tokens
@@ -16,9 +17,14 @@ from .recipes import Recipe, build_text, dataset_name
 VOCABULARY_SHARDS = 10
 
 
-def word_vocabulary(texts: DataFrame, size: int, shards: int = VOCABULARY_SHARDS) -> DataFrame:
-    """Word-level vocabulary of rendered text, from the first shards."""
-    sample = computed_once(first_shards(texts, shards), "words", word_list(F.col("text")))
+def vocabulary_texts(stories: DataFrame, shards: int = VOCABULARY_SHARDS, seed: int = 0) -> DataFrame:
+    """Text to learn a vocabulary from: every story of the first shards, unfiltered."""
+    return render(first_shards(stories, shards).drop("shard_idx"), seed=seed)
+
+
+def word_vocabulary(texts: DataFrame, size: int) -> DataFrame:
+    """Word-level vocabulary of rendered text."""
+    sample = computed_once(texts, "words", word_list(F.col("text")))
     return tokens.rank_vocabulary(tokens.word_counts(sample), size)
 
 
@@ -31,12 +37,12 @@ def chunk_counts(texts: DataFrame) -> DataFrame:
     return cut_lineage(tokens.word_counts(computed_once(texts.select("text"), "words", tokens.chunks(F.col("text")))))
 
 
-def learn_vocabulary(texts: DataFrame, size: int, shards: int = VOCABULARY_SHARDS):
-    """BPE vocabulary of ``size`` ids and its merges, from the first shards.
+def learn_vocabulary(texts: DataFrame, size: int):
+    """BPE vocabulary of ``size`` ids and its merges, from rendered text.
 
     Ids are the specials, the bytes, as many merges as fit, and every character.
     """
-    counts = chunk_counts(first_shards(texts, shards))
+    counts = chunk_counts(texts)
     letters = tokens.character_counts(counts).filter(F.col("piece") != "\n").count()
     room = size - tokens.FIRST_PIECE - letters
     if room < 0:

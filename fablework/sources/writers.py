@@ -91,7 +91,7 @@ def write_version_tables(rows: DataFrame, columns: list[str], path: str) -> None
     each with the number of its first row in ``start``, so no document outgrows a task.
     """
     cells = F.array(*[F.col(c).cast("string") for c in columns])
-    ordered = F.array_sort(F.collect_list(F.struct("row_idx", cells.alias("cells"))))
+    ordered = F.sort_array(F.collect_list(F.struct("row_idx", cells.alias("cells"))))
     part = F.shiftright("row_idx", ROW_BITS)
     documents = rows.groupBy(F.col("version").alias("v"), part.alias("part")).agg(
         F.to_json(
