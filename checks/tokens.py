@@ -8,9 +8,11 @@ from fablework.operators import blocks, tokens
 from fablework.operators.metrics import bce_by_layer, probe_accuracy
 from fablework.operators.probes import fit_probes, probe_outputs
 from fablework.plans import corpus_build, recipes
-from fablework.session import cut_lineage
+from fablework.session import cut_lineage, fresh_path
 from fablework.sources.sample_tables import document_words, documents_table, stories, table
 
+from fablework.sources.writers import read_tokens, write_tokens
+
 from . import annotations, sql
 
 SIZE = 8192
@@ -60,7 +62,10 @@ def bos_blocks(spark, folder):
 
 
 def next_token(spark, folder):
-    pairs = blocks.training_pairs(blocks.fixed_blocks(_stream(spark, folder), 128), 128)
+    """Training pairs of a stored dataset, whose rows know their place."""
+    root = fresh_path(spark, "tokens")
+    write_tokens(_encoded(spark, folder), root, SIZE, "all")
+    pairs = corpus_build.training_stream(read_tokens(spark, root, SIZE, "all"), 128)
     return pairs.select("shard_key", "block", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
 
 

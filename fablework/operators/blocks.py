@@ -13,16 +13,16 @@ def token_offsets(encoded: DataFrame) -> DataFrame:
 
     Needs ``(shard_key, story_id, tokens)``; adds ``before`` and ``total``. The running
     sum works on story lengths in buckets of story ids, so a shard of any size is cut up.
-    A stored dataset has its lengths as ``n_tokens``; the pass that sums up the buckets
-    then reads that column instead of the tokens.
+    A stored dataset has both columns already and is returned as it is.
     """
-    length = F.col("n_tokens") if "n_tokens" in encoded.columns else F.size("tokens")
+    if {"before", "total"} <= set(encoded.columns):
+        return encoded
     return running_total(
         encoded,
         ["shard_key"],
         ["story_id"],
-        [id_bucket(F.col("story_id"), 10)],
-        length.cast("bigint"),
+        [id_bucket(F.col("story_id"))],
+        F.size("tokens").cast("bigint"),
         before="before",
         total="total",
     )

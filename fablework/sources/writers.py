@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import token_offsets
 from ..operators.tokens import MAX_IDS
 from .readers import VOCAB_SCHEMA
 
@@ -25,17 +26,15 @@ def dataset_path(root: str, vocab_size: int, dataset_name: str) -> str:
 
 
 def write_tokens(encoded: DataFrame, root: str, vocab_size: int, dataset_name: str) -> str:
-    """A tokenized dataset, one folder per shard, with the length of each story.
+    """A tokenized dataset, one folder per shard, with the place of each story in its stream.
 
-    Rows are laid out by shard and story first: a task then writes few folders, and a big
-    shard is written by many tasks.
+    Numbering the stories brings runs of neighbouring ids of a shard together, and as such
+    they are written: a big shard by many tasks, few files per shard. Blocks cut from the
+    stored dataset then need no further numbering.
     """
     path = dataset_path(root, vocab_size, dataset_name)
     (
-        encoded.select("shard_key", "story_id", in_id_range(F.col("tokens")).alias("tokens"))
-        .withColumn("n_tokens", F.size("tokens"))
-        .repartitionByRange("shard_key", "story_id")
-        .sortWithinPartitions("shard_key", "story_id")
+        token_offsets(encoded.select("shard_key", "story_id", in_id_range(F.col("tokens")).alias("tokens")))
         .write.mode("overwrite")
         .partitionBy("shard_key")
         .parquet(path)
@@ -46,7 +45,7 @@ def write_tokens(encoded: DataFrame, root: str, vocab_size: int, dataset_name: s
 def read_tokens(spark: SparkSession, root: str, vocab_size: int, dataset_name: str) -> DataFrame:
     """A tokenized dataset; a filter on ``shard_key`` reads only its folders."""
     return (
-        spark.read.schema("story_id bigint, tokens array<int>, n_tokens int, shard_key string")
+        spark.read.schema("story_id bigint, tokens array<int>, before bigint, total bigint, shard_key string")
         .parquet(dataset_path(root, vocab_size, dataset_name))
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from fablework.operators import history as hist
 from fablework.operators import scoring
-from fablework.operators.blocks import fixed_blocks
+from fablework.operators.blocks import bos_blocks, fixed_blocks, token_offsets
 from fablework.session import broadcast_within, fresh_path, shared_dir
 from fablework.sources import readers, writers
 from fablework.streaming import metrics as stream_metrics
@@ -158,6 +158,24 @@ def test_scans_read_only_what_they_need(spark):
     assert "PushedFilters: [IsNotNull(user_id)" in plan_of(spark, "history_enriched")
 
 
+def test_last_positions_are_limited_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in plan_of(spark, "mean_pool_last10")
+
+
+def test_blocks_of_a_stored_dataset_take_one_shuffle(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("s", i, [1] + list(range(3, 3 + i % 9))) for i in range(50)], "shard_key string, story_id bigint, tokens array<int>"
+    )
+    writers.write_tokens(df, str(tmp_path), 8192, "d")
+    stored = writers.read_tokens(spark, str(tmp_path), 8192, "d")
+    cut = bos_blocks(token_offsets(stored), 8)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(cut.collect()) == sorted(bos_blocks(token_offsets(df), 8).collect())
+    one = stored.filter("shard_key = 's'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard_key" in one
+
+
 def test_filter_runs_below_the_text_work(spark):
     plan = plan_of(spark, "recipe_recovery_Twist")
     assert plan.index("array_contains") > plan.index("Story: ")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fablework.functions import cosine_schedule
 from fablework.operators import history as hist
 from fablework.operators import metrics, ordinals, runs, sampling, scoring, splits
+from fablework.operators.probes import fit_probes, probe_outputs
 
 
 @pytest.fixture(scope="module")
@@ -177,3 +178,13 @@ def test_schedule(spark):
     rates = [r[0] for r in df.select(cosine_schedule(F.col("s"), 1.0, 100, 600)).collect()]
     assert rates == pytest.approx([0.0, 0.5, 1.0, 0.5, 0.0, 0.0])
     assert df.select(cosine_schedule(F.col("s"), 0.3, 100, 600, scheduled=False)).first()[0] == 0.3
+
+
+def test_probes_beat_the_majority(spark):
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(300, 4))
+    rows = [(i, 0, v.tolist(), [int(v[0] > 0), int(v[1] - v[2] > 0)]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "example_id int, layer int, vector array<double>, target array<int>")
+    outputs = probe_outputs(df, fit_probes(df, [0], features=2))
+    rates = {r["feature"]: r["accuracy"] for r in metrics.probe_accuracy(outputs).collect() if r["feature"] is not None}
+    assert set(rates) == {0, 1} and min(rates.values()) > 0.95
