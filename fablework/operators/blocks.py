@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordinals import id_bucket, running_total
+from .ordinals import ID_BITS, id_bucket, running_total
 
 
-def token_offsets(encoded: DataFrame) -> DataFrame:
+def token_offsets(encoded: DataFrame, id_bits: int = ID_BITS) -> DataFrame:
     """Start of each story in the token stream of its shard, and the stream's length.
 
     Needs ``(shard_key, story_id, tokens)``; adds ``before`` and ``total``. The running
     sum works on story lengths in buckets of story ids, so a shard of any size is cut up.
-    A stored dataset has both columns already and is returned as it is.
+    ``id_bits`` fits dense ids; ids that are hashes spread over 64 bits want about 48, so
+    that a bucket holds many of them. A stored dataset has both columns already and is
+    returned as it is.
     """
     if {"before", "total"} <= set(encoded.columns):
         return encoded
@@ -21,7 +23,7 @@ def token_offsets(encoded: DataFrame) -> DataFrame:
         encoded,
         ["shard_key"],
         ["story_id"],
-        [id_bucket(F.col("story_id"))],
+        [id_bucket(F.col("story_id"), id_bits)],
         F.size("tokens").cast("bigint"),
         before="before",
         total="total",

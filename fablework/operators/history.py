@@ -99,16 +99,18 @@ def moving_average(
         (at % chunk_rows).alias("_j"),
         share.alias("_y"),
     ).withColumn("_scaled", F.col("_y") * F.pow(a, -F.col("_j")))
-    by_chunk = Window.partitionBy(KEY).orderBy("_chunk")
     ends = rows.groupBy(KEY, "_chunk").agg(
         (F.sum("_scaled") * F.pow(a, F.count(F.lit(1)) - 1)).alias("_end")
     )
     whole = F.pow(a, F.lit(chunk_rows))
-    carry = sum(
-        (F.coalesce(F.lag("_end", back).over(by_chunk), F.lit(0.0)) * F.pow(whole, F.lit(back - 1)) for back in (2, 3)),
-        F.coalesce(F.lag("_end", 1).over(by_chunk), F.lit(0.0)),
+    # each end goes to the three chunks after it; this needs no order among the chunks
+    sent = ends.withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3))))
+    weight = F.when(F.col("_ahead") == 0, F.lit(0.0)).otherwise(F.pow(whole, F.col("_ahead") - 1))
+    starts = (
+        sent.withColumn("_chunk", F.col("_chunk") + F.col("_ahead"))
+        .groupBy(KEY, "_chunk")
+        .agg(F.sum(F.col("_end") * weight).alias("_carry"))
     )
-    starts = ends.select(KEY, "_chunk", carry.alias("_carry"))
     inside = Window.partitionBy(KEY, "_chunk").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_local", F.sum("_scaled").over(inside) * F.pow(a, F.col("_j")))
     return local.join(starts, [KEY, "_chunk"]).select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.blocks import token_offsets
+from ..operators.ordinals import ID_BITS
 from ..operators.tokens import MAX_IDS
 from .readers import VOCAB_SCHEMA
 
@@ -25,7 +26,9 @@ def dataset_path(root: str, vocab_size: int, dataset_name: str) -> str:
     return f"{root.rstrip('/')}/tok{vocab_size}/{dataset_name}"
 
 
-def write_tokens(encoded: DataFrame, root: str, vocab_size: int, dataset_name: str) -> str:
+def write_tokens(
+    encoded: DataFrame, root: str, vocab_size: int, dataset_name: str, id_bits: int = ID_BITS
+) -> str:
     """A tokenized dataset, one folder per shard, with the place of each story in its stream.
 
     Numbering the stories brings runs of neighbouring ids of a shard together, and as such
@@ -34,7 +37,7 @@ def write_tokens(encoded: DataFrame, root: str, vocab_size: int, dataset_name: s
     """
     path = dataset_path(root, vocab_size, dataset_name)
     (
-        token_offsets(encoded.select("shard_key", "story_id", in_id_range(F.col("tokens")).alias("tokens")))
+        token_offsets(encoded.select("shard_key", "story_id", in_id_range(F.col("tokens")).alias("tokens")), id_bits)
         .write.mode("overwrite")
         .partitionBy("shard_key")
         .parquet(path)
