@@ -28,7 +28,9 @@ def _encoded(spark, folder):
 
 
 def _stream(spark, folder):
-    return blocks.token_offsets(_encoded(spark, folder))
+    docs = document_words(spark, folder)
+    lengths = docs.select("shard_key", "story_id", (F.size("words") + 1).alias("n_tokens"))
+    return blocks.token_offsets(_encoded(spark, folder), lengths=lengths)
 
 
 def word_freq(spark, folder):

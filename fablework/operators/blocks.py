@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .ordinals import ID_BITS, id_bucket, running_total
 
 
-def token_offsets(encoded: DataFrame, id_bits: int = ID_BITS) -> DataFrame:
+def token_offsets(encoded: DataFrame, id_bits: int = ID_BITS, lengths: DataFrame | None = None) -> DataFrame:
     """Start of each story in the token stream of its shard, and the stream's length.
 
     Needs ``(shard_key, story_id, tokens)``; adds ``before`` and ``total``. The running
@@ -16,9 +16,24 @@ def token_offsets(encoded: DataFrame, id_bits: int = ID_BITS) -> DataFrame:
     ``id_bits`` fits dense ids; ids that are hashes spread over 64 bits want about 48, so
     that a bucket holds many of them. A stored dataset has both columns already and is
     returned as it is.
+
+    ``lengths`` gives ``(shard_key, story_id, n_tokens)`` where they are known without the
+    tokens. Then only these narrow rows are numbered and joined to the tokens, which the
+    encoding has gathered by story already.
     """
     if {"before", "total"} <= set(encoded.columns):
         return encoded
+    if lengths is not None:
+        placed = running_total(
+            lengths.select("shard_key", "story_id", "n_tokens"),
+            ["shard_key"],
+            ["story_id"],
+            [id_bucket(F.col("story_id"), id_bits)],
+            F.col("n_tokens").cast("bigint"),
+            before="before",
+            total="total",
+        )
+        return encoded.join(placed.drop("n_tokens"), ["shard_key", "story_id"])
     return running_total(
         encoded,
         ["shard_key"],

@@ -40,6 +40,14 @@ def test_blocks_match_the_flat_stream(spark, length):
     assert aligned == want_aligned
 
 
+def test_known_lengths_give_the_same_offsets(spark):
+    df, _ = make_stream(spark, 2)
+    lengths = df.select("shard_key", "story_id", F.size("tokens").alias("n_tokens"))
+    want = blocks.token_offsets(df).select("story_id", "before", "total")
+    got = blocks.token_offsets(df, lengths=lengths).select("story_id", "before", "total")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_pairs_are_shifted_by_one(spark):
     df, _ = make_stream(spark, 3)
     pairs = corpus_build.training_stream(df, 8).collect()
