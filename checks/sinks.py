@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fablework.operators import parse, scoring, tokens
+from fablework.operators import scoring, tokens
 from fablework.operators.history import KEY
 from fablework.operators.render import render
-from fablework.plans import scoring_job
 from fablework.session import fresh_path
 from fablework.sources import readers, writers
 from fablework.sources.sample_tables import generations, history, labelled, stories
@@ -180,5 +179,3 @@ SQL = {
     "stream_metric_log": sql.with_views(sql.HISTORY)
     + "SELECT run_id, iter, iter*131072 tokens, round(loss_test,6) loss_test FROM history",
 }
-
-__all__ = ["QUERIES", "SQL", "parse", "scoring_job"]

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,5 +53,3 @@ def probe_outputs(vectors: DataFrame, weights: dict[tuple[int, int], list[float]
         F.element_at("target", F.col("feature") + 1).cast("int").alias("target"),
     )
 
-
-__all__ = ["fit_probes", "probe_outputs", "vector_to_array"]

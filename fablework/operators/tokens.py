@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import computed_once, word_list
+from ..functions import computed_once
 from ..session import cut_lineage
 
 # Special ids, the byte range, the piece that stands for a blank, id limit.
@@ -370,5 +370,5 @@ __all__ = [
     "rank_vocabulary",
     "word_counts",
     "word_ids",
-    "word_list",
+    "most_frequent",
 ]

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ..operators.ordinals import id_bucket, running_total
 from ..session import broadcast_within
 
 STORY_SCHEMA = T.StructType(
@@ -231,7 +230,6 @@ __all__ = [
     "contiguous_versions",
     "early_stop_scan",
     "first_shards",
-    "id_bucket",
     "nan_to_null",
     "read_runs",
     "read_shot_blocks",
@@ -239,7 +237,6 @@ __all__ = [
     "read_token_bins",
     "read_version_tables",
     "read_vocabulary",
-    "running_total",
     "shard_index",
     "shot_blocks",
     "token_positions",
