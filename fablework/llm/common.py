@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def _within(lengths: np.ndarray) -> np.ndarray:
 
 def text_slices(texts: pa.Array | pa.ChunkedArray, max_bytes: int = 8 << 20):
     """Slices ``(first, past)`` of a text column with about ``max_bytes`` each, one text at least."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     first, total = 0, 0
     for i, n in enumerate(sizes):
         if i > first and total + n > max_bytes:

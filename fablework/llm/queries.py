@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import mix_sources
+from .packing import pack_documents
 from .sharding import shard_documents
 from .topk import exact_topk
+from .warc import warc_round_trip
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,11 +21,28 @@ def op1_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return exact_topk(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def word_tokenizer() -> str:
+    """Path of the tokenizer file that the packing query names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages, written to archives and read back."""
+    return warc_round_trip(_table(spark, folder, "pages"))
+
+
 def op4_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix with weights 3, 1, 2 and 150 % of all words takes of each document."""
     return mix_sources(_table(spark, folder, "documents"))
 
 
+def op5_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return pack_documents(_table(spark, folder, "documents"), word_tokenizer())
+
+
 def op7_shards(spark: SparkSession, folder: str) -> DataFrame:
     """24 shards of near equal size."""
     return shard_documents(_table(spark, folder, "documents")).select(
@@ -34,7 +53,9 @@ def op7_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op3_warc": op3_warc,
     "op4_mixed_sources": op4_mixed_sources,
+    "op5_packed": op5_packed,
     "op7_shards": op7_shards,
 }
 
