@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import fit_languages, predict_languages, trainable
 from .mixing import mix_sources
 from .packing import pack_documents
+from .quality import fit_quality, held_out, score_quality
 from .sharding import shard_documents
 from .topk import exact_topk
 from .warc import warc_round_trip
@@ -43,6 +45,16 @@ def op5_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"), word_tokenizer())
 
 
+def op6_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from three of four folds."""
+    docs = _table(spark, folder, "documents")
+    learned = trainable(F.col("doc_id"))
+    model = fit_languages(docs.filter(learned))
+    return predict_languages(docs.select("doc_id", "text"), model).select(
+        "doc_id", (~learned).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 def op7_shards(spark: SparkSession, folder: str) -> DataFrame:
     """24 shards of near equal size."""
     return shard_documents(_table(spark, folder, "documents")).select(
@@ -51,12 +63,25 @@ def op7_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every document, learned from the labels of four of five folds."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    held = held_out(F.col("doc_id"), 5, 0)
+    learned = labels.filter(~held & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("label"))
+    model = fit_quality(docs.select("doc_id", "text").join(learned, "doc_id"))
+    return score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op3_warc": op3_warc,
     "op4_mixed_sources": op4_mixed_sources,
     "op5_packed": op5_packed,
+    "op6_languages": op6_languages,
     "op7_shards": op7_shards,
+    "op9_quality": op9_quality,
 }
 
 SQL: dict[str, str] = {
