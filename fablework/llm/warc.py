@@ -268,8 +268,9 @@ def resolved(records: DataFrame) -> DataFrame:
     responses = records.filter(F.col("record_type") == "response").groupBy("record_id").agg(
         F.first("page_id").alias("first_id"), F.first("payload_bytes").alias("first_bytes"), F.lit(True).alias("found")
     )
+    # the planner takes the small table of archives for the size of what is read from them
     joined = records.join(
-        responses.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left"
+        responses.withColumnRenamed("record_id", "refers_to_id").hint("merge"), "refers_to_id", "left"
     )
     lost = F.raise_error(F.concat(F.lit("no response for "), F.col("record_id"))).cast("bigint")
     revisit = F.col("record_type") == "revisit"
