@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .langid import fit_languages, predict_languages, trainable
 from .mixing import mix_sources
+from .ngram_join import similar_groups
 from .packing import pack_documents
 from .quality import fit_quality, held_out, score_quality
 from .sharding import shard_documents
@@ -23,6 +24,11 @@ def op1_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return exact_topk(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op2_ngram_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with the group that five-word shingles and a similarity of 0.75 give them."""
+    return similar_groups(_table(spark, folder, "documents"))
+
+
 def word_tokenizer() -> str:
     """Path of the tokenizer file that the packing query names."""
     import public_tokenizers
@@ -76,6 +82,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_ngram_groups": op2_ngram_groups,
     "op3_warc": op3_warc,
     "op4_mixed_sources": op4_mixed_sources,
     "op5_packed": op5_packed,
