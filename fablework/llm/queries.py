@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .langid import fit_languages, predict_languages, trainable
 from .mixing import mix_sources
 from .ngram_join import similar_groups
@@ -69,6 +70,11 @@ def op7_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """20 near neighbours of each vector whose id is divisible by 20."""
+    return nearest_neighbours(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The quality of every document, learned from the labels of four of five folds."""
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
@@ -88,6 +94,7 @@ QUERIES = {
     "op5_packed": op5_packed,
     "op6_languages": op6_languages,
     "op7_shards": op7_shards,
+    "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
 }
 
