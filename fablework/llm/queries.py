@@ -10,6 +10,7 @@ from .langid import fit_languages, predict_languages, trainable
 from .mixing import mix_sources
 from .ngram_join import similar_groups
 from .packing import pack_documents
+from .passages import repeated_passages
 from .quality import fit_quality, held_out, score_quality
 from .sharding import shard_documents
 from .topk import exact_topk
@@ -86,6 +87,11 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more that repeat one of a document with a smaller id."""
+    return repeated_passages(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_ngram_groups": op2_ngram_groups,
@@ -96,6 +102,7 @@ QUERIES = {
     "op7_shards": op7_shards,
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
+    "op10_passages": op10_passages,
 }
 
 SQL: dict[str, str] = {
