@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fablework.operators.ordinals import running_total
 
-from .common import stored, word_count
+from .common import remaining, stored, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], budget: float, most: float) -> DataFrame:
@@ -74,7 +75,7 @@ def mix_sources(
     rows are documents like any other (equal rows are served one after the other). An empty
     table gives no rows; texts without words are never taken. Other columns are not read.
 
-    Returns ``doc_id, source, size, source_size, weight, target, before, taken, mix_start`` with
+    Returns ``doc_id, text_hash, source, size, source_size, weight, target, before, taken, mix_start`` with
     ``before`` (words of the source ahead in a round) and ``mix_start`` (words of the mix ahead
     of the document's first service; null if it has none).
     """
@@ -90,7 +91,7 @@ def mix_sources(
     )
     sizes = rows.groupBy("queue", "source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(sizes, weights, budget, most), "mix-targets")
-    place = F.shiftright(F.col("key"), 48) + F.lit(32768)  # 65536 slices of the shuffled order
+    place = F.shiftright(F.col("key"), 52) + F.lit(2048)  # 4096 slices of the shuffled order
     queued = running_total(rows, ["queue"], ["key", "doc_id", "text_hash"], [place], F.col("size"), "before")
     queued = stored(queued.join(targets.drop("source"), "queue"), "mix-queue")
 
@@ -121,7 +122,42 @@ def mix_sources(
         queued.withColumn("some", F.col("size") > 0)
         .join(taken, ["queue", "before", "some"], "left")
         .select(
-            "doc_id", "source", "size", "source_size", "weight", "target", "before",
+            "doc_id", "text_hash", "source", "size", "source_size", "weight", "target", "before",
             F.least(F.coalesce("done", F.lit(0)), most_words).cast("bigint").alias("taken"), "mix_start",
         )
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents of the mix: a row for each time that a document is taken, with the words taken.
+
+    All columns stay. Documents that are not taken are left out; the last service of a source
+    may hold the first words of a document only. Rows that repeat id and text count as one
+    document.
+    """
+    mixed = mix_sources(docs, id_col=id_col, text_col=text_col, **options).filter(F.col("taken") > 0)
+    taken = mixed.groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash")).agg(
+        F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken")
+    )
+    times = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
+    words = F.least(F.col("mix_size"), F.col("mix_taken") - F.col("mix_round") * F.col("mix_size"))
+    schema = docs.schema
+    services = (
+        docs.join(taken, docs[id_col].eqNullSafe(taken["mix_id"]) & (F.xxhash64(docs[text_col]) == taken["mix_hash"]))
+        .select("*", F.explode(F.sequence(F.lit(0), times - 1)).alias("mix_round"))
+        .select(*[docs[c] for c in docs.columns], F.when(words < F.col("mix_size"), words).alias("mix_words"))
+    )
+
+    def cut(batches):
+        at = schema.names.index(text_col)
+        for batch in batches:
+            words = batch["mix_words"].to_pylist()
+            columns = [batch[c] for c in schema.names]
+            if any(n is not None for n in words):
+                texts = columns[at].to_pylist()
+                columns[at] = pa.array(
+                    [t if n is None else remaining(t, [(n, len(t))]) for t, n in zip(texts, words)], pa.string()
+                )
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return services.mapInArrow(cut, schema)

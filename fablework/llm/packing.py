@@ -17,6 +17,13 @@ from fablework.operators.ordinals import ordinal
 from .common import stored, text_slices
 
 
+def public_tokenizer(name: str) -> str:
+    """Path of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 class WordEncoder:
     """Token ids of documents from a cache of their words.
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .ann import nearest_neighbours
 from .langid import fit_languages, predict_languages, trainable
 from .mixing import mix_sources
 from .ngram_join import similar_groups
-from .packing import pack_documents
+from .packing import pack_documents, public_tokenizer
 from .passages import repeated_passages
 from .quality import fit_quality, held_out, score_quality
 from .sharding import shard_documents
@@ -31,13 +33,6 @@ def op2_ngram_groups(spark: SparkSession, folder: str) -> DataFrame:
     return similar_groups(_table(spark, folder, "documents"))
 
 
-def word_tokenizer() -> str:
-    """Path of the tokenizer file that the packing query names."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages, written to archives and read back."""
     return warc_round_trip(_table(spark, folder, "pages"))
@@ -50,7 +45,7 @@ def op4_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_packed(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
-    return pack_documents(_table(spark, folder, "documents"), word_tokenizer())
+    return pack_documents(_table(spark, folder, "documents"), public_tokenizer("word_bpe_49k.json"))
 
 
 def op6_languages(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,6 +98,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_passages": op10_passages,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
@@ -122,4 +118,5 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
