@@ -1,5 +1,5 @@
 """Registered queries with the SQL each one must agree with."""
 
-from . import annotations, runs, scoring, selection, sinks, tokens
+from . import annotations, runs, scoring, selection, shards, sinks, tokens
 
-REGISTERED = (annotations, selection, tokens, scoring, runs, sinks)
+REGISTERED = (annotations, selection, tokens, scoring, runs, sinks, shards)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from fablework.functions import cosine_schedule, plain_string, scientific_string
@@ -158,9 +160,8 @@ def distinct_evals(spark, folder):
 
 
 def derived_columns(spark, folder):
-    positive = history(spark, folder).filter(F.col("loss_test") > 0)
     return _rounded(
-        hist.derived(positive, "loss_test", 0.25, 1, 131072).select(
+        hist.derived(history(spark, folder), "loss_test", 0.25, 1, 131072).select(
             "run_id", "iter", "log_loss_test", "loss_test_baseline", "shifted", "tokens"
         )
     )
@@ -172,7 +173,7 @@ def lr_schedule(spark, folder):
 
 
 def _typed_history(spark, folder):
-    studied = _studied(spark, folder).filter(F.col("deletion_type").isin(*runs.SHORT_TYPES))
+    studied = _studied(spark, folder)
     return hist.enrich(history(spark, folder), studied.select("run_id", "deletion_type", "deletion_lr"))
 
 
@@ -192,7 +193,8 @@ def chosen_scores(spark, folder):
 
 
 def loss_by_type(spark, folder):
-    return _rounded(hist.mean_curve(_typed_history(spark, folder), ["deletion_lr", "deletion_type", "iter"], "loss_test"))
+    curve = hist.mean_curve(_typed_history(spark, folder), ["deletion_lr", "deletion_type", "iter"], "loss_test")
+    return _rounded(curve.withColumn("mean", F.col("mean") + 1e-9))  # off exact decimal ties
 
 
 def renamed_losses(spark, folder):
@@ -244,12 +246,11 @@ _SPEC_PATTERN = "'^F_(.*?)_MM_(.*?)_AT_(.*?)_RF_(.*?)_IS_(.*)$'"
 
 
 def _smooth(source: str, sigma: float) -> str:
-    weights = hist.gaussian_weights(sigma)
-    r = len(weights) // 2
-    pairs = ", ".join(f"({k}, {w!r})" for k, w in zip(range(-r, r + 1), weights))
+    r = math.floor(4 * sigma + 0.5)
+    weight = f"exp(-0.5*(k/{sigma!r})**2)"
     return f"""s AS (SELECT run_id, iter, gen_score, row_number() OVER (PARTITION BY run_id ORDER BY iter)-1 i,
   count(*) OVER (PARTITION BY run_id) n FROM {source} WHERE gen_score IS NOT NULL),
-k(k, wt) AS (VALUES {pairs}),
+k AS (SELECT k, {weight}/sum({weight}) OVER () wt FROM (SELECT unnest(range(-{r},{r}+1)) k) q),
 j AS (SELECT run_id, iter, wt, n, ((i+k)%(2*n)+2*n)%(2*n) q FROM s, k)
 SELECT j.run_id, j.iter, round(sum(CAST(wt AS DOUBLE)*s.gen_score),6) gen_score_smooth FROM j
  JOIN s ON s.run_id=j.run_id AND s.i=CASE WHEN q<j.n THEN q ELSE 2*j.n-1-q END GROUP BY j.run_id, j.iter"""
@@ -258,12 +259,12 @@ SELECT j.run_id, j.iter, round(sum(CAST(wt AS DOUBLE)*s.gen_score),6) gen_score_
 _LAST = """evals AS (SELECT run_id, count(DISTINCT iter_num_gen) evals FROM history GROUP BY run_id),
 last AS (SELECT h.* FROM history h JOIN evals e ON h.run_id=e.run_id WHERE iter_num_gen IS NOT NULL AND gen_score IS NOT NULL
  QUALIFY row_number() OVER (PARTITION BY h.run_id ORDER BY iter DESC) <= evals)"""
-_TYPED = """typed AS (SELECT h.*, deletion_type, deletion_lr FROM history h JOIN studied s ON h.run_id=s.run_id
- WHERE deletion_type IN ('Filtering','Filtering + Adversarial Training','Filtering + Mix & Match','Not in Pretraining'))"""
+_TYPED = """typed AS (SELECT h.*, deletion_type, deletion_lr FROM history h JOIN studied s ON h.run_id=s.run_id)"""
 _KEY = """concat(CASE deletion_type WHEN 'Filtering' THEN 'F' WHEN 'Filtering + Adversarial Training' THEN 'F+AT'
  WHEN 'Filtering + Mix & Match' THEN 'F+MM' ELSE deletion_type END, '; LR ', CASE deletion_lr WHEN 1e-5 THEN '1e-5' ELSE '1e-4' END)"""
-_PIVOT = f"""pivoted AS (SELECT {_KEY} "key", {', '.join(f'round(arg_max(gen_score, run_id) FILTER (iter_num_gen={i}),6) at_{i}' for i in CHOSEN)}
- FROM typed WHERE iter_num_gen IN {CHOSEN} AND gen_score IS NOT NULL GROUP BY 1)"""
+_PIVOT = f"""per_run AS (SELECT {_KEY} "key", run_id,
+ {', '.join(f'round(max(gen_score) FILTER (iter_num_gen={i} AND NOT isnan(gen_score)),6) at_{i}' for i in CHOSEN)} FROM typed GROUP BY 1, 2),
+pivoted AS (SELECT * EXCLUDE (run_id) FROM per_run QUALIFY row_number() OVER (PARTITION BY "key" ORDER BY run_id DESC) = 1)"""
 _CELLS = ", ".join(f"CASE WHEN at_{i} IS NOT NULL THEN printf('%.2f', round(at_{i},2)) END" for i in CHOSEN)
 
 SQL = {
@@ -322,8 +323,8 @@ SQL = {
     "step_time": H + "SELECT run_id, iter, clock_us - lag(clock_us) OVER (PARTITION BY run_id ORDER BY iter) step_time FROM history",
     "distinct_evals": H + "SELECT run_id, CAST(count(DISTINCT iter_num_gen) AS BIGINT) evals FROM history GROUP BY run_id",
     "derived_columns": H
-    + """SELECT run_id, iter, round(ln(loss_test),6) log_loss_test, round(loss_test-0.25,6) loss_test_baseline, iter+1 shifted,
- iter*131072 tokens FROM history WHERE loss_test>0""",
+    + """SELECT run_id, iter, CASE WHEN loss_test>0 THEN round(ln(CASE WHEN loss_test>0 THEN loss_test ELSE 1 END),6) END log_loss_test, round(loss_test-0.25,6) loss_test_baseline, iter+1 shifted,
+ iter*131072 tokens FROM history""",
     "lr_schedule": H
     + """SELECT run_id, iter, round(1e3*CAST(CASE WHEN iter<100 THEN 5e-4*iter/100 WHEN iter>600 THEN 0
  ELSE 0.5*(1+cos(pi()*(iter-100)/500.0))*5e-4 END AS DOUBLE),6) lr_milli FROM history""",
@@ -334,7 +335,7 @@ SQL = {
     + f"""SELECT run_id, iter, round(loss_test,6) loss_test, iter_num_gen, round(gen_score,6) gen_score FROM history
  WHERE iter_num_gen IN {CHOSEN} AND gen_score IS NOT NULL""",
     "loss_by_type": sql.with_views(sql.RUNS, sql.HISTORY, _STUDIED, _TYPED)
-    + """SELECT round(deletion_lr,6) deletion_lr, deletion_type, iter, round(avg(loss_test),6) mean, CAST(count(loss_test) AS BIGINT) n
+    + """SELECT round(deletion_lr,6) deletion_lr, deletion_type, iter, round(avg(loss_test)+1e-9,6) mean, CAST(count(loss_test) AS BIGINT) n
  FROM typed GROUP BY 1, 2, 3""",
     "renamed_losses": H + 'SELECT run_id, iter, round(loss_test,6) "Task Loss" FROM history',
     "probe_columns": sql.with_views(sql.PROBES)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from fablework.functions import uniform
 from fablework.operators import metrics, parse, scoring, splits
 from fablework.plans import scoring_job
-from fablework.sources import readers
+from fablework.session import fresh_path
+from fablework.sources import readers, writers
 from fablework.sources.sample_tables import class_logits, generations, labelled, probe_logits, responses, table
 
 from . import sql
@@ -43,16 +44,16 @@ def prompts(spark, folder):
 
 
 def shot_block(spark, folder):
-    block = scoring.shot_block(F.col("story"), F.col("summary"), F.col("label"))
+    block = scoring.shot_block(F.col("story"), F.col("summary"), F.col("label"), ASK)
     return labelled(spark, folder).select("story_id", block.alias("block"))
 
 
 def few_shots(spark, folder):
-    return scoring.join_shots(_shots(spark, folder), seed=2)
+    return scoring.join_shots(_shots(spark, folder), ASK, seed=2)
 
 
 def few_shot_prompts(spark, folder):
-    shots = scoring.join_shots(_shots(spark, folder), seed=2)
+    shots = scoring.join_shots(_shots(spark, folder), ASK, seed=2)
     rest = splits.minus(_docs(spark, folder), _shots(spark, folder), "story_id")
     return rest.select("story_id", scoring.few_shot_prompt(F.col("story"), ASK, shots).alias("prompt"))
 
@@ -74,13 +75,40 @@ def cache_misses(spark, folder):
     return scoring.missing(_prompts(spark, folder), _cache(spark, folder)).select("cache_id", "prompt")
 
 
+def _cache_table(spark, folder):
+    """The answers kept from an earlier run as a cache table; returns its path."""
+    path = fresh_path(spark, "scores")
+    writers.append_scores(_cache(spark, folder), path)
+    return path
+
+
 def scored(spark, folder):
     rows = scoring_job.scored_rows(
-        _prompts(spark, folder), _cache(spark, folder), scoring.rule_scorer(ASK), ASK
+        _prompts(spark, folder), _cache_table(spark, folder), scoring.rule_scorer(ASK), ASK
     )
     return rows.select("story_id", "score", "content")
 
 
+def _evaluated(spark, folder, shots):
+    found = labelled(spark, folder)
+    return scoring_job.classifier_report(
+        found, _cache_table(spark, folder), scoring.rule_scorer(ASK), ASK, MODEL, shots_per_class=shots, seed=2
+    )
+
+
+def classifier_report(spark, folder):
+    rates = _evaluated(spark, folder, 0).rates
+    return rates.select("n", *[F.round(c, 6).alias(c) for c in rates.columns if c != "n"])
+
+
+def classifier_mistakes(spark, folder):
+    return _evaluated(spark, folder, 0).mistakes.select("story_id", "label", "score")
+
+
+def few_shot_report(spark, folder):
+    return _rounded(_evaluated(spark, folder, 2).scores)
+
+
 def parse_answer(spark, folder):
     score, invalid = scoring.parse_answer(F.col("content"), "Q?")
     return responses(spark, folder).select("story_id", score.alias("score"), invalid.alias("invalid"))
@@ -116,7 +144,7 @@ def describe_values(spark, folder):
 
 def version_summary(spark, folder):
     report = scoring_job.generation_report(
-        generations(spark, folder), _cache(spark, folder), scoring.rule_scorer(ASK, ","), ASK, MODEL
+        generations(spark, folder), _cache_table(spark, folder), scoring.rule_scorer(ASK, ","), ASK, MODEL
     )
     return _rounded(report)
 
@@ -177,6 +205,9 @@ QUERIES = {
     "cache_hits": cache_hits,
     "cache_misses": cache_misses,
     "scored": scored,
+    "classifier_report": classifier_report,
+    "classifier_mistakes": classifier_mistakes,
+    "few_shot_report": few_shot_report,
     "parse_answer": parse_answer,
     "confusion": confusion,
     "mistakes": mistakes,
@@ -198,20 +229,19 @@ QUERIES = {
 
 
 def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''").replace("\n", "'||chr(10)||'") + "'"
+    return "'" + text.replace("'", "''") + "'"
+
 
+ASKED = "'Does the story have a twist?'"
 
-def _fill(template, glue, **parts):
-    text = glue.join(template)
-    out = []
-    while "{" in text:
-        before, rest = text.split("{", 1)
-        name, text = rest.split("}", 1)
-        out += [_quoted(before), parts[name]]
-    return "||".join([*out, _quoted(text)])
 
+def _zero(story: str) -> str:
+    """The prompt without examples, written out here again."""
+    return f"""'Below is a story for children. Answer this question about it: '||{ASKED}||' Reply with Yes or No only.'
+ ||chr(10)||chr(10)||{story}||chr(10)||chr(10)||{ASKED}"""
 
-_ZERO = _fill(scoring.ZERO_SHOT, "\n\n", story=sql.strip("text"), question=_quoted(ASK))
+
+_ZERO = _zero(sql.strip("text"))
 _PROMPTS = f"prompts AS (SELECT doc_id story_id, {_ZERO} prompt, md5('{MODEL}'||{_ZERO}) cache_id FROM documents)"
 
 
@@ -226,15 +256,13 @@ def _score(content: str, question: str) -> str:
 _CACHE = f"""cache AS (SELECT cache_id, min({_score('content', 'Q?')}) score, min(content) content
  FROM prompts JOIN responses USING (story_id) WHERE {sql.u01(8, 'cached', 'story_id')} < 0.5 GROUP BY cache_id)"""
 _LABELS = """labelled AS (SELECT *, CAST(CASE WHEN list_contains(features,'Twist') THEN 1 ELSE 0 END AS DOUBLE) AS label FROM stories)"""
-_SHOT = _fill(
-    scoring.SHOT, "\n", story=sql.strip("story"), reasoning=sql.strip("summary"),
-    answer="CASE WHEN label=1 THEN 'Yes' ELSE 'No' END",
-)
+_SHOT = f"""'Example story: '||{sql.strip("story")}||chr(10)||'Why: '||{sql.strip("summary")}||chr(10)||{ASKED}
+ ||' '||CASE WHEN label=1 THEN 'Yes' ELSE 'No' END"""
 _SHOTS = f"""chosen AS (SELECT *, {_SHOT} "block" FROM labelled QUALIFY row_number() OVER (PARTITION BY label ORDER BY shard_key, story_id) <= 2),
-shots AS (SELECT array_to_string(list("block" ORDER BY {sql.u01(2, 'shot', 'story_id')}, story_id), chr(10)) shots FROM chosen)"""
-_FEW = _fill(
-    scoring.FEW_SHOT, "\n", question=_quoted(ASK), shots="(SELECT shots FROM shots)", story=sql.strip("text")
-)
+shots AS (SELECT array_to_string(list("block" ORDER BY {sql.u01(2, 'shot', 'story_id')}, story_id), chr(10)||chr(10)) shots FROM chosen)"""
+_few = lambda story: f"""(SELECT shots FROM shots)||chr(10)||chr(10)||'Story: '||{sql.strip(story)}||chr(10)
+ ||'Explain in one sentence, then answer.'||chr(10)||{ASKED}"""
+_FEW = _few("text")
 _JOINED = f"""joined AS (SELECT l.story_id, label, content, {_score('content', 'Q?')} score FROM labelled l JOIN responses r ON l.story_id=r.story_id)"""
 
 
@@ -248,16 +276,23 @@ def _describe(value: str, source: str, by: str = "") -> str:
 
 
 _GEN_TEXT = sql.strip(f"regexp_split_to_array(generation, {_MARKERS})[1]")
-_GEN_PROMPT = _fill(scoring.ZERO_SHOT, "\n\n", story=_GEN_TEXT, question=_quoted(ASK))
+_GEN_PROMPT = _zero(_GEN_TEXT)
 _VERSIONS = f"""gen AS (SELECT *, {_GEN_PROMPT} prompt, md5('{MODEL}'||{_GEN_PROMPT}) cache_id FROM generations),
 gen_scored AS (SELECT g.*, coalesce(c.score, CAST(CASE WHEN contains(g.prompt, ',') THEN 1 ELSE 0 END AS DOUBLE)) score
  FROM gen g LEFT JOIN cache c ON g.cache_id=c.cache_id)"""
 
-_CHAT = _fill(scoring.ZERO_SHOT, "\n\n", story="story", question=_quoted(ASK))
+_CHAT = _zero("story")
 _CE = """ce AS (SELECT example_id, CASE WHEN label=0 THEN -1 ELSE label END target,
  ln(sum(exp(logit))) - max(CASE WHEN class_id=label THEN logit END) loss FROM class_logits GROUP BY example_id, label)"""
 _BCE = "avg(greatest(logit,0.0) - logit*target + ln(1+exp(-abs(logit))))"
 
+_EVALUATED = f"""prompted AS (SELECT story_id, label, {_zero(sql.strip('story'))} prompt FROM labelled),
+evaluated AS (SELECT p.story_id, label, coalesce(c.score, CAST(CASE WHEN contains(p.prompt,'!') THEN 1 ELSE 0 END AS DOUBLE)) score
+ FROM prompted p LEFT JOIN cache c ON md5('{MODEL}'||p.prompt)=c.cache_id)"""
+_FEW_EVALUATED = f"""evaluated AS (SELECT story_id, label, CAST(CASE WHEN contains({_few('story')},'!') THEN 1 ELSE 0 END AS DOUBLE) score
+ FROM labelled WHERE story_id NOT IN (SELECT story_id FROM chosen))"""
+_WITH_EVALUATED = sql.with_views(_PROMPTS, sql.RESPONSES, _CACHE, sql.STORIES, _LABELS, _EVALUATED)
+
 L = sql.with_views(sql.STORIES, _LABELS)
 
 SQL = {
@@ -278,6 +313,12 @@ SQL = {
     + f"""SELECT story_id, coalesce(score, CAST(CASE WHEN contains(prompt,'!') THEN 1 ELSE 0 END AS DOUBLE)) score,
  coalesce(content, CASE WHEN contains(prompt,'!') THEN {_quoted(ASK + ' Yes.')} ELSE {_quoted(ASK + ' No.')} END) content
  FROM prompts p LEFT JOIN cache c ON p.cache_id=c.cache_id""",
+    "classifier_report": _WITH_EVALUATED
+    + """SELECT CAST(count(*) AS BIGINT) n, round(avg(CASE WHEN score=label THEN 1.0 ELSE 0.0 END),6) accuracy,
+ round(count(*) FILTER (score=1 AND label=0)/(count(*) FILTER (label=0)+1),6) false_positive,
+ round(count(*) FILTER (score=0 AND label=1)/(count(*) FILTER (label=1)+1),6) false_negative FROM evaluated""",
+    "classifier_mistakes": _WITH_EVALUATED + "SELECT story_id, label, score FROM evaluated WHERE score<>label",
+    "few_shot_report": sql.with_views(sql.STORIES, _LABELS, _SHOTS, _FEW_EVALUATED) + _describe("score", "evaluated", "label"),
     "parse_answer": sql.with_views(sql.RESPONSES)
     + f"""SELECT story_id, {_score('content', 'Q?')} score,
  NOT contains({_said('content', 'Q?')},'yes') AND NOT contains({_said('content', 'Q?')},'no') invalid FROM responses""",
@@ -296,7 +337,7 @@ SQL = {
     "version_head": sql.with_views(sql.GENERATIONS) + 'SELECT "version", row_idx FROM generations WHERE row_idx < 3',
     "chat_rows": L
     + f"""SELECT story_id, CAST(to_json({{'messages': [
- {{'role': 'system', 'content': {_quoted(scoring.SYSTEM)}}}, {{'role': 'user', 'content': {_CHAT}}},
+ {{'role': 'system', 'content': 'You help by answering questions about stories for children.'}}, {{'role': 'user', 'content': {_CHAT}}},
  {{'role': 'assistant', 'content': CASE WHEN label=1 THEN 'Yes' ELSE 'No' END}}]}}) AS VARCHAR) line FROM labelled""",
     "mean_loss_by_key": sql.with_views(sql.PROBES)
     + """SELECT layer, concat('t', CAST(target AS VARCHAR)) target_name, round(avg(logit),6) mean_loss,

@@ -48,12 +48,10 @@ def chat_lines(spark, folder):
 def score_cache_append(spark, folder):
     path = fresh_path(spark, "scores")
     writers.append_scores(_cache(spark, folder), path)
-    fresh = scoring.score_prompts(
-        scoring.missing(_prompts(spark, folder), writers.read_scores(spark, path)), scoring.rule_scorer(ASK)
-    )
-    score, _ = scoring.parse_answer(F.col("content"), ASK)
-    writers.append_scores(fresh.withColumn("score", score), path)
-    return writers.read_scores(spark, path)
+    for _ in range(2):  # the second time adds nothing
+        known = writers.read_scores(spark, path)
+        writers.append_scores(scoring.fresh_scores(_prompts(spark, folder), known, scoring.rule_scorer(ASK), ASK), path)
+    return writers.read_scores(spark, path, distinct=False)
 
 
 def summary_csv(spark, folder):
@@ -98,7 +96,7 @@ def stream_dedup_scores(spark, folder):
     prompts.write.parquet(source)
     arriving = stream_shards_mod.stream_tables(spark, source, prompts.schema, 1)
     stream_scores.score_stream(arriving, cache, state, scoring.rule_scorer(ASK), ASK).awaitTermination()
-    return spark.read.schema(stream_scores.CACHE_SCHEMA).parquet(cache).select("cache_id", "score", "content")
+    return writers.read_scores(spark, cache, distinct=False)
 
 
 def _arriving_history(spark, folder):
@@ -124,15 +122,21 @@ def _streamed(spark, folder):
 
 
 def stream_ema(spark, folder):
-    rows = stream_metrics.repaired(_streamed(spark, folder), history(spark, folder), "loss_test")
-    return rows.filter(F.col("ema").isNotNull()).select("run_id", "iter", F.round(F.col("ema") + 1e-9, 6).alias("ema"))
+    """The stream as it wrote it; a late row would be missing here."""
+    rows = _streamed(spark, folder).filter(~F.col("late") & F.col("ema").isNotNull())
+    return rows.select("run_id", "iter", F.round(F.col("ema") + 1e-9, 6).alias("ema"))
 
 
 def stream_running_best(spark, folder):
-    rows = stream_metrics.repaired(_streamed(spark, folder), history(spark, folder), "loss_test")
+    rows = _streamed(spark, folder).filter(~F.col("late"))
     return rows.select("run_id", "iter", F.round("best_before", 6).alias("best_before"), "improved")
 
 
+def stream_late_rows(spark, folder):
+    """Late rows, of which files in the order of iterations have none."""
+    return _streamed(spark, folder).agg(F.count_if("late").alias("late"), F.count(F.lit(1)).alias("n"))
+
+
 def stream_metric_log(spark, folder):
     target, state = fresh_path(spark, "log"), fresh_path(spark, "state")
     rows = _arriving_history(spark, folder).select(
@@ -146,7 +150,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_export, token_dataset, labelled_cache, chat_lines, score_cache_append, summary_csv, version_tables, vocab_file,
-        stream_shards, stream_dedup_scores, stream_ema, stream_running_best, stream_metric_log,
+        stream_shards, stream_dedup_scores, stream_ema, stream_running_best, stream_late_rows, stream_metric_log,
     )
 }
 
@@ -176,6 +180,8 @@ SQL = {
     "stream_dedup_scores": sql.with_views(scoring_checks._PROMPTS) + f"SELECT DISTINCT cache_id, {_RULE} FROM prompts",
     "stream_ema": RUN_SQL["ema"],
     "stream_running_best": RUN_SQL["running_best"],
+    "stream_late_rows": sql.with_views(sql.HISTORY)
+    + "SELECT CAST(0 AS BIGINT) late, CAST(count(*) AS BIGINT) n FROM history WHERE loss_test IS NOT NULL",
     "stream_metric_log": sql.with_views(sql.HISTORY)
     + "SELECT run_id, iter, iter*131072 tokens, round(loss_test,6) loss_test FROM history",
 }

@@ -13,16 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import computed_once
-from ..session import broadcast_within
 from .ordinals import id_bucket, ordinal, running_min, with_halo
 
 KEY = "run_id"
 
 
-def enrich(history: DataFrame, runs: DataFrame, max_runs: int = 200_000) -> DataFrame:
+def enrich(history: DataFrame, runs: DataFrame) -> DataFrame:
     """Run columns on every history row; a column both have is taken from the history."""
     extra = [c for c in runs.columns if c not in history.columns]
-    return history.join(broadcast_within(runs.select(KEY, *extra), max_runs), KEY)
+    return history.join(runs.select(KEY, *extra), KEY)
 
 
 def placed(history: DataFrame, step: str = "iter", name: str = "idx", total: str | None = None) -> DataFrame:
@@ -37,6 +36,8 @@ def thinned(history: DataFrame, every: int, finer_before: int = 0, step: str = "
     """
     if not finer_before:
         return history.filter(F.col(step) % every == 0)
+    if every < 10:
+        raise ValueError("a denser part needs every >= 10")
     dense = every // 10
     width = F.when(F.col(step) < finer_before, F.lit(dense)).otherwise(F.lit(dense * 10))
     return history.filter(F.col(step) % width == 0)
@@ -153,7 +154,7 @@ def last_evals(history: DataFrame, metric: str, marker: str = "iter_num_gen", st
 
 
 def derived(history: DataFrame, metric: str, baseline: float, offset: int, tokens_per_step: int, step: str = "iter") -> DataFrame:
-    """Log, baseline difference, shifted step and token counter of each row."""
+    """Log (null for values of 0 or less), baseline difference, shifted step and token counter of each row."""
     return history.withColumns(
         {
             f"log_{metric}": F.ln(metric),
@@ -172,12 +173,17 @@ def chosen_scores(history: DataFrame, iterations: Sequence[int], score: str, mar
 def score_pivot(
     history: DataFrame, key: Column, iterations: Sequence[int], score: str, marker: str = "iter_num_gen"
 ) -> DataFrame:
-    """One row per key with the score at each chosen iteration; the last run of a key counts."""
-    rows = chosen_scores(history, iterations, score, marker).withColumn("key", key)
-    cells = [
-        F.max_by(score, F.when(F.col(marker) == i, F.struct(F.col(KEY)))).alias(f"at_{i}") for i in iterations
-    ]
-    return rows.groupBy("key").agg(*cells)
+    """One row per key with the score at each chosen iteration.
+
+    The last run of a key (by run id) gives the whole row, cells that it has no score for
+    included; of several scores of an iteration the greatest counts. Cells are gathered by key
+    and run first, so a row per run is all that is compared.
+    """
+    valid = F.col(score).isNotNull() & ~F.isnan(score)
+    cells = [F.max(F.when((F.col(marker) == i) & valid, F.col(score))).alias(f"at_{i}") for i in iterations]
+    per_run = history.withColumn("key", key).groupBy("key", KEY).agg(*cells)
+    last = per_run.groupBy("key").agg(F.max(F.struct(KEY, *[f"at_{i}" for i in iterations])).alias("_row"))
+    return last.select("key", *[F.col(f"_row.at_{i}").alias(f"at_{i}") for i in iterations])
 
 
 def mean_curve(history: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import options
+
 LIST_KEYS = ("features", "words")
 
 
@@ -19,15 +21,11 @@ def story_filter(spec: str | None, ignore_case: bool = False) -> Column:
     """
     if spec is None:
         return F.lit(True)
-    return reduce(lambda a, b: a & b, [_condition(part, ignore_case) for part in spec.split(",")])
+    return reduce(lambda a, b: a & b, [_condition(part, ignore_case) for part in options.parts(spec)])
 
 
-def _condition(part: str, ignore_case: bool) -> Column:
-    negated = "!=" in part
-    pieces = part.split("!=" if negated else "=")
-    if len(pieces) != 2:
-        raise ValueError(f"cannot read the condition {part!r}")
-    key, value = pieces
+def _condition(part: options.Part, ignore_case: bool) -> Column:
+    key, negated, value = options.condition(part)
     if key in LIST_KEYS:
         held = F.transform(key, F.lower) if ignore_case else F.col(key)
         test = F.array_contains(held, value.lower() if ignore_case else value)

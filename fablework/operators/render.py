@@ -43,15 +43,24 @@ def instruction_lines(seed: int = 0) -> dict[str, Column]:
     }
 
 
+def has_parts() -> Column:
+    """Whether a row has all that is rendered: story, summary, words and features (a sentence may be picked)."""
+    return (
+        F.col("story").isNotNull() & F.col("summary").isNotNull()
+        & F.col("words").isNotNull() & F.col("features").isNotNull()
+    )
+
+
 def renderable(df: DataFrame) -> DataFrame:
-    """Rows with a sentence to pick, and their ``candidates``; others cannot be rendered."""
-    found = computed_once(df, "candidates", sentence_candidates(F.col("story")))
+    """Rows with all parts and a sentence to pick, and their ``candidates``; others cannot be rendered."""
+    found = computed_once(df.filter(has_parts()), "candidates", sentence_candidates(F.col("story")))
     return found.filter(F.size("candidates") > 0)
 
 
 def render_counts(df: DataFrame) -> DataFrame:
-    """Rendered and skipped rows per shard."""
-    ok = (F.size(sentence_candidates(F.col("story"))) > 0).cast("bigint")
+    """Rendered and skipped rows per shard; together they are all rows."""
+    fits = F.coalesce(has_parts() & (F.size(sentence_candidates(F.col("story"))) > 0), F.lit(False))
+    ok = fits.cast("bigint")
     return df.groupBy("shard_key").agg(
         F.sum(ok).alias("rendered"), F.sum(F.lit(1).cast("bigint") - ok).alias("skipped")
     )

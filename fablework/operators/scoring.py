@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from string import Formatter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,22 +13,22 @@ from pyspark.sql import functions as F
 from ..functions import cache_id, strip, uniform
 
 SYSTEM = "You help by answering questions about stories for children."
-ZERO_SHOT = (
-    "Below is a story for children. Answer this question about it: {question} Reply with Yes or No only.",
-    "{story}",
-    "{question}",
-)
-SHOT = ("<story>", "{story}", "</story>", "<reasoning>{reasoning}</reasoning>", "<answer>{answer}</answer>")
-FEW_SHOT = (
-    "Below is a story for children. Answer this question about it: {question}",
-    "Think step by step inside <reasoning> tags, then repeat the question and give Yes or No in <answer> tags.",
-    "Examples:",
-    "{shots}",
-    "The story to answer for:",
-    "<story>",
-    "{story}",
-    "</story>",
-)
+
+
+@dataclass(frozen=True)
+class Templates:
+    """Prompt texts of a study; ``{name}`` marks what is filled in. Cache keys depend on them."""
+
+    zero_shot: str = (
+        "Below is a story for children. Answer this question about it: {question} Reply with Yes or No only."
+        "\n\n{story}\n\n{question}"
+    )
+    example: str = "Example story: {story}\nWhy: {reasoning}\n{question} {answer}"
+    few_shot: str = "{shots}\n\nStory: {story}\nExplain in one sentence, then answer.\n{question}"
+    between: str = "\n\n"  # of two examples
+
+
+DEFAULT = Templates()
 
 PROMPT_SCHEMA = "cache_id string, prompt string"
 SCORED_SCHEMA = "cache_id string, content string"
@@ -38,43 +40,39 @@ def question_about(feature: str) -> str:
     return f"Does the story have a {feature}?"
 
 
-def fill(template: tuple[str, ...], glue: str = "\n", **parts: Column | str) -> Column:
-    """A template with its ``{name}`` places taken by columns; the text is never re-read."""
+def fill(template: str, **parts: Column | str) -> Column:
+    """A template with its ``{name}`` places taken by columns; what is filled in is never read again."""
     pieces: list[Column] = []
-    for n, line in enumerate(template):
-        text = (glue if n else "") + line
-        while "{" in text:
-            before, rest = text.split("{", 1)
-            name, text = rest.split("}", 1)
-            value = parts[name]
-            pieces += [F.lit(before), value if isinstance(value, Column) else F.lit(value)]
-        pieces.append(F.lit(text))
+    for before, name, _, _ in Formatter().parse(template):
+        pieces.append(F.lit(before))
+        if name is not None:
+            pieces.append(parts[name] if isinstance(parts[name], Column) else F.lit(parts[name]))
     return F.concat(*pieces)
 
 
-def zero_shot_prompt(story: Column, question: str) -> Column:
-    return fill(ZERO_SHOT, "\n\n", story=strip(story), question=question)
+def zero_shot_prompt(story: Column, question: str, templates: Templates = DEFAULT) -> Column:
+    return fill(templates.zero_shot, story=strip(story), question=question)
 
 
-def shot_block(story: Column, reasoning: Column, label: Column) -> Column:
+def shot_block(story: Column, reasoning: Column, label: Column, question: str, templates: Templates = DEFAULT) -> Column:
     """A worked example: story, summary as reasoning, Yes or No."""
     answer = F.when(label == 1, F.lit("Yes")).otherwise(F.lit("No"))
-    return fill(SHOT, story=strip(story), reasoning=strip(reasoning), answer=answer)
+    return fill(templates.example, story=strip(story), reasoning=strip(reasoning), question=question, answer=answer)
 
 
-def join_shots(shots: DataFrame, seed: int = 0) -> DataFrame:
+def join_shots(shots: DataFrame, question: str, seed: int = 0, templates: Templates = DEFAULT) -> DataFrame:
     """One row with all example blocks in hashed order.
 
     ``shots`` is the few examples chosen for a prompt, ``2n`` rows for n per class.
     """
-    block = shot_block(F.col("story"), F.col("summary"), F.col("label"))
+    block = shot_block(F.col("story"), F.col("summary"), F.col("label"), question, templates)
     keyed = F.struct(uniform(seed, "shot", F.col("story_id")).alias("u"), "story_id", block.alias("block"))
-    return shots.agg(F.array_join(F.sort_array(F.collect_list(keyed))["block"], "\n").alias("shots"))
+    return shots.agg(F.array_join(F.sort_array(F.collect_list(keyed))["block"], templates.between).alias("shots"))
 
 
-def few_shot_prompt(story: Column, question: str, shots: DataFrame) -> Column:
+def few_shot_prompt(story: Column, question: str, shots: DataFrame, templates: Templates = DEFAULT) -> Column:
     """The same example text in front of every story; ``shots`` is a one-row frame."""
-    return fill(FEW_SHOT, story=strip(story), question=question, shots=shots.scalar())
+    return fill(templates.few_shot, story=strip(story), question=question, shots=shots.scalar())
 
 
 def parse_answer(content: Column, question: str) -> tuple[Column, Column]:
@@ -100,11 +98,10 @@ def cached(prompts: DataFrame, cache: DataFrame) -> DataFrame:
 def missing(prompts: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct prompts without a cached score.
 
-    Copies are dropped in every task before the shuffle; what is left is spread by a key
-    of which each value occurs once.
+    Ids are compared alone; only the prompts of missing ids are fetched, one for each.
     """
-    distinct = prompts.select("cache_id", "prompt").dropDuplicates(["cache_id"])
-    return distinct.join(cache.select("cache_id"), "cache_id", "left_anti")
+    ids = prompts.select("cache_id").distinct().join(cache.select("cache_id"), "cache_id", "left_anti")
+    return prompts.select("cache_id", "prompt").join(ids, "cache_id", "left_semi").dropDuplicates(["cache_id"])
 
 
 def score_prompts(prompts: DataFrame, scorer: Scorer, parallel: int | None = None) -> DataFrame:
@@ -133,19 +130,20 @@ def rule_scorer(question: str, sign: str = "!") -> Scorer:
     return answer
 
 
-def score_all(prompts: DataFrame, cache: DataFrame, scorer: Scorer, question: str) -> DataFrame:
-    """``(cache_id, score, content)`` of every distinct prompt, scoring only the misses."""
-    wanted = prompts.select("cache_id", "prompt").dropDuplicates(["cache_id"])
-    hits = wanted.join(cache, "cache_id").select("cache_id", "score", "content")
+def fresh_scores(prompts: DataFrame, cache: DataFrame, scorer: Scorer, question: str) -> DataFrame:
+    """``(cache_id, score, content)`` of the distinct prompts that the cache does not hold.
+
+    Store it before anything else reads it: each read calls the scorer.
+    """
     fresh = score_prompts(missing(prompts, cache), scorer)
     score, _ = parse_answer(F.col("content"), question)
-    return hits.unionByName(fresh.select("cache_id", score.alias("score"), "content"))
+    return fresh.select("cache_id", score.alias("score"), "content")
 
 
-def chat_rows(df: DataFrame, question: str) -> DataFrame:
+def chat_rows(df: DataFrame, question: str, templates: Templates = DEFAULT) -> DataFrame:
     """Fine-tuning examples: system, user and assistant messages."""
     answer = F.when(F.col("label") == 1, F.lit("Yes")).otherwise(F.lit("No"))
-    user = fill(ZERO_SHOT, "\n\n", story=F.col("story"), question=question)
+    user = fill(templates.zero_shot, story=F.col("story"), question=question)
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return df.select(
         "story_id",

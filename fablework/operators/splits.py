@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import uniform
-from ..session import broadcast_within
 from ..sources.readers import shard_index
 from .ordinals import first_rows, id_bucket, ordinal, unit_bucket
 
@@ -32,9 +31,9 @@ def shard_roles(df: DataFrame) -> DataFrame:
     )
 
 
-def shard_split(df: DataFrame, max_shards: int = 200_000) -> DataFrame:
+def shard_split(df: DataFrame) -> DataFrame:
     """Rows with the role of their shard."""
-    return df.join(broadcast_within(shard_roles(df), max_shards), "shard_key")
+    return df.join(shard_roles(df), "shard_key")
 
 
 def exact_split(df: DataFrame, share: float, key: str, seed: int = 0, name: str = "train") -> DataFrame:

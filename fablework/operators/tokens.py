@@ -303,21 +303,28 @@ def encode_text(
 ) -> DataFrame:
     """``(keys, tokens)``: BOS and the ids of each text, from the ids of its distinct words.
 
-    A few words make up most of any text. The ``frequent`` most counted words are
-    broadcast, a bounded list, and never shuffled by word; only the rest is joined by
-    word, and no word of it is frequent enough to weigh down a task.
+    A word without ids raises an error. A few words make up most of any text. The
+    ``frequent`` most counted words are broadcast, a bounded list, and looked up where the
+    text is; the text is cut once, and only the other words are joined by word. None of them
+    is frequent enough to weigh down a task. Rows that repeat the keys keep a text each.
     """
-    cut = computed_once(texts.select(*keys, text), "_chunks", chunks(F.col(text)))
-    spread = cut.select(*keys, F.posexplode("_chunks").alias("pos", "w"))
+    row = F.struct(*keys, F.monotonically_increasing_id().alias("_row")).alias("_key")
+    cut = computed_once(texts.select(row, text), "_chunks", chunks(F.col(text)))
     hot = most_frequent(counts, frequent).select("w")
-    hot_ids = F.broadcast(ids.join(F.broadcast(hot), "w", "left_semi"))
-    near = spread.join(hot_ids, "w")
-    far = spread.join(F.broadcast(hot), "w", "left_anti").join(ids, "w")
-    both = near.unionByName(far)
-    joined = both.groupBy(*keys).agg(
-        F.flatten(F.sort_array(F.collect_list(F.struct("pos", "ids")))["ids"]).alias("ids")
+    hot_ids = F.broadcast(ids.join(F.broadcast(hot), "w", "left_semi").select("w", F.col("ids").alias("_near")))
+    spread = cut.select("_key", F.posexplode("_chunks").alias("pos", "w")).join(hot_ids, "w", "left")
+    # a word that was found near needs no partner: its key is spread over all tasks
+    far = F.when(F.col("_near").isNull(), F.col("w")).otherwise(F.concat(F.lit("\u0000"), F.xxhash64("_key", "pos").cast("string")))
+    joined = spread.withColumn("_far", far).join(
+        ids.select(F.col("w").alias("_far"), F.col("ids").alias("_ids")), "_far", "left"
+    )
+    known = F.coalesce("_near", "_ids", F.raise_error(F.concat(F.lit("no ids for the word "), F.col("w"))).cast("array<int>"))
+    whole = joined.groupBy("_key").agg(
+        F.flatten(F.sort_array(F.collect_list(F.struct("pos", known.alias("ids"))))["ids"]).alias("ids")
+    )
+    return whole.select(
+        *[F.col("_key")[k].alias(k) for k in keys], F.concat(F.array(F.lit(BOS)), F.col("ids")).alias("tokens")
     )
-    return joined.select(*keys, F.concat(F.array(F.lit(BOS)), F.col("ids")).alias("tokens"))
 
 
 def decode_tokens(encoded: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ("shard_key", "story_id")) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics, scoring
+from ..operators import metrics, scoring, splits
 from ..operators.parse import clean_generation
+from ..sources.writers import append_scores, read_scores
 
 
 def first_of_version(generations: DataFrame, subset: int | None) -> DataFrame:
@@ -24,16 +27,22 @@ def generation_prompts(
 
 
 def scored_rows(
-    prompts: DataFrame, cache: DataFrame, scorer: scoring.Scorer, question: str
+    prompts: DataFrame, cache_path: str, scorer: scoring.Scorer, question: str
 ) -> DataFrame:
-    """Every prompt row with its score; equal prompts are scored once."""
-    scores = scoring.score_all(prompts, cache, scorer, question)
-    return prompts.join(scores, "cache_id")
+    """Every prompt row with its score.
+
+    Prompts that the cache table lacks are scored once, and their answers are written there
+    before anything reads them; the rows come from the cache alone.
+    """
+    spark = prompts.sparkSession
+    scores = scoring.fresh_scores(prompts, read_scores(spark, cache_path), scorer, question)
+    append_scores(scores, cache_path)
+    return prompts.join(read_scores(spark, cache_path), "cache_id")
 
 
 def generation_report(
     generations: DataFrame,
-    cache: DataFrame,
+    cache_path: str,
     scorer: scoring.Scorer,
     question: str,
     model: str,
@@ -41,8 +50,40 @@ def generation_report(
 ) -> DataFrame:
     """Score summary of each table version."""
     prompts = generation_prompts(generations, question, model, subset)
-    return metrics.version_summary(scored_rows(prompts, cache, scorer, question))
+    return metrics.version_summary(scored_rows(prompts, cache_path, scorer, question))
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """A scored labelled set: rates, the distribution of scores by label, and the mistakes."""
+
+    rows: DataFrame
+    rates: DataFrame
+    scores: DataFrame
+    mistakes: DataFrame
+
 
+def classifier_report(
+    labelled: DataFrame, cache_path: str, scorer: scoring.Scorer, question: str, model: str,
+    shots_per_class: int = 0, shots: DataFrame | None = None, seed: int = 0,
+    templates: scoring.Templates = scoring.DEFAULT,
+) -> Evaluation:
+    """Score a labelled set and compare with its labels.
 
-def classifier_report(labelled: DataFrame, score: Column | str = "score") -> DataFrame:
-    return metrics.confusion(labelled.withColumn("score", F.col(score) if isinstance(score, str) else score))
+    With ``shots_per_class`` the first stories of each class become examples in front of
+    every prompt and leave the set; ``shots`` gives the example text (a row with ``shots``)
+    instead, and then no story leaves.
+    """
+    rest = labelled
+    if shots is None and shots_per_class:
+        chosen = splits.class_slice(labelled, shots_per_class)
+        shots = scoring.join_shots(chosen, question, seed, templates)
+        rest = splits.minus(labelled, chosen, "story_id")
+    story = F.col("story")
+    prompt = (
+        scoring.zero_shot_prompt(story, question, templates) if shots is None
+        else scoring.few_shot_prompt(story, question, shots, templates)
+    )
+    prompts = scoring.with_cache_id(rest.select("story_id", "label", prompt.alias("prompt")), model)
+    rows = scored_rows(prompts, cache_path, scorer, question).select("story_id", "label", "score", "content")
+    return Evaluation(rows, metrics.confusion(rows), metrics.describe(rows, "score", ["label"]), metrics.mistakes(rows))

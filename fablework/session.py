@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(name: str = "fablework", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,8 +31,7 @@ def build_session(name: str = "fablework", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder; on a cluster such a folder
-    would vanish with its machine.
+    Only a local master may go without it; it uses a folder below its warehouse.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -46,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rsplit("/", 1)[0]
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="fablework-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    folder = f"{warehouse}/checkpoints"  # one machine: its own disk is what all tasks share
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -60,14 +58,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``; the files outlive any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_within(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast only when it has at most ``max_rows`` rows.
-
-    The count stops at the bound. Above it the frame is returned as it is, and the join
-    runs as a shuffled one that adaptive execution may split on skew.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -6,13 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ..session import broadcast_within
-
 STORY_SCHEMA = T.StructType(
     [
         T.StructField("story", T.StringType()),
@@ -32,11 +30,46 @@ STORY_SCHEMA = T.StructType(
 )
 
 
-def shape_stories(raw: DataFrame) -> DataFrame:
-    """Parsed shard rows as stories; unreadable records are left out."""
-    return raw.filter(F.col("_corrupt_record").isNull()).select(
+#: A story id is the hash of its shard above and the place in the shard below this bit.
+PLACE_BITS = 32
+#: Up to so many shards their list is sent to every task; the driver's file listing is as long.
+LISTED_SHARDS = 1_000_000
+
+
+def shard_name(path: Column) -> Column:
+    """``k`` of a path with a folder ``shard=k``, else the file's name."""
+    folder = F.url_decode(F.replace(F.regexp_extract(path, r"/shard=([^/]+)/", 1), F.lit("+"), F.lit("%2B")))
+    return F.when(folder != "", folder).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
+def raw_shards(found: DataFrame) -> DataFrame:
+    """Parsed rows of a batch or stream of shards, with shard and file."""
+    path = F.col("_metadata.file_path")
+    return found.select(*found.columns, shard_name(path).alias("shard_key"), path.alias("shard_path"))
+
+
+def shape_stories(raw: DataFrame, broken: str = "fail", shards: int | None = None) -> DataFrame:
+    """Parsed shard rows as stories with ids.
+
+    An unreadable shard is one unreadable record. It fails the job, unless ``broken`` is
+    ``skip`` (``broken_shards`` lists them). An id depends on the name of the shard and the
+    place in it alone, not on other files or on how files are packed into tasks: a file is read
+    by one task in order, so the place is the row's number less the least one of its shard.
+    ``shards`` is the number of shards, if known.
+    """
+    unreadable = F.col("_corrupt_record").isNotNull()
+    # reads a second column, as Spark does not parse for the record's state alone
+    readable = ~unreadable & (F.coalesce(F.length("story"), F.lit(0)) >= 0)
+    stop = F.raise_error(F.concat(F.lit("shard cannot be read: "), F.col("shard_path"))).cast("boolean")
+    rows = raw.withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.filter(readable if broken == "skip" else F.when(unreadable, stop).otherwise(readable))
+    starts = rows.groupBy("shard_key").agg(F.min("_row").alias("_first"))
+    if shards is not None and shards <= LISTED_SHARDS:
+        starts = F.broadcast(starts)
+    key = F.shiftleft(F.xxhash64("shard_key").bitwiseAND(F.lit((1 << 31) - 1)), PLACE_BITS)
+    return rows.join(starts, "shard_key").select(
         "shard_key",
-        "story_id",
+        key.bitwiseOR(F.col("_row") - F.col("_first")).alias("story_id"),
         "story",
         "summary",
         "sentence",
@@ -45,24 +78,81 @@ def shape_stories(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_story_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Stories of a folder of JSON-array shards, in the file order of each shard.
+def place_in_shard(story_id: Column) -> Column:
+    """0-based place of a story that ``shape_stories`` numbered."""
+    return story_id.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
 
-    A JSON array cannot be split, so a file is read by one task and its rows keep their
-    order; ``story_id`` grows along it. Write the result as a table before it is used
-    again with other files or settings: the ids number the rows of this read.
-    """
-    raw = (
-        spark.read.schema(STORY_SCHEMA)
+
+def shard_options(reader):
+    """Settings of a batch or stream reader for folders of shards."""
+    return (
+        reader.schema(STORY_SCHEMA)
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "*.json")
-        .json(folder)
-        .withColumn("shard_key", F.col("_metadata.file_name"))
-        # low 33 bits count rows inside the partition, so the id follows file order
-        .withColumn("story_id", F.monotonically_increasing_id())
+        .option("pathGlobFilter", "*.{json,txt}")
+        .option("recursiveFileLookup", True)
+    )
+
+
+def story_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(shard_key, path, length)`` of the shards of a folder; no file is opened."""
+    found = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.{json,txt}").option("recursiveFileLookup", True).load(folder)
     )
-    return shape_stories(raw)
+    return found.select(shard_name(F.col("path")).alias("shard_key"), "path", "length")
+
+
+def _read_files(spark: SparkSession, paths: list[str], broken: str) -> DataFrame:
+    found = raw_shards(shard_options(spark.read).json(paths))
+    return shape_stories(found, broken, len(found.inputFiles()))
+
+
+def read_story_shards(
+    spark: SparkSession, folder: str, shards: int | None = None, broken: str = "fail"
+) -> DataFrame:
+    """Stories of a folder of JSON-array shards; with ``shards`` only the first so many are opened.
+
+    ``story_id`` grows along a shard. A shard that cannot be parsed raises an error when it
+    is read, or is left out with ``broken="skip"``.
+    """
+    if shards is None:
+        return _read_files(spark, [folder], broken)
+    wanted = story_files(spark, folder).orderBy("shard_key").limit(shards).collect()
+    return _read_files(spark, [r["path"] for r in wanted], broken)
+
+
+def read_until(spark: SparkSession, folder: str, dataset_size: int, broken: str = "fail") -> DataFrame:
+    """Whole shards in name order until more than twice ``dataset_size`` stories are loaded.
+
+    Shards are counted in growing runs; those after the run that reaches the bound are not opened.
+    """
+    taken: list[tuple[str, str]] = []
+    loaded, step = 0, 8
+    while loaded <= 2 * dataset_size:
+        files = story_files(spark, folder)
+        rest = files.filter(F.col("shard_key") > F.lit(taken[-1][0])) if taken else files
+        run = [(r["shard_key"], r["path"]) for r in rest.orderBy("shard_key").limit(step).collect()]
+        if not run:
+            break
+        counts = dict(shard_counts(_read_files(spark, [path for _, path in run], broken)).collect())
+        for key, path in run:
+            if loaded > 2 * dataset_size:
+                break
+            taken.append((key, path))
+            loaded += counts.get(key, 0)
+        step *= 2
+    return _read_files(spark, [path for _, path in taken], broken)
+
+
+def broken_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """``(shard_key, path)`` of shards that cannot be parsed."""
+    raw = raw_shards(shard_options(spark.read).json(folder))
+    unreadable = F.col("_corrupt_record").isNotNull() & (F.coalesce(F.length("story"), F.lit(0)) >= 0)
+    return raw.filter(unreadable).select("shard_key", F.col("shard_path").alias("path")).distinct()
+
+
+def shard_counts(df: DataFrame) -> DataFrame:
+    return df.groupBy("shard_key").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def shard_index(df: DataFrame) -> DataFrame:
@@ -70,21 +160,20 @@ def shard_index(df: DataFrame) -> DataFrame:
 
     Ranks the list of shards, never the rows.
     """
-    counts = df.groupBy("shard_key").agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = shard_counts(df)
     by_name = Window.partitionBy(F.lit(0)).orderBy("shard_key")
     return counts.withColumn("shard_idx", (F.row_number().over(by_name) - 1).cast("bigint"))
 
 
-def with_shard_index(df: DataFrame, max_shards: int = 200_000) -> DataFrame:
+def with_shard_index(df: DataFrame) -> DataFrame:
     """Add ``shard_idx`` to every row."""
-    index = shard_index(df).select("shard_key", "shard_idx")
-    return df.join(broadcast_within(index, max_shards), "shard_key")
+    return df.join(shard_index(df).select("shard_key", "shard_idx"), "shard_key")
 
 
 def first_shards(df: DataFrame, count: int) -> DataFrame:
-    """Rows of the first ``count`` shards in name order."""
+    """Rows of the first ``count`` shards in name order, of a table; see ``read_story_shards`` for files."""
     wanted = shard_index(df).filter(F.col("shard_idx") < count).select("shard_key", "shard_idx")
-    return df.join(F.broadcast(wanted) if count <= 200_000 else wanted, "shard_key")
+    return df.join(wanted, "shard_key")
 
 
 def early_stop_scan(df: DataFrame, dataset_size: int) -> DataFrame:
@@ -98,9 +187,7 @@ def early_stop_scan(df: DataFrame, dataset_size: int) -> DataFrame:
         .filter(F.col("loaded_before") <= 2 * dataset_size)
         .select("shard_key")
     )
-    # every listed shard but the last holds a row, so the list has at most 2n+2 entries
-    small = 2 * dataset_size + 2 <= 200_000
-    return df.join(F.broadcast(loaded) if small else loaded, "shard_key", "left_semi")
+    return df.join(loaded, "shard_key", "left_semi")
 
 
 def read_token_bins(spark: SparkSession, folder: str, piece: int = 1 << 20) -> DataFrame:
@@ -174,6 +261,21 @@ def version_rows(df: DataFrame, version: str = "v") -> DataFrame:
 VOCAB_SCHEMA = "piece string, score double"
 
 
+def escaped_piece(piece: Column) -> Column:
+    """A piece without TAB and line break, which mean something in a vocabulary file."""
+    for plain, written in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n")):
+        piece = F.replace(piece, F.lit(plain), F.lit(written))
+    return piece
+
+
+def _unescaped_piece(piece: Column) -> Column:
+    parts = F.transform(
+        F.split(piece, r"\\\\", -1),
+        lambda p: F.replace(F.replace(p, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")),
+    )
+    return F.array_join(parts, "\\")
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """Vocabulary file with one ``piece<TAB>score`` line per id; ids are line numbers.
 
@@ -185,7 +287,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.text(path, wholetext=True)
         .select(lines.alias("id", "line"))
-        .select("id", F.element_at(cells, 1).alias("piece"), F.element_at(cells, 2).cast("double").alias("score"))
+        .select("id", _unescaped_piece(F.element_at(cells, 1)).alias("piece"), F.element_at(cells, 2).cast("double").alias("score"))
     )
 
 
@@ -227,6 +329,7 @@ def token_positions(df: DataFrame) -> DataFrame:
 
 
 __all__ = [
+    "broken_shards",
     "contiguous_versions",
     "early_stop_scan",
     "first_shards",
@@ -235,9 +338,16 @@ __all__ = [
     "read_shot_blocks",
     "read_story_shards",
     "read_token_bins",
+    "read_until",
     "read_version_tables",
     "read_vocabulary",
+    "place_in_shard",
+    "raw_shards",
+    "shape_stories",
+    "shard_counts",
     "shard_index",
+    "shard_options",
+    "story_files",
     "shot_blocks",
     "token_positions",
     "version_rows",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.blocks import token_offsets
 from ..operators.ordinals import ID_BITS
 from ..operators.tokens import MAX_IDS
-from .readers import VOCAB_SCHEMA
+from .readers import VOCAB_SCHEMA, escaped_piece
 
 
 def write_text(df: DataFrame, path: str, column: str = "text") -> None:
@@ -16,6 +16,18 @@ def write_text(df: DataFrame, path: str, column: str = "text") -> None:
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_story_shards(stories: DataFrame, path: str) -> None:
+    """One JSON array a shard, in a file below ``shard=<key>``, stories in the order of their ids.
+
+    An array can't be cut, so a shard is a row here and a file there: keep shards small.
+    """
+    names = ("story", "summary", "sentence")
+    row = F.struct("story_id", *names, F.struct("words", "features").alias("instruction"))
+    ordered = F.transform(F.sort_array(F.collect_list(row)), lambda s: F.struct(*[s[n].alias(n) for n in (*names, "instruction")]))
+    arrays = stories.groupBy(F.col("shard_key").alias("shard")).agg(F.to_json(ordered).alias("value"))
+    arrays.write.mode("overwrite").partitionBy("shard").text(path)
+
+
 def in_id_range(tokens: Column) -> Column:
     """The token list itself, or an error when an id does not fit 16 bits."""
     ok = (F.coalesce(F.array_max(tokens), F.lit(0)) < MAX_IDS) & (F.coalesce(F.array_min(tokens), F.lit(0)) >= 0)
@@ -72,13 +84,31 @@ ROW_BITS = 14
 SCORE_SCHEMA = "cache_id string, score double, content string"
 
 
+#: Folders of the cache: the first digits of a cache id.
+CACHE_PREFIX = 2
+
+
 def append_scores(scores: DataFrame, path: str) -> None:
-    """Add scores to the cache table. Callers pass misses only, so keys stay unique."""
-    scores.select("cache_id", "score", "content").write.mode("append").parquet(path)
+    """Add scores to the cache table; ids that it holds already are left out.
+
+    Ids repeated within ``scores`` are added once. Two jobs that append at the same time may
+    still add an id twice, which ``read_scores`` undoes.
+    """
+    spark = scores.sparkSession
+    new = scores.select("cache_id", "score", "content").dropDuplicates(["cache_id"])
+    held = read_scores(spark, path, distinct=False).select("cache_id")
+    new = new.join(held, "cache_id", "left_anti")
+    new.withColumn("prefix", F.substring("cache_id", 1, CACHE_PREFIX)).write.mode("append").partitionBy("prefix").parquet(path)
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCORE_SCHEMA).parquet(path)
+def read_scores(spark: SparkSession, path: str, distinct: bool = True, prefixes: list[str] | None = None) -> DataFrame:
+    """The cache table, empty when nothing was written yet; with ``prefixes`` only these folders."""
+    spark.createDataFrame([], SCORE_SCHEMA + ", prefix string").write.mode("append").partitionBy("prefix").parquet(path)
+    found = spark.read.schema(SCORE_SCHEMA + ", prefix string").parquet(path)
+    if prefixes is not None:
+        found = found.filter(F.col("prefix").isin(prefixes))
+    found = found.select("cache_id", "score", "content")
+    return found.groupBy("cache_id").agg(F.min(F.struct("score", "content")).alias("s")).select("cache_id", "s.*") if distinct else found
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
@@ -108,12 +138,15 @@ def write_version_tables(rows: DataFrame, columns: list[str], path: str) -> None
 
 
 def write_vocabulary(vocab: DataFrame, path: str) -> None:
-    """``piece<TAB>score`` lines in id order, as one file: a vocabulary is bounded."""
+    """``piece<TAB>score`` lines in id order, as one file: a vocabulary is bounded.
+
+    A backslash, TAB or line break inside a piece is written as ``\\\\``, ``\\t`` or ``\\n``.
+    """
     score = F.regexp_replace(F.col("score").cast("string"), r"\.0$", "")
     (
         vocab.repartitionByRange(1, "id")
         .sortWithinPartitions("id")
-        .select(F.concat("piece", F.lit("\t"), score).alias("value"))
+        .select(F.concat(escaped_piece(F.col("piece")), F.lit("\t"), score).alias("value"))
         .write.mode("overwrite")
         .text(path)
     )
@@ -129,6 +162,7 @@ __all__ = [
     "read_tokens",
     "write_chat_lines",
     "write_labelled",
+    "write_story_shards",
     "write_summary",
     "write_text",
     "write_tokens",

@@ -2,37 +2,27 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scoring import Scorer, missing, parse_answer, score_prompts
-
-CACHE_SCHEMA = "cache_id string, score double, content string, stream string, batch bigint"
+from ..operators.scoring import Scorer, fresh_scores
+from ..sources.writers import CACHE_PREFIX, append_scores, read_scores
 
 
 def score_stream(prompts: DataFrame, cache_path: str, checkpoint: str, scorer: Scorer, question: str):
     """Score new prompts against the cache table at ``cache_path``.
 
-    The cache is the state: each trigger drops prompts it holds. A trigger writes its own
-    folder, named by stream and batch, and replaces it when it is run again after a
-    failure, so a replay neither repeats nor loses a score. The stream's name comes from
-    its checkpoint, so another stream on the same cache keeps clear of it.
+    The cache is the state: each trigger drops prompts it holds, and reads only the folders
+    of the ids it has prompts for. Appending is keyed, so a trigger that runs again after a
+    failure adds what it had not added, and another stream on the same cache adds nothing twice.
     """
-    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def once(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number == 0:  # makes sure the folder is there
-            spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").partitionBy("stream", "batch").parquet(cache_path)
-        replayed = (F.col("stream") == stream) & (F.col("batch") >= number)
-        known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(~replayed)
-        fresh = score_prompts(missing(batch, known), scorer)
-        score, _ = parse_answer(F.col("content"), question)
-        fresh.select("cache_id", score.alias("score"), "content").write.mode("overwrite").parquet(
-            f"{cache_path}/stream={stream}/batch={number}"
-        )
+        prefix = F.substring("cache_id", 1, CACHE_PREFIX)
+        wanted = [r[0] for r in batch.select(prefix).distinct().collect()]  # at most 16 ** CACHE_PREFIX
+        known = read_scores(spark, cache_path, False, wanted)
+        append_scores(fresh_scores(batch, known, scorer, question), cache_path)
 
     return (
         prompts.writeStream.foreachBatch(once)

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.recipes import Recipe, build_text
-from ..sources.readers import STORY_SCHEMA, shape_stories
+from ..sources.readers import raw_shards, shape_stories, shard_options
 
 
 def stream_tables(spark: SparkSession, folder: str, schema: StructType | str, files_per_trigger: int = 64) -> DataFrame:
@@ -18,27 +17,26 @@ def stream_tables(spark: SparkSession, folder: str, schema: StructType | str, fi
 
 
 def stream_story_shards(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
-    """JSON-array shards as they arrive; the story id is a hash of the shard and the story."""
-    raw = (
-        spark.readStream.schema(STORY_SCHEMA)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "*.json")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(folder)
-        .withColumn("shard_key", F.col("_metadata.file_name"))
-        .withColumn("story_id", F.xxhash64("shard_key", "story", "summary", "sentence"))
-    )
-    return shape_stories(raw)
+    """Parsed rows of JSON-array shards as they arrive; ``write_texts`` makes stories of them."""
+    reader = shard_options(spark.readStream).option("maxFilesPerTrigger", files_per_trigger)
+    return raw_shards(reader.json(folder))
 
 
 def write_texts(stream: DataFrame, recipe: str | Recipe, path: str, checkpoint: str, seed: int = 0):
-    """Append rendered text of every new story; runs until the present files are used up."""
+    """Append rendered text of every new story; runs until the present files are used up.
+
+    Shard rows get the ids that a batch read gives them. A trigger writes a folder of its own and
+    replaces it when it is run again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a trigger has at most ``files_per_trigger`` shards
+        found = shape_stories(batch, shards=0) if "_corrupt_record" in batch.columns else batch
+        build_text(found, recipe, seed).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     return (
-        build_text(stream, recipe, seed)
-        .writeStream.format("parquet")
-        .option("path", path)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

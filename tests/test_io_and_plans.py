@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from fablework.operators import history as hist
-from fablework.operators import scoring
+from fablework.operators import scoring, splits
 from fablework.operators.blocks import bos_blocks, fixed_blocks, token_offsets
-from fablework.session import broadcast_within, fresh_path, shared_dir
+from fablework.plans import corpus_build, recipes, scoring_job
+from fablework.session import fresh_path, shared_dir
 from fablework.sources import readers, writers
+from fablework.sources.readers import read_story_shards
 from fablework.streaming import metrics as stream_metrics
 from fablework.streaming import scores as stream_scores
 from fablework.streaming import shards as stream_shards
@@ -23,14 +25,54 @@ def story(text, **more):
 
 def test_story_shards(spark, tmp_path):
     (tmp_path / "data1.json").write_text(json.dumps([story("a"), story("b", sentence="given", extra=1)]))
-    (tmp_path / "data10.json").write_text(json.dumps([story("c\nc")]))
-    (tmp_path / "data2.json").write_text("[{broken")
-    rows = readers.read_story_shards(spark, str(tmp_path)).orderBy("story_id").collect()
-    assert sorted((r["shard_key"], r["story"], r["sentence"]) for r in rows) == [
-        ("data1.json", "a", None), ("data1.json", "b", "given"), ("data10.json", "c\nc", None)
+    (tmp_path / "data10.json").write_text(json.dumps([story("c\nc"), story("a"), story("a")]))
+    found = readers.read_story_shards(spark, str(tmp_path))
+    rows = found.orderBy("shard_key", "story_id").collect()
+    assert [(r["shard_key"], r["story"], r["sentence"]) for r in rows] == [
+        ("data1.json", "a", None), ("data1.json", "b", "given"),
+        ("data10.json", "c\nc", None), ("data10.json", "a", None), ("data10.json", "a", None),
     ]
-    first = [r["story"] for r in rows if r["shard_key"] == "data1.json"]
-    assert first == ["a", "b"] and len({r["story_id"] for r in rows}) == 3
+    assert len({r["story_id"] for r in rows}) == 5 and [r["story_id"] % 2**32 for r in rows] == [0, 1, 0, 1, 2]
+    assert found.count() == 5
+    assert [tuple(r) for r in readers.shard_index(found).orderBy("shard_key").collect()] == [("data1.json", 2, 0), ("data10.json", 3, 1)]
+    assert readers.first_shards(found, 1).count() == 2 and readers.early_stop_scan(found, 0).count() == 2
+    assert splits.shard_split(found).filter("split = 'test'").count() == 2
+    assert corpus_build.vocabulary_texts(found).count() == 5
+    alone = readers.read_story_shards(spark, str(tmp_path), shards=1).collect()
+    assert [r["story_id"] for r in alone] == [r["story_id"] for r in rows[:2]]  # other files don't matter
+    assert readers.read_until(spark, str(tmp_path), 1).count() == 5
+
+
+def test_broken_shard_fails_unless_skipped(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([story("a")]))
+    (tmp_path / "b.json").write_text(json.dumps([story("b"), story("c")])[:-30])
+    with pytest.raises(Exception, match="shard cannot be read"):
+        readers.read_story_shards(spark, str(tmp_path)).count()
+    assert readers.read_story_shards(spark, str(tmp_path), broken="skip").count() == 1
+    assert [r["shard_key"] for r in readers.broken_shards(spark, str(tmp_path)).collect()] == ["b.json"]
+    assert readers.read_story_shards(spark, str(tmp_path), shards=1).count() == 1  # the second is not opened
+
+
+def test_documented_example(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"data{n}.json").write_text(json.dumps([story(f"The cat sat {n}. It ran."), story("A dog. It barked!")]))
+    stories = read_story_shards(spark, str(tmp_path))
+    custom = recipes.Recipe(filtering="features=Twist", refusal="features=Conflict:0.5")
+    vocab, merges = corpus_build.learn_vocabulary(
+        corpus_build.vocabulary_texts(read_story_shards(spark, str(tmp_path), shards=2)), 320
+    )
+    path = corpus_build.build_dataset(stories, custom, vocab, merges, str(tmp_path / "out"), 320)
+    assert spark.read.parquet(path).count() == 6 and recipes.build_text(stories, "recovery-Twist").count() == 6
+
+
+def test_equal_stories_in_a_streamed_shard_stay_apart(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text(json.dumps([story("Same. Same."), story("Same. Same.")]))
+    stream = stream_shards.stream_story_shards(spark, str(source))
+    stream_shards.write_texts(stream, "recovery-Twist", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    streamed = {r["story_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert streamed == {r["story_id"] for r in readers.read_story_shards(spark, str(source)).collect()} and len(streamed) == 2
 
 
 def test_token_files(spark, tmp_path):
@@ -57,6 +99,11 @@ def test_versions_stop_at_the_first_gap(spark, tmp_path):
 def test_vocabulary_file_keeps_quotes_and_order(spark, tmp_path):
     path = tmp_path / "v.vocab"
     path.write_text('<unk>\t0\n"\t-1\n▁\t-2\n', encoding="utf-8")
+    odd = ["a\tb", "\\t", "\\", "x\n", "\\\t"]
+    vocab = spark.createDataFrame([(i, p, -float(i)) for i, p in enumerate(odd)], "id int, piece string, score double")
+    writers.write_vocabulary(vocab, str(tmp_path / "written"))
+    back = readers.read_vocabulary(spark, str(tmp_path / "written")).orderBy("id").collect()
+    assert [r["piece"] for r in back] == odd and [r["id"] for r in back] == list(range(5))
     rows = readers.read_vocabulary(spark, str(path)).orderBy("id").collect()
     assert [(r["id"], r["piece"], r["score"]) for r in rows] == [(0, "<unk>", 0.0), (1, '"', -1.0), (2, "▁", -2.0)]
 
@@ -95,7 +142,7 @@ def test_each_prompt_is_scored_once_over_triggers(spark, tmp_path):
         rows.coalesce(1).write.mode("append").parquet(source)
         stream = stream_shards.stream_tables(spark, source, rows.schema, 1)
         stream_scores.score_stream(stream, cache, state, scoring.rule_scorer(ask), ask).awaitTermination()
-    found = spark.read.schema(stream_scores.CACHE_SCHEMA).parquet(cache)
+    found = writers.read_scores(spark, cache, distinct=False)
     assert found.count() == 3 and sorted(r["score"] for r in found.collect()) == [0.0, 0.0, 1.0]
 
 
@@ -123,16 +170,28 @@ def test_cache_table_append(spark, tmp_path):
     row = spark.createDataFrame([("k", 1.0, "yes")], writers.SCORE_SCHEMA)
     writers.append_scores(row, path)
     writers.append_scores(row.withColumn("cache_id", F.lit("l")), path)
-    assert sorted(r["cache_id"] for r in writers.read_scores(spark, path).collect()) == ["k", "l"]
+    writers.append_scores(row.union(row.withColumn("cache_id", F.lit("l"))), path)
+    assert sorted(r["cache_id"] for r in writers.read_scores(spark, path, distinct=False).collect()) == ["k", "l"]
 
 
-def test_shared_folder_is_read_from_the_session(spark):
-    assert fresh_path(spark, "x").startswith(shared_dir(spark)) and fresh_path(spark, "x") != fresh_path(spark, "x")
+def test_report_calls_the_scorer_once_for_each_missing_prompt(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(prompts):
+        calls.add(len(prompts))
+        return prompts.map(lambda p: "Q? Yes.")
+
+    generations = spark.createDataFrame(
+        [(v, i, f"story {i % 5}", i * 10) for v in range(3) for i in range(12)], "version int, row_idx bigint, generation string, iter_num bigint"
+    )
+    for _ in range(2):  # the second report finds everything in the cache
+        report = scoring_job.generation_report(generations, str(tmp_path / "c"), scorer, "Q?", "m")
+        assert sorted((r["version"], r["count"], r["mean"]) for r in report.collect()) == [(v, 12, 1.0) for v in range(3)]
+    assert calls.value == 5
 
 
-def test_broadcast_only_below_the_bound(spark):
-    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "broadcast" in df._jdf.queryExecution().analyzed().toString()
-    assert hinted(broadcast_within(spark.range(5), 5)) and not hinted(broadcast_within(spark.range(6), 5))
+def test_shared_folder_is_read_from_the_session(spark):
+    assert fresh_path(spark, "x").startswith(shared_dir(spark)) and fresh_path(spark, "x") != fresh_path(spark, "x")
 
 
 # ------------------------------------------------------------------ plans

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from fablework.functions import cosine_schedule
 from fablework.operators import history as hist
-from fablework.operators import metrics, ordinals, runs, sampling, scoring, splits
+from fablework.operators import edits, metrics, ordinals, runs, sampling, scoring, splits, tokens
 from fablework.operators.probes import fit_probes, probe_outputs
+from fablework.operators.render import render, render_counts
+from fablework.plans import corpus_build
 
 
 @pytest.fixture(scope="module")
@@ -142,9 +144,9 @@ def test_only_misses_reach_the_scorer(spark):
     )
     cache = prompts.filter("story_id = 4").select("cache_id", F.lit(1.0).alias("score"), F.lit("kept").alias("content"))
     assert sorted(r["prompt"] for r in scoring.missing(prompts, cache).collect()) == ["p", "q!"]
-    rows = {r["cache_id"]: r["score"] for r in scoring.score_all(prompts, cache, scoring.rule_scorer("Q?"), "Q?").collect()}
-    by_story = {r["story_id"]: rows[r["cache_id"]] for r in prompts.collect()}
-    assert by_story == {1: 0.0, 2: 0.0, 3: 1.0, 4: 1.0} and len(rows) == 3
+    rows = {r["cache_id"]: r["score"] for r in scoring.fresh_scores(prompts, cache, scoring.rule_scorer("Q?"), "Q?").collect()}
+    by_story = {r["story_id"]: rows.get(r["cache_id"]) for r in prompts.collect()}
+    assert by_story == {1: 0.0, 2: 0.0, 3: 1.0, 4: None} and len(rows) == 2
 
 
 def test_missing_lookup_is_an_error(spark):
@@ -188,3 +190,42 @@ def test_probes_beat_the_majority(spark):
     outputs = probe_outputs(df, fit_probes(df, [0], features=2))
     rates = {r["feature"]: r["accuracy"] for r in metrics.probe_accuracy(outputs).collect() if r["feature"] is not None}
     assert set(rates) == {0, 1} and min(rates.values()) > 0.95
+
+
+def test_a_later_run_replaces_the_whole_row_of_a_table(spark):
+    rows = [(1, 0.0, 0.1), (1, 30.0, 0.3), (2, 0.0, 0.2), (2, 30.0, None), (2, 30.0, float("nan"))]
+    history = spark.createDataFrame(rows, "run_id int, iter_num_gen double, s double")
+    got = hist.score_pivot(history, F.lit("k"), (0, 30), "s").collect()
+    assert [(r["key"], r["at_0"], r["at_30"]) for r in got] == [("k", 0.2, None)]
+
+
+@pytest.mark.parametrize("spec", ["features", "features=", "=Twist", "features=A:x", "features=A:2", "features:A:0.5", "features!=A:0.5"])
+def test_a_malformed_chance_is_an_error(spec):
+    with pytest.raises(ValueError):
+        edits.parse_chances(spec)
+
+
+def test_thinning_needs_room_for_the_denser_part(spark):
+    with pytest.raises(ValueError):
+        hist.thinned(spark.range(3).withColumnRenamed("id", "iter"), 5, finer_before=10)
+
+
+def test_rows_with_null_parts_are_skipped_and_counted(spark):
+    full = ("s", 1, "A. B", "sum", None, ["w"], ["Twist"])
+    rows = [full] + [tuple(None if i == n else v for i, v in enumerate(full)) for n in (2, 3, 5, 6)]
+    df = spark.createDataFrame(
+        rows, "shard_key string, story_id bigint, story string, summary string, sentence string, words array<string>, features array<string>"
+    )
+    assert [tuple(r) for r in render_counts(df).collect()] == [("s", 1, 4)] and render(df).count() == 1
+
+
+def test_encoding_loses_no_word_and_no_row(spark):
+    texts = spark.createDataFrame([("s", 1, "the cat the"), ("s", 1, "the cat the"), ("s", 2, "cat")], "shard_key string, story_id bigint, text string")
+    counts = corpus_build.chunk_counts(texts)
+    merges, _ = tokens.learn_merges(counts, 3)
+    vocab = tokens.bpe_vocabulary(counts, merges)
+    got = tokens.decode_tokens(corpus_build.bpe_tokens(texts, vocab, merges).withColumn("n", F.monotonically_increasing_id()), vocab, ("story_id", "n"))
+    assert sorted(r["text"] for r in got.collect()) == ["cat", "the cat the", "the cat the"]
+    ids = tokens.word_ids(tokens.merge_words(counts, merges), vocab)
+    with pytest.raises(Exception, match="no ids for the word"):
+        tokens.encode_text(texts.withColumn("text", F.lit("the zebra cat")), ids, counts).collect()
