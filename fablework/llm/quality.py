@@ -54,38 +54,42 @@ def size_difference(model: QualityModel, text: str | None, piece: int = 2048) ->
     return (_size(bad, data, piece) - _size(good, data, piece)) / len(data)
 
 
-def _bounded(rows: DataFrame, most_rows: int, most_chars: int) -> list[str]:
-    """Texts of the rows that come first by hash; long ones are cut, as a dictionary is bounded anyway."""
-    picked = rows.orderBy("pick", "doc_id").limit(most_rows)
-    return [r["text"] for r in picked.select(F.substring("text", 1, most_chars).alias("text")).collect() if r["text"]]
-
-
 def fit_quality(
-    labelled: DataFrame, dictionary_bytes: int = 524_288, most_rows: int = 2000, calibration_rows: int = 2000,
-    sample_chars: int = 4000, seed: int = 5,
+    docs: DataFrame, labels: DataFrame, dictionary_bytes: int = 524_288, most_rows: int = 2000,
+    calibration_rows: int = 2000, sample_chars: int = 3000, seed: int = 5,
 ) -> QualityModel:
-    """Fit on rows ``doc_id, text, label`` (1 good, 0 bad; others and null texts are left out).
+    """Fit on the texts of ``docs`` (``doc_id, text``) that ``labels`` (``doc_id, label``: 1 good, 0 bad) marks.
 
     The sample is bounded: at most ``most_rows`` rows of each label for the dictionaries and
     ``calibration_rows`` of each label, other rows, for the calibration, by a hash of the id.
-    The first ``sample_chars`` characters of these rows are used. A dictionary holds the
-    tails of as many texts as fit. The calibration is isotonic: pooled shares of good rows
-    along the difference, weighted to the labels' shares in ``labelled``. Without rows of both
-    labels every score is the share of good rows (0.5 without any).
+    It is drawn from the labels alone, so that its ids go to the texts and no text is moved;
+    the first ``sample_chars`` characters of these texts come to the driver. A dictionary
+    holds parts of equal length of its texts. The calibration is isotonic: pooled shares of good
+    rows along the difference, weighted to the labels' shares of all rows. Labels that are neither
+    0 nor 1, null ids and null texts are left out. Without texts of both labels every score is
+    the share of good rows (0.5 without any).
     """
-    rows = labelled.filter(F.col("label").isin(0, 1) & F.col("text").isNotNull()).select(
-        "doc_id", "text", "label", F.xxhash64(F.lit(seed), "doc_id").alias("pick")
+    usable = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select(
+        "doc_id", "label", F.xxhash64(F.lit(seed), "doc_id").alias("pick")
     )
-    share = rows.agg(F.avg("label").alias("good")).first()["good"]
+    share = usable.agg(F.avg("label").alias("good")).first()["good"]
     prior = 0.5 if share is None else float(share)
-    half = F.pmod("pick", F.lit(2))
-    texts = {
-        (label, part): _bounded(rows.filter((F.col("label") == label) & (half == part)), most, sample_chars)
+    half = F.pmod("pick", F.lit(2)).cast("int")
+    drawn = [
+        usable.filter((F.col("label") == label) & (half == part)).orderBy("pick", "doc_id").limit(most)
         for part, most in ((0, most_rows), (1, calibration_rows)) for label in (0, 1)
-    }
+    ]
+    sample = functools.reduce(DataFrame.union, drawn).select("doc_id", "label", half.alias("part"))
+    text = F.substring("text", 1, sample_chars)
+    rows = (  # at most 2 * (most_rows + calibration_rows) ids
+        docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
+        .select("doc_id", "label", "part", text.alias("text")).collect()
+    )
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    texts = {k: [r["text"] for r in rows if (r["label"], r["part"]) == k and r["text"]] for k in ((0, 0), (1, 0), (0, 1), (1, 1))}
     good, bad = (_dictionary(texts[label, 0], dictionary_bytes) for label in (1, 0))
     raw = QualityModel(good, bad, (0.0,), (prior,))
-    if not (good and bad and texts[0, 1] and texts[1, 1]):
+    if not all(texts.values()):
         return raw
     scores = [np.array([size_difference(raw, t) for t in texts[label, 1]]) for label in (0, 1)]
     knots, chances = _isotonic(scores[0], scores[1], prior)

@@ -76,7 +76,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     held = held_out(F.col("doc_id"), 5, 0)
     learned = labels.filter(~held & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("label"))
-    model = fit_quality(docs.select("doc_id", "text").join(learned, "doc_id"))
+    model = fit_quality(docs.select("doc_id", "text"), learned)
     return score_quality(docs.select("doc_id", "text"), model).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
