@@ -114,7 +114,7 @@ def shingle_hashes(hashes: np.ndarray, words: int) -> np.ndarray:
     return (out * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)
 
 
-def fragment_count(docs: DataFrame, text_col: str, per_word: float, target: int = 4_000_000) -> int:
+def fragment_count(docs: DataFrame, text_col: str, per_word: float, target: int = 2_500_000) -> int:
     """Fragments of about ``target`` features, from the bytes of all texts (about six a word)."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     return int(min(60_000, max(16, -(-total * per_word // (6 * target)))))
@@ -128,7 +128,7 @@ def shared_features(
     finish: Callable[[Block], pa.RecordBatch],
     schema: str,
     fragments: int,
-    block_bytes: int = 12 << 20,
+    block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """``finish`` of every block of documents; ``docs`` should be a table or a stored frame.
 
@@ -217,19 +217,25 @@ def _answers(rows: pa.Table) -> pa.Table:
         names.append(b)
     del payloads
     if names:
-        v, d, g, o = map(np.concatenate, (value, doc, digest, origin))
-        more = [np.concatenate(x) for x in zip(*extra)]
-        del value, doc, digest, origin, extra
-        known = np.unique(np.concatenate(many))  # shared inside some block
+        v = np.concatenate(value)
         order = np.argsort(v, kind="stable")
-        starts, run = _runs(v[order])
+        v = v[order]
+        new = np.append(True, v[1:] != v[:-1])[: len(v)]
         if len(v):
-            sorted_g = g[order]
-            several = np.minimum.reduceat(sorted_g, starts) != np.maximum.reduceat(sorted_g, starts)
-            several |= np.isin(v[order][starts], known)
-            picked = np.sort(order[several[run]])  # by block, as blocks came one after the other
-            v, d, o = v[picked], d[picked], o[picked]
-            more = [e[picked] for e in more]
+            starts = np.flatnonzero(new)
+            g = np.concatenate(digest)[order]
+            several = np.minimum.reduceat(g, starts) != np.maximum.reduceat(g, starts)
+            del digest, g
+            known = np.unique(np.concatenate(many))  # shared inside some block
+            several |= np.isin(v[starts], known)
+            picked = several[np.cumsum(new, dtype=np.uint32) - 1]
+            places = order[picked]
+            by_block = np.argsort(places)  # blocks came one after the other
+            v, places = v[picked][by_block], places[by_block]
+            del order, new, picked, by_block
+            d, o = (np.concatenate(x)[places] for x in (doc, origin))
+            more = [np.concatenate(x)[places] for x in zip(*extra)]
+            del value, doc, origin, extra
             cuts = np.searchsorted(o, np.arange(len(names) + 1))
             for i, name in enumerate(names):
                 s = slice(cuts[i], cuts[i + 1])
