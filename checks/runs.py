@@ -10,6 +10,8 @@ from fablework.functions import cosine_schedule, plain_string, scientific_string
 from fablework.operators import history as hist
 from fablework.operators import predicates, runs
 from fablework.plans import recipes
+from fablework.session import fresh_path
+from fablework.sources import readers
 from fablework.sources.sample_tables import deletion_models, history, probe_logits, table
 from fablework.sources.sample_tables import runs as run_table
 
@@ -36,6 +38,16 @@ def runs_view(spark, folder):
     return _rounded(run_table(spark, folder).select(*SCALARS, F.array_join("tags", ",").alias("tags")))
 
 
+def runs_read(spark, folder):
+    """A written run table read back by tag; the losses of some runs are NaN there."""
+    path = fresh_path(spark, "runs")
+    loss = F.when(F.col("run_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("final_loss"))
+    run_table(spark, folder).withColumn("final_loss", loss).write.parquet(path)
+    found, nothing = readers.read_runs(spark, path, tag="exp2")
+    assert nothing is None
+    return _rounded(found.select("run_id", "state", "final_loss"))
+
+
 def runs_filtered(spark, folder):
     kept = runs.select_runs(run_table(spark, folder), TYPES, ["exp2", "deletion"], True)
     return kept.select("run_id", "state", "learning_rate", "training_type")
@@ -219,7 +231,7 @@ def runs_sorted(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        runs_view, runs_filtered, runs_scheduled, runs_tagged, deletion_info, baseline_replicated, model_dir, shown_type,
+        runs_view, runs_read, runs_filtered, runs_scheduled, runs_tagged, deletion_info, baseline_replicated, model_dir, shown_type,
         dataset_name, dataset_name_parts, rate_strings, run_name_lines, sweep_grid, model_lineage, history_view,
         history_enriched, history_thinned, smooth_history, smooth_last_evals, last_n_evals, ema, running_best, step_time,
         distinct_evals, derived_columns, lr_schedule, score_pivot, score_table_lines, chosen_scores, loss_by_type,
@@ -271,6 +283,9 @@ SQL = {
     "runs_view": R
     + """SELECT run_id, "name", state, round(learning_rate,6) learning_rate, dataset_name, model_dir, lr_scheduling,
  round(final_loss,6) final_loss, array_to_string(tags,',') tags FROM runs""",
+    "runs_read": R
+    + """SELECT run_id, state, CASE WHEN run_id%7<>0 THEN round(final_loss,6) END final_loss FROM runs
+ WHERE list_contains(tags,'exp2')""",
     "runs_filtered": R
     + f"""SELECT run_id, state, learning_rate, {_TYPE} training_type FROM runs WHERE state NOT IN ('failed','crashed')
  AND learning_rate NOT IN (0.01, 0.001) AND list_contains(tags,'deletion') AND list_contains(tags,'exp2')""",

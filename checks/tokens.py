@@ -13,7 +13,7 @@ from fablework.sources.sample_tables import document_words, documents_table, sto
 
 from fablework.sources.writers import read_tokens, write_tokens
 
-from . import annotations, sql
+from . import annotations, selection, sql
 
 SIZE = 8192
 
@@ -71,6 +71,17 @@ def next_token(spark, folder):
     return pairs.select("shard_key", "block", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
 
 
+def training_batches(spark, folder):
+    """Two epochs of batches of 16 pairs, with their tokens."""
+    root = fresh_path(spark, "tokens")
+    write_tokens(_encoded(spark, folder), root, SIZE, "all")
+    pairs = corpus_build.training_stream(read_tokens(spark, root, SIZE, "all"), 128)
+    found = corpus_build.training_batches(pairs, 2, 16, seed=3)
+    return found.select(
+        "epoch", "batch_id", "place", "shard_key", "block", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y")
+    )
+
+
 def left_pad(spark, folder):
     encoded = _encoded(spark, folder)
     # batches of eight stories; the filler is a story without BOS, closed by a line break
@@ -153,6 +164,7 @@ QUERIES = {
     "fixed_blocks": fixed_blocks,
     "bos_blocks": bos_blocks,
     "next_token": next_token,
+    "training_batches": training_batches,
     "left_pad": left_pad,
     "bpe_pair_step": bpe_pair_step,
     "bpe_vocab": bpe_vocab,
@@ -214,6 +226,9 @@ SELECT shard_key, story_id, concat_ws(' ', '1', array_to_string(list(CASE WHEN v
  WHERE s.nxt IS NOT NULL GROUP BY s.shard_key, s.pos HAVING count(*)=65""",
     "next_token": sql.with_views(sql.TOKENS, _fixed(128))
     + "SELECT shard_key, block, array_to_string(chunk[1:128],' ') x, array_to_string(chunk[2:129],' ') y FROM blocks",
+    "training_batches": sql.with_views(sql.TOKENS, _fixed(128), selection._order_sql(3, 2))
+    + """SELECT epoch, CAST(place // 16 AS BIGINT) batch_id, place, shard_key, block,
+ array_to_string(chunk[1:128],' ') x, array_to_string(chunk[2:129],' ') y FROM ordered JOIN blocks USING (shard_key, block)""",
     "left_pad": sql.with_views(sql.TOKENS, _LISTS, _PAD.replace("filled AS", "filled AS", 1)),
     "bpe_pair_step": V
     + """SELECT substr(w,i,1) AS "left", substr(w,i+1,1) AS "right", CAST(sum(c) AS BIGINT) c

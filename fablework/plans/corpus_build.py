@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import computed_once, word_list
-from ..operators import blocks, tokens
+from ..operators import blocks, splits, tokens
 from ..operators.render import render
 from ..session import cut_lineage
 from ..sources.readers import first_shards
@@ -71,3 +71,15 @@ def training_stream(encoded: DataFrame, length: int, at_bos: bool = False) -> Da
     stream = blocks.token_offsets(encoded)
     cut = blocks.bos_blocks(stream, length) if at_bos else blocks.fixed_blocks(stream, length)
     return blocks.training_pairs(cut, length)
+
+
+def training_batches(
+    pairs: DataFrame, epochs: int, batch_size: int, seed: int = 0, worker: int = 0, rank: int = 0
+) -> DataFrame:
+    """Training pairs in the shuffled order of each epoch, ``batch_size`` to a batch.
+
+    ``pairs`` should be cut from a stored dataset: block numbers are ordered alone, and tokens
+    are joined to their place afterwards.
+    """
+    ordered = splits.epoch_order(pairs.select("shard_key", "block"), epochs, seed, worker, rank)
+    return splits.batches(ordered, batch_size).join(pairs, ["shard_key", "block"])
