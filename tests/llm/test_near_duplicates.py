@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from fablework.llm import ngram_join
+from fablework.llm import ngram_join, passages
 from fablework.llm.components import components
 from fablework.llm.ngram_join import similar_groups
 from fablework.llm.passages import common_passages, compact_windows, repeated_passages, without_repeats
@@ -165,6 +165,24 @@ def test_every_exact_repeat_of_fifty_words_is_covered(spark):
                 assert any(a <= k and k + 50 <= b for a, b in spans[i]), (i, k)
 
 
+@pytest.mark.parametrize("small", [64, 2])
+def test_edited_repeats_are_found_behind_many_hubs(spark, monkeypatch, small):
+    monkeypatch.setattr(passages, "SMALL_GROUP", small)
+    monkeypatch.setattr(passages, "BLOCK_REGIONS", 16)
+    rng = random.Random(21)
+    passage = words(rng, 70)
+    # documents with smaller ids have half of the passage, so they agree with it but are not similar
+    rows = [words(rng, 10) + passage[k : k + 34] + words(rng, 60) for k in range(0, 37, 2) for _ in range(4)]
+    pairs = set()
+    for cut in (30, 33):
+        edited = list(passage)
+        edited[cut] = f"edit{cut}"
+        rows.append(words(rng, 30) + edited + words(rng, 30))
+    pairs.add((len(rows) - 1, len(rows) - 2))
+    got = [r for r in repeated_passages(frame(spark, list(enumerate(map(" ".join, rows))))).collect()]
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in got if r["doc_id"] >= len(rows) - 2 and r["past_word"] - r["first_word"] >= 60} == pairs
+
+
 def test_passages_of_nothing(spark):
     assert repeated_passages(frame(spark, [])).count() == 0
     assert repeated_passages(frame(spark, [(1, None), (None, " ".join(map(str, range(99)))), (2, "")])).count() == 0
