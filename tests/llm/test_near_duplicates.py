@@ -126,6 +126,20 @@ def test_common_passages_bridge_edits_and_split_at_gaps():
     assert common_passages(a[:40], a[:40], 46, 0.75) == []
 
 
+@pytest.mark.parametrize("n", [4, 8, 12, 16])
+@pytest.mark.parametrize("turned", [False, True])
+def test_common_passages_bridge_insertions_and_deletions(n, turned):
+    rng = np.random.default_rng(n)
+    token = rng.integers(0, 10**9, 200)
+    text = lambda w: np.array([hash(tuple(w[i : i + 5].tolist())) for i in range(len(w) - 4)])
+    passage, strange = token[:80], token[80 : 80 + n]
+    a, b = text(passage), text(np.concatenate([token[150:], passage[:40], strange, passage[40:], token[100:140]]))
+    common, union = 72, 76 + 4 + n
+    expected = [(0, 76, 50, 50 + 76 + n)] if common / union >= 0.75 else []
+    found = common_passages(b, a, 46, 0.75) if turned else common_passages(a, b, 46, 0.75)
+    assert [(x[2:4] + x[:2]) if turned else x[:4] for x in found] == expected
+
+
 def test_repeats_are_found_and_clean_documents_left(spark):
     rng = random.Random(3)
     passage, other = words(rng, 60), words(rng, 80)
