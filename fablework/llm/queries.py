@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .ngram_join import similar_groups
 from .packing import pack_documents, public_tokenizer
 from .passages import repeated_passages
+from .phrases import phrase_collocations
 from .quality import fit_quality, held_out, score_quality
 from .sharding import shard_documents
 from .topk import exact_topk
@@ -87,6 +88,11 @@ def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 best phrases of 2 to 4 words of each language."""
+    return phrase_collocations(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_ngram_groups": op2_ngram_groups,
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_passages": op10_passages,
+    "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -118,5 +125,45 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op13_phrases": r"""
+        WITH p AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+            FROM (SELECT coalesce(lang, 'und') AS lang,
+                         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                  FROM documents)
+        ), g AS (
+            SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k))
+        ), f AS (
+            SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase
+        ), t AS (
+            SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+        ), c AS (
+            SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30
+        ), cuts AS (
+            SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS m FROM c
+        ), s AS (
+            SELECT cuts.lang, cuts.phrase, cuts.a, m, x.a AS l, y.a AS r,
+                   ((2000000::HUGEINT * cuts.a) // (x.a + y.a))::BIGINT AS score
+            FROM cuts
+            JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:m], ' ')
+            JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[m + 1:], ' ')
+        ), lowest AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, m) AS o FROM s
+        ), spots AS (
+            SELECT lang, a, w, unnest(range(1, len(w) + 1)) AS i FROM c WHERE k > 2
+        ), windows AS (
+            SELECT lang, a, w, i, unnest(range(i + 1, len(w) + 1)) AS j FROM spots
+        ), inside AS (
+            SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(a) AS longer
+            FROM windows WHERE j - i + 1 < len(w) GROUP BY ALL
+        ), ranked AS (
+            SELECT lowest.*, row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, lowest.phrase) AS rank
+            FROM lowest LEFT JOIN inside ON inside.lang = lowest.lang AND inside.phrase = lowest.phrase
+            WHERE o = 1 AND NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, false)
+        )
+        SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t ON t.lang = ranked.lang WHERE rank <= 2000
+    """,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
