@@ -22,9 +22,8 @@ KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 
 LEAST_BITS, MOST_BITS = 16, 27  # of a filter table: 8 KB to 16 MB
 
-_COUNTS = pa.schema(
-    [("lang", pa.string()), ("fp", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("place", pa.int64())]
-)
+SLICE_BYTES = 3 << 20  # of text that a task holds as arrays
+SHORT = np.uint64((1 << 48) - 1)
 
 
 def phrase_collocations(
@@ -38,9 +37,9 @@ def phrase_collocations(
     the language. A phrase inside a longer one that has ``covered`` percent of its places is dropped.
     ``best`` (None: all) rows of each language remain, by score, ``a`` and phrase.
 
-    A phrase is frequent only if its parts are, so words are counted first, then pairs of frequent
-    words, then longer phrases whose neighbouring words are all frequent pairs. The filter between the
-    passes is a table of bits of bounded size; a false hit costs a row, never a result. ``fingerprint_bits``
+    A phrase is frequent only if its parts are, so short fingerprints of words are counted first, then those
+    of pairs of frequent words; the last pass counts frequent words and pairs and all phrases made of frequent
+    pairs. The filter between the passes is a table of bits of bounded size; a false hit costs a row, never a result. ``fingerprint_bits``
     shortens the first fingerprint (for tests of collisions); phrases that share it are told apart by the
     second one, in a slice of texts by the words themselves, and at last by reading the text.
 
@@ -53,16 +52,11 @@ def phrase_collocations(
     ).filter(F.length("text") > 0)
     texts = texts.withColumn("key", F.xxhash64("lang", "text"))
 
-    words = stored(_counted(texts, least, fingerprint_bits, 1, 1, None), "phrases-words")
-    singles = words.filter(F.col("lang").isNull())
-    pairs = stored(_counted(texts, least, fingerprint_bits, 2, 2, bit_table(singles, "fp")), "phrases-pairs")
-    levels = [singles, pairs]
-    if longest > 2:
-        long = _counted(texts, least, fingerprint_bits, 3, longest, bit_table(pairs, "fp"))
-        levels.append(stored(long, "phrases-long"))
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
+    words = stored(_filter_counts(texts, least, fingerprint_bits, 1, None), "phrases-words")
+    tables = [bit_table(words.filter(F.col("lang").isNull()), "fp")]
+    pairs = stored(_filter_counts(texts, least, fingerprint_bits, 2, tables), "phrases-pairs")
+    tables.append(bit_table(pairs, "fp"))
+    found = stored(_counted(texts, least, fingerprint_bits, longest, tables), "phrases-found")
     phrases = stored(_read_phrases(found, texts), "phrases-read")
     totals = words.filter(F.col("lang").isNotNull()).select("lang", F.col("n").alias("total"))
     return _ranked(_kept(_scored(phrases), covered), totals, best)
@@ -71,82 +65,127 @@ def phrase_collocations(
 # ------------------------------------------------------------------ counting
 
 
-def _counted(texts: DataFrame, least: int, bits: int, shortest: int, longest: int, table: np.ndarray | None) -> DataFrame:
-    """Frequent fingerprints ``(lang, fp, check, n, key, place, key2, place2)``.
+def _filter_counts(texts: DataFrame, least: int, bits: int, length: int, tables: list[np.ndarray] | None) -> DataFrame:
+    """``(lang, fp, n)``: short fingerprints of at least ``least`` places; with words the totals of the languages.
 
-    With single words come the totals of the languages, the only rows with a ``lang``.
+    Only a filter is made from these rows, so they carry no more than 48 bits and a count.
     """
-    shared = None if table is None else texts.sparkSession.sparkContext.broadcast(table)
-    rows = texts.mapInArrow(partial(_count_batches, shared, bits, shortest, longest), "lang string, fp bigint, check bigint, n bigint, key bigint, place bigint")
+    shared = None if tables is None else texts.sparkSession.sparkContext.broadcast(tables)
+    rows = texts.mapInArrow(partial(_filter_batches, shared, bits, length), "lang string, fp bigint, n bigint")
+    counts = rows.groupBy("lang", "fp").agg(F.sum("n").alias("n"))
+    return counts.filter((F.col("n") >= least) | F.col("lang").isNotNull())
+
+
+def _counted(texts: DataFrame, least: int, bits: int, longest: int, tables: list[np.ndarray]) -> DataFrame:
+    """Frequent fingerprints ``(fp, check, n, key, place, key2, place2)`` of words and phrases."""
+    shared = texts.sparkSession.sparkContext.broadcast(tables)
+    rows = texts.mapInArrow(partial(_count_batches, shared, bits, longest), "fp bigint, check bigint, n bigint, key bigint, place bigint")
     return (
-        rows.groupBy("lang", "fp", "check")
+        rows.groupBy("fp", "check")
         .agg(
             F.sum("n").alias("n"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"),
             F.max("key").alias("key2"), F.max_by("place", "key").alias("place2"),
         )
-        .filter((F.col("n") >= least) | F.col("lang").isNotNull())
+        .filter(F.col("n") >= least)
     )
 
 
-def _count_batches(shared, bits, shortest, longest, batches):
-    """Counts of each slice of texts of about 8 MB."""
-    table = None if shared is None else shared.value
+class _Chain:
+    """The words of a slice of texts with the fingerprints of all their windows."""
+
+    def __init__(self, part: pa.RecordBatch, words: Words, bits: int, variants: int):
+        self.words, self.mask = words, np.uint64((1 << bits) - 1)
+        self.langs = part["lang"].dictionary_encode()
+        self.lang_codes = self.langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # one code for each pair of language and word
+        pair, self.codes = np.unique(self.lang_codes[words.rows] * len(words.distinct) + words.codes, return_inverse=True)
+        of_lang, of_word = np.divmod(pair, len(words.distinct))
+        self.chains = []
+        for v in range(variants):
+            names, spelled = word_hashes(self.langs.dictionary, v)[of_lang], word_hashes(words.distinct, v)[of_word]
+            self.chains.append(Polynomial(mixed(names + np.uint64(3) * spelled)[self.codes], v))
+
+    def starts(self, length: int) -> np.ndarray:
+        """Words from which ``length`` words lie in one piece."""
+        at = np.arange(max(len(self.words) - length + 1, 0))
+        return at[self.words.pieces[at] == self.words.pieces[at + length - 1]]
+
+    def prints(self, starts: np.ndarray, length: int) -> np.ndarray:
+        return self.chains[0].windows(starts, starts + length) & self.mask
+
+    def held(self, table: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        """For every word, whether a window from it is listed and ``table`` holds it."""
+        out = np.zeros(len(self.words) + 1, bool)
+        out[starts[_held(table, self.prints(starts, length) & SHORT)]] = True
+        return out
+
+
+def _parts(batches):
     for batch in batches:
-        for first, past in text_slices(batch["text"]):
+        for first, past in text_slices(batch["text"], SLICE_BYTES):
             part = batch.slice(first, past - first)
             words = coded_words(part["text"], KINDS)
             if len(words):
-                yield from _count_slice(part, words, table, bits, shortest, longest)
-
-
-def _count_slice(part: pa.RecordBatch, words: Words, table, bits, shortest, longest):
-    langs = part["lang"].dictionary_encode()
-    lang_codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    # one code for each pair of language and word
-    pair, codes = np.unique(lang_codes[words.rows] * len(words.distinct) + words.codes, return_inverse=True)
-    of_lang, of_word = np.divmod(pair, len(words.distinct))
-    hashes = [
-        mixed(word_hashes(langs.dictionary, v)[of_lang] + np.uint64(3) * word_hashes(words.distinct, v)[of_word])
-        for v in (0, 1)
-    ]
-    mask = np.uint64((1 << bits) - 1)
-    keys = part["key"].to_numpy(zero_copy_only=False)
-    if shortest == 1:
-        totals = np.bincount(lang_codes[words.rows], minlength=len(langs.dictionary))
-        yield _rows(langs.dictionary, *[np.zeros(len(totals), np.int64)] * 2, totals, *[np.zeros(len(totals), np.int64)] * 2)
-    chains = [Polynomial(hashes[v][codes], v) for v in (0, 1)]
-    at = np.arange(len(words))
-    for length in range(shortest, longest + 1):
-        starts = at[: max(len(at) - length + 1, 0)]
-        starts = starts[words.pieces[starts] == words.pieces[starts + length - 1]]
-        if length == 2:
-            frequent = _held(table, chains[0].windows(at, at + 1) & mask)
-            starts = starts[frequent[starts] & frequent[starts + 1]]
-        elif length > 2:
-            frequent = np.append(_held(table, chains[0].windows(at[:-1], at[:-1] + 2) & mask), False)
-            for i in range(length - 1):
-                starts = starts[frequent[starts + i]]
-        if not len(starts):
-            continue
-        fp, check = (chain.windows(starts, starts + length) for chain in chains)
-        fp &= mask
-        order = np.argsort(fp)
-        fp, check, starts = fp[order], check[order], starts[order]
-        new = np.append(True, fp[1:] != fp[:-1])
-        for i in range(length):  # the words themselves decide whether two places hold one phrase
-            code = codes[starts + i]
-            new[1:] |= code[1:] != code[:-1]
-        heads = np.flatnonzero(new)
-        counts = np.diff(np.append(heads, len(starts)))
-        starts = starts[heads]
-        place = (words.begins[starts] << 31) | (words.ends[starts + length - 1] - words.begins[starts])
-        yield _rows(None, fp[heads], check[heads], counts, keys[words.rows[starts]], place)
-
-
-def _rows(lang, fp, check, n, key, place) -> pa.RecordBatch:
-    lang = pa.nulls(len(fp), pa.string()) if lang is None else lang.cast(pa.string())
-    numbers = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in (fp, check, n, key, place)]
-    return pa.RecordBatch.from_arrays([lang, *numbers], schema=_COUNTS)
+                yield part, words
+
+
+def _filter_batches(shared, bits, length, batches):
+    for part, words in _parts(batches):
+        chain = _Chain(part, words, bits, 1)
+        starts = chain.starts(length)
+        if length == 1:
+            totals = np.bincount(chain.lang_codes[words.rows], minlength=len(chain.langs.dictionary))
+            yield _filter_rows(chain.langs.dictionary.cast(pa.string()), np.zeros(len(totals), np.int64), totals)
+        else:
+            word = chain.held(shared.value[0], chain.starts(1), 1)
+            starts = starts[word[starts] & word[starts + 1]]
+        fp, counts = np.unique(chain.prints(starts, length) & SHORT, return_counts=True)
+        yield _filter_rows(pa.nulls(len(fp), pa.string()), fp.view(np.int64), counts)
+
+
+def _filter_rows(lang: pa.Array, fp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, pa.array(fp, pa.int64()), pa.array(n, pa.int64())], names=["lang", "fp", "n"])
+
+
+def _count_batches(shared, bits, longest, batches):
+    """Counts of the words and phrases that may be frequent, in each slice of texts."""
+    single, double = shared.value
+    for part, words in _parts(batches):
+        chain = _Chain(part, words, bits, 2)
+        keys = part["key"].to_numpy(zero_copy_only=False)
+        word = chain.held(single, chain.starts(1), 1)
+        pair = None
+        for length in range(1, longest + 1):
+            starts = chain.starts(length)
+            if length == 2:
+                starts = starts[word[starts] & word[starts + 1]]
+                pair = chain.held(double, starts, 2)
+            if length == 1:
+                starts = starts[word[starts]]
+            else:
+                for i in range(length - 1):
+                    starts = starts[pair[starts + i]]
+            if len(starts):
+                yield _grouped(chain, starts, length, keys)
+
+
+def _grouped(chain: _Chain, starts: np.ndarray, length: int, keys: np.ndarray) -> pa.RecordBatch:
+    """A row for each phrase of a slice: fingerprints, count and one of its places."""
+    words = chain.words
+    fp = chain.prints(starts, length)
+    order = np.argsort(fp)
+    fp, starts = fp[order], starts[order]
+    new = np.append(True, fp[1:] != fp[:-1])
+    for i in range(length):  # the words themselves decide whether two places hold one phrase
+        code = chain.codes[starts + i]
+        new[1:] |= code[1:] != code[:-1]
+    heads = np.flatnonzero(new)
+    counts = np.diff(np.append(heads, len(starts)))
+    fp, starts = fp[heads], starts[heads]
+    check = chain.chains[1].windows(starts, starts + length)
+    place = (words.begins[starts] << 31) | (words.ends[starts + length - 1] - words.begins[starts])
+    columns = (fp.view(np.int64), check.view(np.int64), counts, keys[words.rows[starts]], place)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["fp", "check", "n", "key", "place"])
 
 
 # ------------------------------------------------------------------ filter tables

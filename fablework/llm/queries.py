@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from .ann import nearest_neighbours
+from .bitsliced import ranked_search
 from .langid import fit_languages, predict_languages, trainable
 from .mixing import mix_sources
 from .ngram_join import similar_groups
@@ -17,6 +18,7 @@ from .phrases import phrase_collocations
 from .quality import fit_quality, held_out, score_quality
 from .sharding import shard_documents
 from .topk import exact_topk
+from .toxicity import fit_toxicity, score_toxicity
 from .warc import warc_round_trip
 
 
@@ -88,6 +90,22 @@ def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
 
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 best documents of each benchmark item."""
+    return ranked_search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=10)
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels of four of five folds."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    held = held_out(F.col("doc_id"), 5, 0)
+    learned = labels.filter(~held & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
+    model = fit_toxicity(docs.select("doc_id", "text"), learned)
+    return score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     """The 2,000 best phrases of 2 to 4 words of each language."""
     return phrase_collocations(_table(spark, folder, "documents"))
@@ -104,6 +122,8 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_passages": op10_passages,
+    "op11_lexical": op11_lexical,
+    "op12_toxicity": op12_toxicity,
     "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
@@ -125,6 +145,35 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_lexical": r"""
+        WITH t AS (
+            SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)
+        ), sizes AS (
+            SELECT r, count(*) AS n FROM t GROUP BY r
+        ), corpus AS (
+            SELECT count(*) AS documents, sum(n)::BIGINT AS total FROM sizes
+        ), q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), tf AS (
+            SELECT r, doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL
+        ), w AS (
+            SELECT term, floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1)))::BIGINT AS w
+            FROM tf, corpus GROUP BY term, documents
+        ), s AS (
+            SELECT item_id, r, doc_id,
+                   sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // total))))::BIGINT AS score
+            FROM q JOIN tf USING (term) JOIN w USING (term) JOIN sizes USING (r), corpus
+            GROUP BY item_id, r, doc_id
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+            FROM s WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
     "op13_phrases": r"""
         WITH p AS (
             SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
