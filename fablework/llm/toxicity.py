@@ -43,7 +43,7 @@ LEXICONS: dict[str, tuple[str, ...]] = {
 }
 ADDRESS = ("you", "your", "youre", "u", "du", "dich", "dein", "ihr", "tu", "toi", "vous", "tú", "usted", "eres")
 
-MINED = 3  # parts of the labelled rows; a list of words and one of stems is mined from each
+MINED = 3  # parts of the labelled rows; a list of words and one of stems is mined from all but each of them
 STEMS = range(3, 8)  # characters of a stem
 STEM_WORDS = 120  # a stem counts where it begins two different words, and one word in this many
 PATTERNS = ("addressed", "shouted", "exclaimed", "masked")
@@ -182,17 +182,21 @@ def _tree(information: np.ndarray) -> list[int]:
 
 
 def fit_label_model(
-    patterns: np.ndarray, unknown: np.ndarray, clean: np.ndarray, toxic: np.ndarray, voters: int, rounds: int = 30, smooth: float = 0.5
+    patterns: np.ndarray, unknown: np.ndarray, clean: np.ndarray, toxic: np.ndarray, voters: int, rounds: int = 30,
+    smooth: float = 0.5, unknown_share: float = 0.25,
 ) -> tuple[LabelModel, np.ndarray]:
     """Expectation and maximisation over counts of vote patterns; returns the model and its pair information.
 
     ``unknown`` counts texts without a label; ``clean`` and ``toxic`` those with one, which hold the
-    classes in place. Without labels the share of word lists that voted starts the classes.
+    classes in place: however many texts have no label, together they weigh ``unknown_share`` of the
+    others at most. Without labels the share of word lists that voted starts the classes.
     Correlated voters are joined by the tree that explains most of what they share within a class,
     so that their votes do not count twice.
     """
     bits = (patterns[:, None] >> np.arange(voters)) & 1
     known = clean + toxic
+    if known.sum() > 0:
+        unknown = unknown * min(1.0, unknown_share * known.sum() / max(unknown.sum(), 1.0))
     votes = bits[:, : len(LEXICONS)].sum(axis=1)
     start = np.where(votes > 0, 0.5 + votes / (2 * len(LEXICONS) + 2), 0.02)
     chance = np.where(known > 0, (toxic + start) / (known + 1), start)
@@ -315,12 +319,19 @@ def _part_counts(part, row, code, names) -> pa.RecordBatch:
 _WORD_COUNTS = "part bigint, word string, toxic double, n double"
 
 
-def _best_words(rows: DataFrame, count: int, held=_held_words, z: float = 2.5, least: float = 0.4) -> list[tuple[int, str]]:
+def _best_words(rows: DataFrame, count: int, held=_held_words, others: bool = False, z: float = 2.5, least: float = 0.4) -> list[tuple[int, str]]:
     """Words of each part that lean most to toxic rows, by the lower end of the share's range (``z`` errors wide), ``least`` of it at least.
 
-    Many words are compared, so the range is a wide one.
+    Many words are compared, so the range is a wide one. With ``others`` the words of a part are those of
+    the rows in all other parts.
     """
     counts = rows.mapInArrow(held, _WORD_COUNTS).groupBy("part", "word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    if others:
+        given = F.create_map("part", F.struct("toxic", "n"))
+        whole = counts.groupBy("word").agg(F.sum("toxic").alias("all_toxic"), F.sum("n").alias("all_n"), F.collect_list(given).alias("own"))
+        part = whole.select("word", "all_toxic", "all_n", F.explode(F.array([F.lit(i) for i in range(MINED)])).alias("part"), "own")
+        own = lambda name: F.aggregate("own", F.lit(0.0), lambda a, m: a + F.coalesce(m[F.col("part")][name], F.lit(0.0)))
+        counts = part.select("part", "word", (F.col("all_toxic") - own("toxic")).alias("toxic"), F.nullif(F.col("all_n") - own("n"), F.lit(0.0)).alias("n"))
     share = F.col("toxic") / F.col("n")
     low = (share + z * z / (2 * F.col("n")) - z * F.sqrt(share * (1 - share) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
     order = Window.partitionBy("part").orderBy(F.desc("low"), F.desc("n"), "word")
@@ -332,9 +343,9 @@ def _best_words(rows: DataFrame, count: int, held=_held_words, z: float = 2.5, l
 
 
 def _mined(known: DataFrame, count: int) -> Lists:
-    """Words of each part of the labelled rows, then stems of each part."""
+    """For each part of the labelled rows words mined from the other parts, then stems."""
     rows = known.select("text", "part", "label")
-    found = [_best_words(rows, count), _best_words(rows, count, _held_stems)]
+    found = [_best_words(rows, count, held, True) for held in (_held_words, _held_stems)]
     return tuple(tuple(w for p, w in one if p == part) for one in found for part in range(MINED))
 
 
