@@ -100,24 +100,18 @@ def bpe_pair_step(spark, folder):
     return tokens.pair_counts(words)
 
 
-def _text_counts(spark, folder):
-    return corpus_build.chunk_counts(documents_table(spark, folder))
-
-
 def bpe_vocab(spark, folder):
-    counts = _text_counts(spark, folder)
-    merges, _ = tokens.learn_merges(counts, 24)
-    return tokens.bpe_vocabulary(counts, merges)
+    """A vocabulary of 8,192 ids, learned from all texts."""
+    vocab, _ = corpus_build.learn_vocabulary(documents_table(spark, folder), SIZE)
+    return vocab
 
 
 def bpe_round_trip(spark, folder):
-    counts = _text_counts(spark, folder)
-    merges, _ = tokens.learn_merges(counts, 8)
-    vocab = tokens.bpe_vocabulary(counts, merges)
-    ids = cut_lineage(tokens.word_ids(tokens.merge_words(counts, merges), vocab))
-    texts = documents_table(spark, folder).select("doc_id", "text")
-    encoded = tokens.encode_text(texts, ids, counts, keys=("doc_id",))
-    return tokens.decode_tokens(encoded, vocab, keys=("doc_id",))
+    """All texts as ids of that vocabulary, and back."""
+    texts = documents_table(spark, folder).select(F.lit("all").alias("shard_key"), F.col("doc_id").alias("story_id"), "text")
+    vocab, merges = corpus_build.learn_vocabulary(texts, SIZE)
+    encoded = corpus_build.bpe_tokens(texts, vocab, merges)
+    return tokens.decode_tokens(encoded, vocab).select(F.col("story_id").alias("doc_id"), "text")
 
 
 def vocab_export(spark, folder):

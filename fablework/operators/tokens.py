@@ -6,6 +6,7 @@ what allows vocabularies to be broadcast and merge lists to be kept by the drive
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import computed_once
 from ..session import cut_lineage
+from . import merging
 
 # Special ids, the byte range, the piece that stands for a blank, id limit.
 UNKNOWN, BOS, EOS = 0, 1, 2
@@ -27,10 +29,6 @@ MAX_IDS = 65536
 # goes with what follows it, and a line break stands alone.
 CHUNK = rf"\n|{BLANK}?[\p{{L}}\p{{M}}]+|{BLANK}?\p{{N}}|{BLANK}?[^\p{{L}}\p{{M}}\p{{N}}{BLANK}\n]+|{BLANK}+"
 
-# Pieces inside a word are kept as one string, each piece between these two marks.
-OPEN, CLOSE = "\u0001", "\u0002"
-LITERAL_MERGES = 64
-
 
 # ------------------------------------------------------------------ words
 
@@ -101,16 +99,6 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(marked, F.lit(f"({CHUNK})"), F.lit(1))
 
 
-def _pieces(word: Column) -> Column:
-    """``‹a›‹b›`` as an array of pieces; splitting at one character needs no regex."""
-    return F.split(F.trim(F.translate(word, OPEN, ""), F.lit(CLOSE)), CLOSE, -1)
-
-
-def _spread(word: Column) -> Column:
-    """A word as single characters between the marks."""
-    return F.regexp_replace(word, r"([\s\S])", f"{OPEN}$1{CLOSE}")
-
-
 def pair_counts(words: DataFrame) -> DataFrame:
     """``(left, right, c)``: how often two pieces stand side by side, weighted by word count.
 
@@ -133,81 +121,13 @@ def pair_counts(words: DataFrame) -> DataFrame:
     )
 
 
-def independent_prefix(
-    ranked: list[tuple[str, str, int]], complete: bool, known: set[str] = frozenset()
-) -> int:
-    """How many of the best pairs may be merged at once with the result of one by one.
-
-    ``ranked`` is in merge order. Merging (a, b) lowers only counts of pairs that share a
-    piece with it. A pair it creates is at most as frequent as an old pair that shares a
-    piece with it, unless a = b or the piece ``ab`` exists already. So the first m pairs
-    can go together if each of them but the last is made of two different pieces, gives a
-    new piece, and shares no piece with any other pair as frequent as the m-th.
-    ``complete`` says whether ``ranked`` is all there is; if not, pairs tied with its last
-    count may be missing. ``known`` holds the pieces made so far.
-    """
-    best = 1
-    for m in range(2, len(ranked) + 1):
-        least = ranked[m - 1][2]
-        if not complete and ranked[-1][2] == least:
-            break
-        users: dict[str, int] = {}
-        for left, right, count in ranked:
-            if count >= least:
-                for piece in {left, right}:
-                    users[piece] = users.get(piece, 0) + 1
-        made = [left + right for left, right, _ in ranked[:m]]
-        shared = any(users[piece] > 1 for left, right, _ in ranked[: m - 1] for piece in (left, right))
-        doubled = any(left == right for left, right, _ in ranked[: m - 1])
-        if shared or doubled or len(set(made)) < m or known.intersection(made):
-            break
-        best = m
-    return best
-
-
-def learn_merges(
-    counts: DataFrame, merges: int, candidates: int = 256, keep_every: int = 8
-) -> tuple[list[tuple[str, str, int]], DataFrame]:
+def learn_merges(counts: DataFrame, merges: int) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """The first ``merges`` pair merges over the distinct-word table ``(w, c)``.
 
-    A round counts pairs over the table, brings the best ``candidates`` of them to the
-    driver, and rewrites the words; as many merges as provably commute share a round.
-    Ties go to the pair that is first in text order. Words that hold one of the two marks
-    take no part in learning (encoding handles them like any other). The plan is cut by a reliable
-    checkpoint every ``keep_every`` rounds. Returns the merges with their counts and the
-    rewritten table ``(w, c, word)``.
+    Each is the most frequent pair of the state before it, ties by text. Returns the merges with
+    their counts and the words ``(w, c, pieces)`` after them; see ``merging.learn``.
     """
-    plain = counts.filter(~F.col("w").rlike(f"[{OPEN}{CLOSE}]"))
-    # a fixed number of partitions: every round works on few bytes but all cores
-    cores = counts.sparkSession.sparkContext.defaultParallelism
-    table = cut_lineage(plain.select("w", "c", _spread(F.col("w")).alias("word")).repartition(cores))
-    found: list[tuple[str, str, int]] = []
-    known: set[str] = set()
-    rounds = 0
-    while len(found) < merges:
-        split = table.select("c", _pieces(F.col("word")).alias("pieces"))
-        top = (
-            pair_counts(split).orderBy(F.desc("c"), "left", "right").limit(candidates).collect()
-        )  # bounded by ``candidates``
-        ranked = [(r["left"], r["right"], r["c"]) for r in top]
-        if not ranked:
-            break
-        together = independent_prefix(ranked, len(ranked) < candidates, known)
-        take = min(together, merges - len(found), LITERAL_MERGES)
-        word = F.col("word")
-        for left, right, _ in ranked[:take]:
-            word = F.replace(
-                word,
-                F.lit(f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}"),
-                F.lit(f"{OPEN}{left}{right}{CLOSE}"),
-            )
-        table = table.withColumn("word", word)
-        found += ranked[:take]
-        known.update(left + right for left, right, _ in ranked[:take])
-        rounds += 1
-        if rounds % keep_every == 0:
-            table = cut_lineage(table)
-    return found, table
+    return merging.learn(counts, merges)
 
 
 def character_counts(counts: DataFrame) -> DataFrame:
@@ -250,24 +170,35 @@ def merge_words(words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFra
 
     Runs once per distinct word, whatever its frequency.
     """
-    rank = {(left, right): i for i, (left, right, _) in enumerate(merges)}
+    rank: dict[tuple[str, str], int] = {}
+    for i, (left, right, _) in enumerate(merges):
+        rank.setdefault((left, right), i)
 
     def pieces_of(word: str) -> list[str]:
-        parts = list(word)
-        while len(parts) > 1:
-            i = min(range(len(parts) - 1), key=lambda j: rank.get((parts[j], parts[j + 1]), MAX_IDS))
-            if (parts[i], parts[i + 1]) not in rank:
-                break
-            pair, merged, k = (parts[i], parts[i + 1]), [], 0
-            while k < len(parts):
-                if tuple(parts[k : k + 2]) == pair:
-                    merged.append(parts[k] + parts[k + 1])
-                    k += 2
-                else:
-                    merged.append(parts[k])
-                    k += 1
-            parts = merged
-        return parts
+        """The known pair of lowest rank is joined, everywhere from the left, until none is left."""
+        parts: list[str | None] = list(word)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(rank[pair], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in rank]
+        heapq.heapify(heap)
+        while heap:
+            lowest, turn = heap[0][0], []
+            while heap and heap[0][0] == lowest:
+                turn.append(heapq.heappop(heap)[1])
+            joined = []
+            for i in turn:
+                j = after[i] if parts[i] is not None else len(parts)
+                if j == len(parts) or rank.get((parts[i], parts[j])) != lowest:
+                    continue  # a place that has changed since it was noted
+                parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+                if after[j] < len(parts):
+                    before[after[j]] = i
+                joined.append(i)
+            for i in joined:
+                for left in (before[i], i):
+                    right = after[left] if left >= 0 else len(parts)
+                    if right < len(parts) and (found := rank.get((parts[left], parts[right]))) is not None:
+                        heapq.heappush(heap, (found, left))
+        return [p for p in parts if p is not None]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -293,6 +224,17 @@ def word_ids(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
+def cut_texts(texts: DataFrame, text: str = "text", keys: tuple[str, ...] = ("shard_key", "story_id")) -> DataFrame:
+    """``(_key, words)``: texts cut into word chunks once, in the shared folder.
+
+    ``_key`` holds the keys and a row number, which is written with the row: rows that repeat the keys
+    stay apart, and a task that runs again reads the number it had. A null text gives no row.
+    """
+    row = F.struct(*keys, F.monotonically_increasing_id().alias("_row")).alias("_key")
+    present = texts.filter(F.col(text).isNotNull()).select(row, text)
+    return cut_lineage(computed_once(present, "words", chunks(F.col(text))).select("_key", "words"))
+
+
 def encode_text(
     texts: DataFrame,
     ids: DataFrame,
@@ -301,18 +243,23 @@ def encode_text(
     keys: tuple[str, ...] = ("shard_key", "story_id"),
     frequent: int = 20_000,
 ) -> DataFrame:
-    """``(keys, tokens)``: BOS and the ids of each text, from the ids of its distinct words.
+    """``(keys, tokens)``: BOS and the ids of each text, from the ids of its distinct words."""
+    return encode_cut(cut_texts(texts, text, keys), ids, counts, keys, frequent)
+
+
+def encode_cut(
+    cut: DataFrame, ids: DataFrame, counts: DataFrame, keys: tuple[str, ...] = ("shard_key", "story_id"), frequent: int = 20_000
+) -> DataFrame:
+    """``encode_text`` for texts that ``cut_texts`` has stored.
 
     A word without ids raises an error. A few words make up most of any text. The
     ``frequent`` most counted words are broadcast, a bounded list, and looked up where the
-    text is; the text is cut once, and only the other words are joined by word. None of them
-    is frequent enough to weigh down a task. Rows that repeat the keys keep a text each.
+    text is; only the other words are joined by word. None of them is frequent enough to weigh
+    down a task. Rows that repeat the keys keep a text each.
     """
-    row = F.struct(*keys, F.monotonically_increasing_id().alias("_row")).alias("_key")
-    cut = computed_once(texts.select(row, text), "_chunks", chunks(F.col(text)))
     hot = most_frequent(counts, frequent).select("w")
     hot_ids = F.broadcast(ids.join(F.broadcast(hot), "w", "left_semi").select("w", F.col("ids").alias("_near")))
-    spread = cut.select("_key", F.posexplode("_chunks").alias("pos", "w")).join(hot_ids, "w", "left")
+    spread = cut.select("_key", F.posexplode("words").alias("pos", "w")).join(hot_ids, "w", "left")
     # a word that was found near needs no partner: its key is spread over all tasks
     far = F.when(F.col("_near").isNull(), F.col("w")).otherwise(F.concat(F.lit("\u0000"), F.xxhash64("_key", "pos").cast("string")))
     joined = spread.withColumn("_far", far).join(
@@ -366,11 +313,12 @@ __all__ = [
     "bpe_vocabulary",
     "character_counts",
     "chunks",
+    "cut_texts",
     "decode_tokens",
+    "encode_cut",
     "encode_text",
     "encode_words",
     "export_vocabulary",
-    "independent_prefix",
     "learn_merges",
     "merge_words",
     "pair_counts",

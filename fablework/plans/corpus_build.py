@@ -52,10 +52,11 @@ def learn_vocabulary(texts: DataFrame, size: int):
 
 
 def bpe_tokens(texts: DataFrame, vocab: DataFrame, merges) -> DataFrame:
-    """Texts as BPE ids. Distinct words are encoded once and written to the shared folder."""
-    counts = chunk_counts(texts)
+    """Texts as BPE ids. Texts are cut and distinct words encoded once, and written to the shared folder."""
+    cut = tokens.cut_texts(texts)
+    counts = cut_lineage(tokens.word_counts(cut))
     ids = cut_lineage(tokens.word_ids(tokens.merge_words(counts, merges), vocab))
-    return tokens.encode_text(texts, ids, counts)
+    return tokens.encode_cut(cut, ids, counts)
 
 
 def build_dataset(

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fablework.operators import blocks, tokens
+from fablework.operators import blocks, merging, tokens
 from fablework.plans import corpus_build
 from fablework.sources import writers
 
@@ -122,22 +122,27 @@ def test_batched_merges_equal_single_ones(spark, seed):
     counts["aaaaa"] = 9
     df = spark.createDataFrame(list(counts.items()), "w string, c bigint")
     want, words = slow_bpe(counts, 25)
-    got, table = tokens.learn_merges(df, 25, candidates=20, keep_every=3)
-    assert got == want
-    assert {r["w"]: r["p"] for r in table.select("w", tokens._pieces(F.col("word")).alias("p")).collect()} == words
-    encoded = {r["w"]: r["pieces"] for r in tokens.merge_words(df, got).collect()}
+    for options in ({"steps": 8}, {"steps": 3, "store_every": 5, "part_words": 9}, {"steps": 64, "most": 4}):
+        got, table = merging.learn(df, 25, **options)
+        assert got == want, options
+        assert {r["w"]: r["pieces"] for r in table.collect()} == words
+    encoded = {r["w"]: r["pieces"] for r in tokens.merge_words(df, want).collect()}
     assert encoded == words
 
 
-def test_independence_rule():
-    rule = tokens.independent_prefix
-    assert rule([("a", "b", 9), ("c", "d", 8), ("e", "f", 7)], True) == 3
-    assert rule([("a", "b", 9), ("b", "d", 8), ("e", "f", 7)], True) == 1
-    assert rule([("a", "b", 9), ("c", "d", 8), ("d", "x", 7)], True) == 2
-    assert rule([("a", "a", 9), ("c", "d", 8)], True) == 1
-    assert rule([("a", "b", 9), ("c", "d", 8), ("b", "x", 8)], True) == 1
-    assert rule([("a", "b", 9), ("c", "d", 8)], False) == 1
-    assert rule([("a", "b", 9), ("c", "d", 8)], True, {"ab"}) == 1
+def test_learning_goes_on_until_no_pair_is_left(spark):
+    counts = {"abab": 3, "aaa": 2, "b": 5, "": 4, "😀a": 1, "x\u0001\u0002": 2}
+    df = spark.createDataFrame([*counts.items(), (None, 3)], "w string, c bigint")
+    want, words = slow_bpe({w: c for w, c in counts.items() if w}, 1000)
+    got, table = merging.learn(df, 1000)
+    assert got == want and {r["w"]: r["pieces"] for r in table.collect()} == words
+    assert merging.learn(df.limit(0), 5)[0] == []
+
+
+def test_long_words_are_cut_in_time(spark):
+    df = spark.createDataFrame([("ab" * 20_000, 1)], "w string, c bigint")
+    (row,) = tokens.merge_words(df, [("a", "b", 1), ("ab", "ab", 1)]).collect()
+    assert row["pieces"] == ["abab"] * 10_000
 
 
 def test_any_text_comes_back(spark, tmp_path):
