@@ -83,10 +83,34 @@ def _cache_table(spark, folder):
 
 
 def scored(spark, folder):
-    rows = scoring_job.scored_rows(
-        _prompts(spark, folder), _cache_table(spark, folder), scoring.rule_scorer(ASK), ASK
-    )
-    return rows.select("story_id", "score", "content")
+    prompts, path = _prompts(spark, folder), _cache_table(spark, folder)
+    scoring_job.fill_cache(prompts, path, scoring.rule_scorer(ASK), ASK)
+    return scoring_job.scored_rows(prompts, path).select("story_id", "score", "content")
+
+
+class _Unsteady:
+    """Fails for batches at first, and for ever for some prompts."""
+
+    def __init__(self, calls: int = 3):
+        self.calls, self.rule = calls, scoring.rule_scorer(ASK)
+
+    def __call__(self, prompts):
+        self.calls -= 1
+        if self.calls >= 0 and len(prompts) > 1:
+            raise ConnectionError("busy")
+        if prompts.str.contains("Und", regex=False).any():
+            raise ValueError("refused")
+        return self.rule(prompts)
+
+
+def failing_scorer(spark, folder):
+    """Every prompt asked of a scorer that often fails: answers where there are any, else the error."""
+    prompts, path = _prompts(spark, folder), fresh_path(spark, "scores")
+    retry = scoring.Retry(attempts=2, first_wait=0.0)
+    scoring_job.fill_cache(prompts, path, _Unsteady(), ASK, slice_rows=400, retry=retry, batch_rows=100)
+    answers = writers.read_scores(spark, path).select("cache_id", "score", F.lit(None).cast("string").alias("error"))
+    errors = writers.read_failures(spark, path).select("cache_id", F.lit(None).cast("double").alias("score"), "error")
+    return prompts.select("story_id", "cache_id").join(answers.unionByName(errors), "cache_id").select("story_id", "score", "error")
 
 
 def _evaluated(spark, folder, shots):
@@ -205,6 +229,7 @@ QUERIES = {
     "cache_hits": cache_hits,
     "cache_misses": cache_misses,
     "scored": scored,
+    "failing_scorer": failing_scorer,
     "classifier_report": classifier_report,
     "classifier_mistakes": classifier_mistakes,
     "few_shot_report": few_shot_report,
@@ -313,6 +338,9 @@ SQL = {
     + f"""SELECT story_id, coalesce(score, CAST(CASE WHEN contains(prompt,'!') THEN 1 ELSE 0 END AS DOUBLE)) score,
  coalesce(content, CASE WHEN contains(prompt,'!') THEN {_quoted(ASK + ' Yes.')} ELSE {_quoted(ASK + ' No.')} END) content
  FROM prompts p LEFT JOIN cache c ON p.cache_id=c.cache_id""",
+    "failing_scorer": sql.with_views(_PROMPTS)
+    + """SELECT story_id, CASE WHEN NOT contains(prompt,'Und') THEN CAST(CASE WHEN contains(prompt,'!') THEN 1 ELSE 0 END AS DOUBLE) END score,
+ CASE WHEN contains(prompt,'Und') THEN 'ValueError(''refused'')' END error FROM prompts""",
     "classifier_report": _WITH_EVALUATED
     + """SELECT CAST(count(*) AS BIGINT) n, round(avg(CASE WHEN score=label THEN 1.0 ELSE 0.0 END),6) accuracy,
  round(count(*) FILTER (score=1 AND label=0)/(count(*) FILTER (label=0)+1),6) false_positive,

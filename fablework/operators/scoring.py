@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from string import Formatter
@@ -30,12 +31,30 @@ class Templates:
 
 DEFAULT = Templates()
 
-PROMPT_SCHEMA = "cache_id string, prompt string"
-SCORED_SCHEMA = "cache_id string, content string"
+SCORED_SCHEMA = "cache_id string, content string, error string, attempts int"
 
 Scorer = Callable[[pd.Series], pd.Series]
 
 
+@dataclass(frozen=True)
+class Retry:
+    """What a task does when the scorer raises an error or gives no answer.
+
+    A batch that fails is halved until the prompt at fault stands alone; that one is asked up to
+    ``attempts`` times with a growing wait in between. ``total`` limits the repeated calls of a run over
+    all its tasks, which get equal shares; a task without any left reports its failing prompts at once.
+    """
+
+    attempts: int = 4
+    first_wait: float = 0.5  # seconds
+    factor: float = 2.0
+    longest_wait: float = 60.0
+    total: int | None = None
+
+    def wait(self, failures: int) -> float:
+        return min(self.first_wait * self.factor ** (failures - 1), self.longest_wait)
+
+
 def question_about(feature: str) -> str:
     return f"Does the story have a {feature}?"
 
@@ -96,26 +115,65 @@ def cached(prompts: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def missing(prompts: DataFrame, cache: DataFrame) -> DataFrame:
-    """Distinct prompts without a cached score.
-
-    Ids are compared alone; only the prompts of missing ids are fetched, one for each.
-    """
-    ids = prompts.select("cache_id").distinct().join(cache.select("cache_id"), "cache_id", "left_anti")
-    return prompts.select("cache_id", "prompt").join(ids, "cache_id", "left_semi").dropDuplicates(["cache_id"])
-
-
-def score_prompts(prompts: DataFrame, scorer: Scorer, parallel: int | None = None) -> DataFrame:
-    """Raw answers ``(cache_id, content)`` of a pluggable scorer, batch by batch.
-
-    ``scorer`` maps a series of prompts to a series of answers; retries are its business.
-    ``parallel`` limits how many tasks call it at once.
+    """Distinct prompts without a cached score."""
+    return prompts.select("cache_id", "prompt").join(cache.select("cache_id"), "cache_id", "left_anti").dropDuplicates(["cache_id"])
+
+
+class _Asker:
+    """Calls a scorer for one task and keeps to the limits of ``retry``."""
+
+    def __init__(self, scorer: Scorer, retry: Retry, share: int | None):
+        self.scorer, self.retry, self.left = scorer, retry, share
+
+    def _again(self, failures: int) -> bool:
+        if self.left is not None and self.left <= 0:
+            return False
+        self.left = None if self.left is None else self.left - 1
+        time.sleep(self.retry.wait(failures))
+        return True
+
+    def ask(self, prompts: pd.Series) -> list[tuple[str | None, str | None, int]]:
+        """``(content, error, attempts)`` of each prompt."""
+        failures = 0
+        while True:
+            try:
+                answers = [None if a is None or a != a else str(a) for a in self.scorer(prompts)]
+                if len(answers) != len(prompts):
+                    raise ValueError(f"{len(answers)} answers for {len(prompts)} prompts")
+                break
+            except Exception as error:  # noqa: BLE001  the scorer is foreign code: no answer of others may be lost
+                failures += 1
+                if len(prompts) > 1:
+                    if not self._again(1):
+                        return [(None, repr(error), 1)] * len(prompts)
+                    half = len(prompts) // 2
+                    return self.ask(prompts.iloc[:half]) + self.ask(prompts.iloc[half:])
+                if failures >= self.retry.attempts or not self._again(failures):
+                    return [(None, repr(error), failures)]
+        return [(a, None, failures + 1) if a is not None else (None, "no answer", failures + 1) for a in answers]
+
+
+def score_prompts(
+    prompts: DataFrame, scorer: Scorer, parallel: int | None = None, retry: Retry = Retry(), batch_rows: int | None = None
+) -> DataFrame:
+    """``(cache_id, content, error, attempts)`` of a pluggable scorer, batch by batch.
+
+    ``scorer`` maps a series of prompts to a series of answers, null for none. A prompt that keeps
+    failing comes back with its error and without content; the others are not touched by it.
+    ``parallel`` limits how many tasks call the scorer at once, ``batch_rows`` the prompts of a call.
     """
     spread = prompts.select("cache_id", "prompt")
     spread = spread.repartition(parallel) if parallel else spread
+    tasks = parallel or spread.sparkSession.sparkContext.defaultParallelism
+    share = None if retry.total is None else max(retry.total // tasks, 0)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asker = _Asker(scorer, retry, share)
         for frame in frames:
-            yield pd.DataFrame({"cache_id": frame["cache_id"], "content": scorer(frame["prompt"])})
+            for first in range(0, len(frame), batch_rows or max(len(frame), 1)):
+                part = frame.iloc[first : first + (batch_rows or len(frame))]
+                content, error, attempts = zip(*asker.ask(part["prompt"]))
+                yield pd.DataFrame({"cache_id": part["cache_id"].to_numpy(), "content": content, "error": error, "attempts": attempts})
 
     return spread.mapInPandas(run, SCORED_SCHEMA)
 
@@ -130,14 +188,18 @@ def rule_scorer(question: str, sign: str = "!") -> Scorer:
     return answer
 
 
-def fresh_scores(prompts: DataFrame, cache: DataFrame, scorer: Scorer, question: str) -> DataFrame:
-    """``(cache_id, score, content)`` of the distinct prompts that the cache does not hold.
+def with_scores(answers: DataFrame, question: str) -> DataFrame:
+    """``(cache_id, score, content, error, attempts)``: answers read; a failed prompt has no score."""
+    score, _ = parse_answer(F.col("content"), question)
+    return answers.select("cache_id", F.when(F.col("content").isNotNull(), score).alias("score"), "content", "error", "attempts")
+
+
+def fresh_scores(prompts: DataFrame, cache: DataFrame, scorer: Scorer, question: str, retry: Retry = Retry()) -> DataFrame:
+    """Scores of the distinct prompts that the cache does not hold.
 
     Store it before anything else reads it: each read calls the scorer.
     """
-    fresh = score_prompts(missing(prompts, cache), scorer)
-    score, _ = parse_answer(F.col("content"), question)
-    return fresh.select("cache_id", score.alias("score"), "content")
+    return with_scores(score_prompts(missing(prompts, cache), scorer, retry=retry), question)
 
 
 def chat_rows(df: DataFrame, question: str, templates: Templates = DEFAULT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,36 +82,73 @@ def write_chat_lines(rows: DataFrame, path: str) -> None:
 
 
 ROW_BITS = 14
-SCORE_SCHEMA = "cache_id string, score double, content string"
+SCORE_SCHEMA = "cache_id string, score double, content string, error string, attempts int"
 
+#: Folders of the cache: the first digit of a cache id, or two of a large append.
+LARGE_APPEND = 1 << 20
 
-#: Folders of the cache: the first digits of a cache id.
-CACHE_PREFIX = 2
 
-
-def append_scores(scores: DataFrame, path: str) -> None:
+def append_scores(scores: DataFrame, path: str, rows: int = 0) -> None:
     """Add scores to the cache table; ids that it holds already are left out.
 
     Ids repeated within ``scores`` are added once. Two jobs that append at the same time may
-    still add an id twice, which ``read_scores`` undoes.
+    still add an id twice, which ``read_scores`` undoes. ``rows`` is the expected size.
+    """
+    held = read_scores(scores.sparkSession, path, distinct=False).select("cache_id")
+    new = scores.dropDuplicates(["cache_id"]).join(held, "cache_id", "left_anti")
+    write_new_scores(new, path, rows)
+
+
+def write_new_scores(scores: DataFrame, path: str, rows: int = 0) -> None:
+    """Add scores of distinct ids that the cache does not hold, one file for each folder they fall into.
+
+    All of them are committed together or not at all.
     """
-    spark = scores.sparkSession
-    new = scores.select("cache_id", "score", "content").dropDuplicates(["cache_id"])
-    held = read_scores(spark, path, distinct=False).select("cache_id")
-    new = new.join(held, "cache_id", "left_anti")
-    new.withColumn("prefix", F.substring("cache_id", 1, CACHE_PREFIX)).write.mode("append").partitionBy("prefix").parquet(path)
+    empty = {"error": F.lit(None).cast("string"), "attempts": F.lit(None).cast("int")}
+    columns = ["cache_id", "score", "content", *[F.col(c) if c in scores.columns else empty[c].alias(c) for c in empty]]
+    digits = 2 if rows > LARGE_APPEND else 1
+    new = scores.select(*columns, F.substring("cache_id", 1, digits).alias("prefix"))
+    new.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def _cache_table(spark: SparkSession, path: str) -> DataFrame:
+    schema = SCORE_SCHEMA + ", prefix string"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def read_scores(spark: SparkSession, path: str, distinct: bool = True, prefixes: list[str] | None = None) -> DataFrame:
-    """The cache table, empty when nothing was written yet; with ``prefixes`` only these folders."""
-    spark.createDataFrame([], SCORE_SCHEMA + ", prefix string").write.mode("append").partitionBy("prefix").parquet(path)
-    found = spark.read.schema(SCORE_SCHEMA + ", prefix string").parquet(path)
+    """``(cache_id, score, content)`` of the cache table, empty when nothing was written yet.
+
+    With ``prefixes`` only the folders that may hold ids beginning so. Prompts that failed are not in it.
+    """
+    found = _cache_table(spark, path)
     if prefixes is not None:
-        found = found.filter(F.col("prefix").isin(prefixes))
-    found = found.select("cache_id", "score", "content")
+        found = found.filter(F.col("prefix").isin(sorted({p[:n] for p in prefixes for n in (1, 2)})))
+    found = found.filter(F.col("error").isNull()).select("cache_id", "score", "content")
     return found.groupBy("cache_id").agg(F.min(F.struct("score", "content")).alias("s")).select("cache_id", "s.*") if distinct else found
 
 
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    """``(cache_id, error, attempts)``: the errors of prompts that no run has answered; attempts of all runs."""
+    failed = _cache_table(spark, path).filter(F.col("error").isNotNull())
+    failed = failed.groupBy("cache_id").agg(F.max("error").alias("error"), F.sum("attempts").alias("attempts"))
+    return failed.join(read_scores(spark, path, distinct=False).select("cache_id"), "cache_id", "left_anti")
+
+
+def compact_scores(spark: SparkSession, path: str, to: str) -> None:
+    """Write the cache table to another place, each answered id once, with a file for each folder.
+
+    Point jobs at ``to`` afterwards; the old table stays as it is.
+    """
+    found = read_scores(spark, path)
+    write_new_scores(found, to, found.count())
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """Summary table as CSV with a header."""
     summary.write.mode("overwrite").option("header", True).csv(path)
@@ -155,13 +193,16 @@ def write_vocabulary(vocab: DataFrame, path: str) -> None:
 __all__ = [
     "VOCAB_SCHEMA",
     "append_scores",
+    "compact_scores",
     "dataset_path",
     "in_id_range",
+    "read_failures",
     "read_labelled",
     "read_scores",
     "read_tokens",
     "write_chat_lines",
     "write_labelled",
+    "write_new_scores",
     "write_story_shards",
     "write_summary",
     "write_text",

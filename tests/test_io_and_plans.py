@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -167,7 +168,8 @@ def test_late_metric_rows_are_flagged_and_repaired(spark, tmp_path):
 
 def test_cache_table_append(spark, tmp_path):
     path = str(tmp_path / "c")
-    row = spark.createDataFrame([("k", 1.0, "yes")], writers.SCORE_SCHEMA)
+    row = spark.createDataFrame([("k", 1.0, "yes")], "cache_id string, score double, content string")
+    assert writers.read_scores(spark, path).count() == 0 and not (tmp_path / "c").exists()  # reading writes nothing
     writers.append_scores(row, path)
     writers.append_scores(row.withColumn("cache_id", F.lit("l")), path)
     writers.append_scores(row.union(row.withColumn("cache_id", F.lit("l"))), path)
@@ -190,6 +192,80 @@ def test_report_calls_the_scorer_once_for_each_missing_prompt(spark, tmp_path):
     assert calls.value == 5
 
 
+class Clumsy:
+    """Notes each call in a folder; some prompts fail once, some always, one stops the task itself."""
+
+    def __init__(self, folder, deadly):
+        self.folder, self.deadly = folder, deadly
+
+    def __call__(self, prompts):
+        if prompts.eq(self.deadly).any():
+            os._exit(1)  # what a lost executor does
+        for p in prompts:
+            if p.endswith("never"):
+                raise ValueError(p)
+            mark = f"{self.folder}/{p}-tried"
+            if p.endswith("once") and not os.path.exists(mark):
+                open(mark, "w").close()
+                raise ConnectionError("busy")
+        for p in prompts:
+            with open(f"{self.folder}/{p}", "a") as f:
+                f.write("x")
+        return prompts.map(lambda p: "Q? Yes." if "3" in p else "Q? No.")
+
+
+def test_answers_survive_failures_and_restarts(spark, tmp_path):
+    notes, cache = tmp_path / "notes", str(tmp_path / "cache")
+    notes.mkdir()
+    names = [f"p{i}" + ("never" if i % 10 == 0 else "once" if i % 10 == 1 else "") for i in range(120)]
+    rows = scoring.with_cache_id(spark.createDataFrame([(n,) for n in [*names, *names[:30]]], "prompt string"), "m")
+    by_slice = {r["prompt"]: r["s"] for r in rows.select("prompt", F.pmod(F.xxhash64("cache_id"), F.lit(6)).alias("s")).collect()}
+    deadly = next(n for n in names if by_slice[n] == 3 and n[-1].isdigit())
+    options = dict(slice_rows=20, retry=scoring.Retry(attempts=3, first_wait=0.0), parallel=2, batch_rows=7)
+    with pytest.raises(Exception, match="(?i)worker|crash|abort"):
+        scoring_job.fill_cache(rows, cache, Clumsy(str(notes), deadly), "Q?", **options)
+    kept = {n for n in names if by_slice[n] < 3 and not n.endswith("never")}
+    held = {r["cache_id"] for r in writers.read_scores(spark, cache).collect()}
+    ids = {r["prompt"]: r["cache_id"] for r in rows.collect()}
+    assert held == {ids[n] for n in kept}  # the slices before the one that died
+    for name in set(names) - kept:
+        (notes / name).unlink(missing_ok=True)  # calls of the slice that was lost
+
+    run = scoring_job.fill_cache(rows, cache, Clumsy(str(notes), None), "Q?", **options)
+    failing = [n for n in names if n.endswith("never")]
+    assert (run.asked, run.answered, run.failed) == (120 - len(kept), 120 - len(kept) - 12, 12)
+    calls = {n: (notes / n).read_text() for n in names if (notes / n).exists()}
+    assert calls == {n: "x" for n in names if n not in failing}  # no answered prompt was asked again
+    errors = {r["cache_id"]: r["error"] for r in writers.read_failures(spark, cache).collect()}
+    assert errors == {ids[n]: f"ValueError('{n}')" for n in failing}
+    scores = {r["prompt"]: r["score"] for r in scoring_job.scored_rows(rows, cache).collect()}
+    assert scores == {n: float("3" in n) for n in names if n not in failing}
+
+    again = scoring_job.fill_cache(rows, cache, lambda p: p.map(lambda _: "Q? no"), "Q?")
+    assert (again.asked, again.answered, again.failed) == (12, 12, 0) and writers.read_failures(spark, cache).count() == 0
+    writers.compact_scores(spark, cache, str(tmp_path / "small"))
+    assert len(list((tmp_path / "small").glob("*/*.parquet"))) <= 16
+    assert sorted(writers.read_scores(spark, str(tmp_path / "small"), distinct=False).collect()) == sorted(writers.read_scores(spark, cache).collect())
+
+
+def test_limits_on_failing_prompts(spark, tmp_path):
+    rows = scoring.with_cache_id(spark.createDataFrame([(f"p{i}",) for i in range(40)], "prompt string"), "m")
+    calls = spark.sparkContext.accumulator(0)
+
+    def broken(prompts):
+        calls.add(1)
+        raise ConnectionError("down")
+
+    retry = scoring.Retry(attempts=5, first_wait=0.0, total=16)
+    with pytest.raises(scoring_job.ScoringStopped):
+        scoring_job.fill_cache(rows, str(tmp_path / "a"), broken, "Q?", slice_rows=20, retry=retry, parallel=2, most_failed=3)
+    assert writers.read_failures(spark, str(tmp_path / "a")).count() < 40 and calls.value <= 30
+    silent = scoring.score_prompts(rows, lambda p: p.map(lambda _: None), retry=retry).collect()
+    assert {r["error"] for r in silent} == {"no answer"} and {r["content"] for r in silent} == {None}
+    short = scoring.score_prompts(rows.limit(1), lambda p: p[:0], retry=scoring.Retry(2, 0.0)).collect()
+    assert short[0]["attempts"] == 2 and "0 answers" in short[0]["error"]
+
+
 def test_shared_folder_is_read_from_the_session(spark):
     assert fresh_path(spark, "x").startswith(shared_dir(spark)) and fresh_path(spark, "x") != fresh_path(spark, "x")
 
