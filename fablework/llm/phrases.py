@@ -38,8 +38,9 @@ def phrase_collocations(
     ``best`` (None: all) rows of each language remain, by score, ``a`` and phrase.
 
     A phrase is frequent only if its parts are, so short fingerprints of words are counted first, then those
-    of pairs of frequent words; the last pass counts frequent words and pairs and all phrases made of frequent
-    pairs. The filter between the passes is a table of bits of bounded size; a false hit costs a row, never a result. ``fingerprint_bits``
+    of pairs of frequent words, and so on; the last pass counts the phrases that may be frequent with their
+    places. The filter between the passes is a table of bits of bounded size; a false hit costs a row, never a
+    result. ``fingerprint_bits``
     shortens the first fingerprint (for tests of collisions); phrases that share it are told apart by the
     second one, in a slice of texts by the words themselves, and at last by reading the text.
 
@@ -52,10 +53,10 @@ def phrase_collocations(
     ).filter(F.length("text") > 0)
     texts = texts.withColumn("key", F.xxhash64("lang", "text"))
 
-    words = stored(_filter_counts(texts, least, fingerprint_bits, 1, None), "phrases-words")
+    words = stored(_filter_counts(texts, least, fingerprint_bits, 1, []), "phrases-1")
     tables = [bit_table(words.filter(F.col("lang").isNull()), "fp")]
-    pairs = stored(_filter_counts(texts, least, fingerprint_bits, 2, tables), "phrases-pairs")
-    tables.append(bit_table(pairs, "fp"))
+    for length in range(2, longest):
+        tables.append(bit_table(stored(_filter_counts(texts, least, fingerprint_bits, length, tables), f"phrases-{length}"), "fp"))
     found = stored(_counted(texts, least, fingerprint_bits, longest, tables), "phrases-found")
     phrases = stored(_read_phrases(found, texts), "phrases-read")
     totals = words.filter(F.col("lang").isNotNull()).select("lang", F.col("n").alias("total"))
@@ -65,12 +66,12 @@ def phrase_collocations(
 # ------------------------------------------------------------------ counting
 
 
-def _filter_counts(texts: DataFrame, least: int, bits: int, length: int, tables: list[np.ndarray] | None) -> DataFrame:
+def _filter_counts(texts: DataFrame, least: int, bits: int, length: int, tables: list[np.ndarray]) -> DataFrame:
     """``(lang, fp, n)``: short fingerprints of at least ``least`` places; with words the totals of the languages.
 
     Only a filter is made from these rows, so they carry no more than 48 bits and a count.
     """
-    shared = None if tables is None else texts.sparkSession.sparkContext.broadcast(tables)
+    shared = texts.sparkSession.sparkContext.broadcast(list(tables))
     rows = texts.mapInArrow(partial(_filter_batches, shared, bits, length), "lang string, fp bigint, n bigint")
     counts = rows.groupBy("lang", "fp").agg(F.sum("n").alias("n"))
     return counts.filter((F.col("n") >= least) | F.col("lang").isNotNull())
@@ -137,8 +138,7 @@ def _filter_batches(shared, bits, length, batches):
             totals = np.bincount(chain.lang_codes[words.rows], minlength=len(chain.langs.dictionary))
             yield _filter_rows(chain.langs.dictionary.cast(pa.string()), np.zeros(len(totals), np.int64), totals)
         else:
-            word = chain.held(shared.value[0], chain.starts(1), 1)
-            starts = starts[word[starts] & word[starts + 1]]
+            starts = _possible(starts, chain.held(shared.value[-1], chain.starts(length - 1), length - 1))
         fp, counts = np.unique(chain.prints(starts, length) & SHORT, return_counts=True)
         yield _filter_rows(pa.nulls(len(fp), pa.string()), fp.view(np.int64), counts)
 
@@ -147,24 +147,25 @@ def _filter_rows(lang: pa.Array, fp: np.ndarray, n: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([lang, pa.array(fp, pa.int64()), pa.array(n, pa.int64())], names=["lang", "fp", "n"])
 
 
+def _possible(starts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Windows whose first and last words but one may be frequent."""
+    return starts[shorter[starts] & shorter[starts + 1]]
+
+
 def _count_batches(shared, bits, longest, batches):
     """Counts of the words and phrases that may be frequent, in each slice of texts."""
-    single, double = shared.value
+    tables = shared.value
     for part, words in _parts(batches):
         chain = _Chain(part, words, bits, 2)
         keys = part["key"].to_numpy(zero_copy_only=False)
-        word = chain.held(single, chain.starts(1), 1)
-        pair = None
+        shorter = None
         for length in range(1, longest + 1):
             starts = chain.starts(length)
-            if length == 2:
-                starts = starts[word[starts] & word[starts + 1]]
-                pair = chain.held(double, starts, 2)
-            if length == 1:
-                starts = starts[word[starts]]
-            else:
-                for i in range(length - 1):
-                    starts = starts[pair[starts + i]]
+            if shorter is not None:
+                starts = _possible(starts, shorter)
+            if length <= len(tables):
+                shorter = chain.held(tables[length - 1], starts, length)
+                starts = starts[shorter[starts]]
             if len(starts):
                 yield _grouped(chain, starts, length, keys)
 
@@ -282,7 +283,7 @@ def _kept(candidates: DataFrame, covered: int) -> DataFrame:
 
 def _ranked(candidates: DataFrame, totals: DataFrame, best: int | None) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = candidates.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    ranked = candidates.withColumn("rank", F.row_number().over(order))
     if best is not None:
         ranked = ranked.filter(F.col("rank") <= best)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
