@@ -11,6 +11,7 @@ from fablework.plans import corpus_build, recipes
 from fablework.session import cut_lineage, fresh_path
 from fablework.sources.sample_tables import document_words, documents_table, stories, table
 
+from fablework.sources import token_files
 from fablework.sources.writers import read_tokens, write_tokens
 
 from . import annotations, selection, sql
@@ -82,6 +83,14 @@ def training_batches(spark, folder):
     )
 
 
+def token_bins(spark, folder):
+    """The token streams as 16-bit files of at most 100,000 tokens, read back in pieces of 4,096."""
+    place = fresh_path(spark, "bins")
+    token_files.write_token_bins(_stream(spark, folder), place, file_tokens=100_000)
+    pieces = token_files.read_token_bins(spark, place, piece_tokens=4096, split_bytes=65_536)
+    return pieces.select("shard_key", F.col("before").alias("start"), "total", F.array_join("tokens", " ").alias("tokens"))
+
+
 def left_pad(spark, folder):
     encoded = _encoded(spark, folder)
     # batches of eight stories; the filler is a story without BOS, closed by a line break
@@ -159,6 +168,7 @@ QUERIES = {
     "bos_blocks": bos_blocks,
     "next_token": next_token,
     "training_batches": training_batches,
+    "token_bins": token_bins,
     "left_pad": left_pad,
     "bpe_pair_step": bpe_pair_step,
     "bpe_vocab": bpe_vocab,
@@ -223,6 +233,11 @@ SELECT shard_key, story_id, concat_ws(' ', '1', array_to_string(list(CASE WHEN v
     "training_batches": sql.with_views(sql.TOKENS, _fixed(128), selection._order_sql(3, 2))
     + """SELECT epoch, CAST(place // 16 AS BIGINT) batch_id, place, shard_key, block,
  array_to_string(chunk[1:128],' ') x, array_to_string(chunk[2:129],' ') y FROM ordered JOIN blocks USING (shard_key, block)""",
+    # a piece ends where a range of 32,768 tokens or a file of 100,000 does
+    "token_bins": T
+    + """SELECT shard_key, min(pos) AS "start", total, array_to_string(list(token ORDER BY pos),' ') tokens FROM
+ (SELECT shard_key, pos, total, token, pos//100000 f, (pos%100000)//32768 r, (pos%100000%32768)//4096 p FROM stream) q
+ GROUP BY shard_key, total, f, r, p""",
     "left_pad": sql.with_views(sql.TOKENS, _LISTS, _PAD.replace("filled AS", "filled AS", 1)),
     "bpe_pair_step": V
     + """SELECT substr(w,i,1) AS "left", substr(w,i+1,1) AS "right", CAST(sum(c) AS BIGINT) c

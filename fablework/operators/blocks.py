@@ -86,13 +86,17 @@ def fixed_blocks(stream: DataFrame, length: int) -> DataFrame:
     return whole.select("shard_key", "block", F.col("tokens").alias("chunk"))
 
 
-def bos_blocks(stream: DataFrame, length: int) -> DataFrame:
+def bos_blocks(stream: DataFrame, length: int, bos: int | None = None) -> DataFrame:
     """Blocks of ``length + 1`` tokens that begin where a story begins.
 
+    A story is a row, or with ``bos`` begins at each such token, wherever the rows of the stream were cut.
+
     Every story is one start, but the last of the shard is none, and a block that the end
     of the stream cuts short is left out. A start in window k needs tokens of windows k and
     k + 1 only, so windows of twice the length hold whole blocks.
     """
+    if bos is not None:
+        return _blocks_at(stream, length, bos)
     at, block = F.col("at"), F.col("block")
     mine = (at >= block * length) & (at < (block + 1) * length) & F.col("followed")
     windows = _windows(stream, length, 2 * length, F.collect_list(F.when(mine, at)).alias("starts"))
@@ -102,6 +106,18 @@ def bos_blocks(stream: DataFrame, length: int) -> DataFrame:
     return cut.filter(F.size("chunk") == length + 1)
 
 
+def _blocks_at(stream: DataFrame, length: int, bos: int) -> DataFrame:
+    windows = _windows(stream, length, 2 * length)
+    own = F.slice("tokens", 1, length)
+    offsets = F.filter(F.transform(own, lambda t, i: F.when(t == bos, i)), lambda i: i.isNotNull())
+    begun = windows.select("shard_key", "block", "tokens", F.explode(offsets).alias("_at"))
+    begun = begun.select(
+        "shard_key", (F.col("block") * length + F.col("_at")).alias("start"), F.slice("tokens", F.col("_at") + 1, length + 1).alias("chunk")
+    )
+    last = begun.groupBy("shard_key").agg(F.max("start").alias("_last"))  # a row for each shard
+    return begun.join(last, "shard_key").filter((F.col("start") < F.col("_last")) & (F.size("chunk") == length + 1)).drop("_last")
+
+
 def training_pairs(blocks: DataFrame, length: int) -> DataFrame:
     """Input ``x`` and the same tokens shifted by one as ``y``."""
     return blocks.select(

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,36 +187,6 @@ def early_stop_scan(df: DataFrame, dataset_size: int) -> DataFrame:
     return df.join(loaded, "shard_key", "left_semi")
 
 
-def read_token_bins(spark: SparkSession, folder: str, piece: int = 1 << 20) -> DataFrame:
-    """Token shards stored as little-endian 16-bit files: ``(shard_key, start, tokens)``.
-
-    A file becomes rows of ``piece`` tokens, so no row grows with its file.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.bin")
-        .load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("shard_key"), "content")
-    )
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, content in zip(batch.column("shard_key"), batch.column("content")):
-                ids = np.frombuffer(content.as_buffer(), dtype="<u2")
-                for start in range(0, len(ids), piece):
-                    part = ids[start : start + piece].astype("int32")
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([key.as_py()]),
-                            pa.array([start], pa.int64()),
-                            pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part)),
-                        ],
-                        names=["shard_key", "start", "tokens"],
-                    )
-
-    return files.mapInArrow(unpack, "shard_key string, start bigint, tokens array<int>")
-
-
 def read_version_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Tables stored below ``v=N`` folders as documents with ``columns`` and ``data``.
 
@@ -320,14 +287,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns(fixed) if fixed else df
 
 
-def token_positions(df: DataFrame) -> DataFrame:
-    """Offsets of token pieces that have their own ``start`` already, in stream form."""
-    totals = df.groupBy("shard_key").agg(F.sum(F.size("tokens").cast("bigint")).alias("total"))
-    return df.join(totals, "shard_key").select(
-        "shard_key", F.col("start").alias("before"), "total", "tokens"
-    )
-
-
 __all__ = [
     "broken_shards",
     "contiguous_versions",
@@ -337,7 +296,6 @@ __all__ = [
     "read_runs",
     "read_shot_blocks",
     "read_story_shards",
-    "read_token_bins",
     "read_until",
     "read_version_tables",
     "read_vocabulary",
@@ -349,7 +307,6 @@ __all__ = [
     "shard_options",
     "story_files",
     "shot_blocks",
-    "token_positions",
     "version_rows",
     "with_shard_index",
 ]

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from fablework.operators import scoring, splits
 from fablework.operators.blocks import bos_blocks, fixed_blocks, token_offsets
 from fablework.plans import corpus_build, recipes, scoring_job
 from fablework.session import fresh_path, shared_dir
-from fablework.sources import readers, writers
+from fablework.sources import readers, token_files, writers
 from fablework.sources.readers import read_story_shards
 from fablework.streaming import metrics as stream_metrics
 from fablework.streaming import scores as stream_scores
@@ -77,13 +78,51 @@ def test_equal_stories_in_a_streamed_shard_stay_apart(spark, tmp_path):
 
 
 def test_token_files(spark, tmp_path):
-    for name, ids in {"a.bin": range(10), "b.bin": [1, 65535, 2]}.items():
+    for name, ids in {"a.bin": range(10), "b.bin": [1, 65535, 2], "empty.bin": []}.items():
         np.array(list(ids), dtype="<u2").tofile(tmp_path / name)
-    pieces = readers.read_token_bins(spark, str(tmp_path), piece=4)
-    rows = sorted((r["shard_key"], r["start"], r["tokens"]) for r in pieces.collect())
-    assert rows == [("a.bin", 0, [0, 1, 2, 3]), ("a.bin", 4, [4, 5, 6, 7]), ("a.bin", 8, [8, 9]), ("b.bin", 0, [1, 65535, 2])]
-    found = fixed_blocks(readers.token_positions(pieces), 3).orderBy("shard_key", "block").collect()
+    pieces = token_files.read_token_bins(spark, str(tmp_path), piece_tokens=4, split_bytes=12)
+    rows = sorted(tuple(r) for r in pieces.collect())
+    assert rows == [("a", 0, 10, [0, 1, 2, 3]), ("a", 4, 10, [4, 5]), ("a", 6, 10, [6, 7, 8, 9]), ("b", 0, 3, [1, 65535, 2])]
+    assert pieces.rdd.getNumPartitions() == 3  # ranges, not files
+    found = fixed_blocks(pieces, 3).orderBy("shard_key", "block").collect()
     assert [r["chunk"] for r in found] == [[0, 1, 2, 3], [3, 4, 5, 6]]
+    only = pieces.filter("shard_key = 'b'")
+    assert only.rdd.getNumPartitions() == 1 and [r["tokens"] for r in only.collect()] == [[1, 65535, 2]]
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="odd number of bytes"):
+        token_files.read_token_bins(spark, str(tmp_path)).collect()
+
+
+def test_token_files_come_back(spark, tmp_path):
+    rng = random.Random(4)
+    shards = {"s 1/ü": 40, "data.00007": 25, "%": 9, "s": 1}
+    rows = [(k, i, [1] + [rng.randrange(2, 65536) for _ in range(rng.randrange(0, 30))]) for k, n in shards.items() for i in range(n)]
+    rng.shuffle(rows)
+    stored = spark.createDataFrame(rows, "shard_key string, story_id bigint, tokens array<int>")
+    want = {k: [t for _, _, x in sorted(r for r in rows if r[0] == k) for t in x] for k in shards}
+    folder = str(tmp_path / "bins")
+    for file_tokens in (1 << 20, 37):  # the second time it replaces the first
+        token_files.write_token_bins(token_offsets(stored), folder, file_tokens)
+        pieces = token_files.read_token_bins(spark, folder, piece_tokens=11, split_bytes=50)
+        got = {}
+        for r in sorted(pieces.collect(), key=lambda r: (r["shard_key"], r["before"])):
+            assert r["total"] == len(want[r["shard_key"]]) and r["before"] == len(got.setdefault(r["shard_key"], []))
+            got[r["shard_key"]] += r["tokens"]
+        assert got == want
+    assert max(f.stat().st_size for f in (tmp_path / "bins").glob("*.bin")) == 74
+    assert not list((tmp_path / "bins").glob("_writing*")) and (tmp_path / "bins" / "_SUCCESS").exists()
+    key = ["shard_key", "start", "chunk"]
+    whole = sorted(tuple(r[c] for c in key) for r in bos_blocks(token_offsets(stored), 16).collect())
+    assert whole and sorted(tuple(r[c] for c in key) for r in bos_blocks(pieces, 16, bos=1).collect()) == whole
+
+    kept = sorted(f.name for f in (tmp_path / "bins").iterdir())
+    wide = spark.createDataFrame([("s", 1, [1, 65536])], stored.schema)
+    with pytest.raises(Exception, match="16 bits"):
+        token_files.write_token_bins(token_offsets(wide), folder)
+    assert sorted(f.name for f in (tmp_path / "bins").iterdir()) == kept  # a failed job leaves the old files alone
+    next(f for f in (tmp_path / "bins").glob("s *.00001.bin")).unlink()
+    with pytest.raises(Exception, match="is missing"):
+        token_files.read_token_bins(spark, folder).collect()
 
 
 def test_versions_stop_at_the_first_gap(spark, tmp_path):
