@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fablework.operators import blocks, tokens
+from fablework.operators.ordinals import ordinal
+from fablework.operators.parse import FEATURE_NAMES
 from fablework.operators.metrics import bce_by_layer, probe_accuracy
 from fablework.operators.probes import fit_probes, probe_outputs
 from fablework.plans import corpus_build, recipes
@@ -104,6 +106,34 @@ def left_pad(spark, folder):
     return padded.select("batch_id", "place", F.array_join("padded", " ").alias("padded"))
 
 
+LENGTH, ROWS = 768, 16  # of the blocks and batches of stories
+
+
+def _story_batches(spark, folder):
+    """Blocks that begin with a rendered story, in batches, and their vocabulary: bytes alone."""
+    texts = recipes.build_text(stories(spark, folder), "filter-adv-Twist")
+    vocab = tokens.bpe_vocabulary(tokens.word_counts(document_words(spark, folder)).limit(0), []).filter(F.col("id") < tokens.FIRST_PIECE)
+    cut = cut_lineage(corpus_build.training_stream(corpus_build.bpe_tokens(texts, vocab, []), LENGTH, at_bos=True))
+    order = [F.col("shard_key"), F.shiftright("start", 20)]
+    numbered = ordinal(cut.select("shard_key", "start"), [], ["shard_key", "start"], order)
+    place = numbered.select(
+        "shard_key", "start", F.floor(F.col("idx") / ROWS).cast("bigint").alias("batch_id"), (F.col("idx") % ROWS).cast("bigint").alias("place")
+    )
+    return cut.join(place, ["shard_key", "start"]).select("batch_id", "place", F.col("x").alias("tokens")), vocab
+
+
+def label_batches(spark, folder):
+    """Batches of stories cut out of decoded blocks, with the labels of their features."""
+    found = corpus_build.label_batches(*_story_batches(spark, folder), [])
+    return found.select("batch_id", "place", F.array_join("padded", " ").alias("padded"), F.array_join("target", "").alias("target"))
+
+
+def prefix_batches(spark, folder):
+    """Batches of prompts cut out of decoded blocks."""
+    found = corpus_build.prefix_batches(*_story_batches(spark, folder), [])
+    return found.select("batch_id", "place", F.array_join("padded", " ").alias("padded"), "prefix", "target")
+
+
 def bpe_pair_step(spark, folder):
     words = _counts(spark, folder).select("c", F.regexp_extract_all("w", F.lit(r"([\s\S])"), F.lit(1)).alias("pieces"))
     return tokens.pair_counts(words)
@@ -170,6 +200,8 @@ QUERIES = {
     "training_batches": training_batches,
     "token_bins": token_bins,
     "left_pad": left_pad,
+    "label_batches": label_batches,
+    "prefix_batches": prefix_batches,
     "bpe_pair_step": bpe_pair_step,
     "bpe_vocab": bpe_vocab,
     "bpe_round_trip": bpe_round_trip,
@@ -182,16 +214,16 @@ T = sql.with_views(sql.TOKENS)
 
 _LISTS = """lists AS (SELECT shard_key, story_id, list(token ORDER BY pos) tokens FROM tokens GROUP BY shard_key, story_id)"""
 # row i of a batch of n: the suffixes i+1, i+2, … to the left, as often as tokens are missing
-_PAD = """rowed AS (SELECT story_id>>3 batch_id, story_id%8 place, tokens,
-  list_append(tokens[2:], 13) suffix FROM lists),
-sized AS (SELECT *, max(len(tokens)) OVER (PARTITION BY batch_id) width FROM rowed),
+_ROWED = """rowed AS (SELECT story_id>>3 batch_id, story_id%8 place, tokens, list_append(tokens[2:], 13) suffix FROM lists)"""
+_PAD = """sized AS (SELECT *, max(len(tokens)) OVER (PARTITION BY batch_id) width FROM rowed),
 ring AS (SELECT batch_id, list(suffix ORDER BY place) ring, CAST(sum(len(suffix)) AS BIGINT) ring_size FROM sized GROUP BY batch_id),
 turned AS (SELECT s.batch_id, s.place, s.tokens, s.width-len(s.tokens) missing, ring_size,
   list_reverse(list_concat(ring[r:], ring[1:r-1])) back
   FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY place)+1 r FROM sized) s JOIN ring USING (batch_id)),
 filled AS (SELECT batch_id, place, tokens, missing,
-  flatten(list_transform(range(CAST(ceil(missing/ring_size) AS BIGINT)), lambda i: flatten(back))) filler FROM turned)
-SELECT batch_id, place, array_to_string(list_concat(CASE WHEN missing=0 THEN [] ELSE filler[len(filler)-missing+1:] END, tokens),' ') padded FROM filled"""
+  flatten(list_transform(range(CAST(ceil(missing/ring_size) AS BIGINT)), lambda i: flatten(back))) filler FROM turned),
+padded AS (SELECT batch_id, place, array_to_string(list_concat(CASE WHEN missing=0 THEN [] ELSE filler[len(filler)-missing+1:] END, tokens),' ') padded FROM filled)
+"""
 
 
 def _fixed(length: int) -> str:
@@ -211,7 +243,37 @@ sample AS (SELECT {sql.words('t.text')} ws FROM (SELECT q.story_id, q.text FROM
 bv AS (SELECT w, CAST(row_number() OVER (ORDER BY c DESC, w)+258 AS INTEGER) id FROM
  (SELECT w, count(*) c FROM (SELECT unnest(ws) w FROM sample) u GROUP BY w) q)"""
 
+# streams of bytes, as characters with their places; a block's text ends in U+FFFD where it cuts a character
+_BYTES = f"""texts_of AS ({_BUILD}),
+marked AS (SELECT d.source shard_key, t.story_id, '▁'||replace(t.text,' ','▁') m FROM texts_of t JOIN documents d ON d.doc_id=t.story_id),
+laid AS (SELECT shard_key, story_id, m, 1+octet_length(encode(m)) n FROM marked),
+spot AS (SELECT *, sum(n) OVER (PARTITION BY shard_key ORDER BY story_id)-n b, sum(n) OVER (PARTITION BY shard_key) total,
+ row_number() OVER (PARTITION BY shard_key ORDER BY story_id DESC) back FROM laid),
+begun AS (SELECT shard_key, b, row_number() OVER (ORDER BY shard_key, b)-1 idx FROM spot WHERE back>1 AND b+{LENGTH}+1<=total),
+letters AS (SELECT shard_key, story_id, b, unnest(string_split(m,'')) c, unnest(range(len(string_split(m,'')))) i FROM spot),
+chars AS (SELECT shard_key, c, octet_length(encode(c)) w,
+ b+1+sum(octet_length(encode(c))) OVER (PARTITION BY shard_key, story_id ORDER BY i)-octet_length(encode(c)) pos FROM letters),
+texts AS (SELECT idx//{ROWS} batch_id, idx%{ROWS} place, replace(substr(string_agg(CASE WHEN pos+w<=s.b+{LENGTH} THEN c ELSE chr(65533) END,'' ORDER BY pos),2),'▁',' ') text
+ FROM begun s JOIN chars k ON k.shard_key=s.shard_key AND pos>=s.b AND pos<s.b+{LENGTH} GROUP BY idx)"""
+
+
+def _ids(x: str) -> str:
+    at = "strpos('0123456789ABCDEF', h[{}])-1"
+    return f"(SELECT list_transform(range(1, len(h), 2), lambda i: 16*({at.format('i')})+{at.format('i+1')}+3) FROM (SELECT hex(encode('▁'||replace({x},' ','▁'))) h))"
+
+
+_LABELLED = f"""parsed AS (SELECT batch_id, place, story, names FROM (SELECT batch_id, place, {selection._STORY} story, {selection._NAMES} names, text FROM texts)
+ WHERE story IS NOT NULL AND regexp_matches(text, 'Features: [^\\n]*\\n') AND len(list_filter(names, lambda n: NOT list_contains({list(FEATURE_NAMES)}, n)))=0),
+rowed AS (SELECT batch_id, place, list_prepend(1, {_ids('story')}) tokens, list_append({_ids('story')}, 13) suffix FROM parsed)"""
+_PROMPTED = f"""parsed AS (SELECT batch_id, place, string_split(text, chr(10)||'Story: ')[1]||chr(10)||'Story: ' prefix, {selection._STORY} target FROM texts),
+rowed AS (SELECT batch_id, place, list_prepend(1, {_ids('prefix')}) tokens, list_append({_ids('target')}, 13) suffix FROM parsed WHERE target IS NOT NULL)"""
+
 SQL = {
+    "label_batches": "WITH " + ", ".join([_BYTES, _LABELLED, _PAD])
+    + f"""SELECT batch_id, place, padded, array_to_string(list_transform({list(FEATURE_NAMES)}, lambda f: CAST(list_contains(names, f) AS INTEGER)),'') target
+ FROM padded JOIN parsed USING (batch_id, place)""",
+    "prefix_batches": "WITH " + ", ".join([_BYTES, _PROMPTED, _PAD])
+    + "SELECT batch_id, place, padded, prefix, target FROM padded JOIN parsed USING (batch_id, place)",
     "build_tokens": f"""WITH {_BUILT}
 SELECT shard_key, story_id, concat_ws(' ', '1', array_to_string(list(CASE WHEN v.id<{SIZE} THEN v.id ELSE 0 END ORDER BY pos),' ')) tokens
  FROM bw LEFT JOIN bv v ON bw.w=v.w GROUP BY shard_key, story_id""",
@@ -238,7 +300,7 @@ SELECT shard_key, story_id, concat_ws(' ', '1', array_to_string(list(CASE WHEN v
     + """SELECT shard_key, min(pos) AS "start", total, array_to_string(list(token ORDER BY pos),' ') tokens FROM
  (SELECT shard_key, pos, total, token, pos//100000 f, (pos%100000)//32768 r, (pos%100000%32768)//4096 p FROM stream) q
  GROUP BY shard_key, total, f, r, p""",
-    "left_pad": sql.with_views(sql.TOKENS, _LISTS, _PAD.replace("filled AS", "filled AS", 1)),
+    "left_pad": sql.with_views(sql.TOKENS, _LISTS, _ROWED, _PAD) + "SELECT * FROM padded",
     "bpe_pair_step": V
     + """SELECT substr(w,i,1) AS "left", substr(w,i+1,1) AS "right", CAST(sum(c) AS BIGINT) c
  FROM (SELECT w, c, unnest(range(1, len(w))) i FROM vocab) q GROUP BY 1, 2""",

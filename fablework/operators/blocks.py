@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordinals import ID_BITS, id_bucket, running_total
@@ -147,37 +147,60 @@ def block_list(totals: DataFrame, length: int, run: int = 65536) -> DataFrame:
 def pad_left(rows: DataFrame, batch: str = "batch_id", place: str = "place") -> DataFrame:
     """Pad the rows of a batch on the left to the longest of them.
 
-    Needs ``tokens`` (the row itself) and ``suffix`` (its story tokens, never empty). The
-    filler of row i is read backwards from the suffixes of rows i+1, i+2, … of the batch,
-    around the end and again as long as tokens are missing. Groups are batches, whose size
-    the caller sets.
+    Needs ``tokens`` (the row itself) and ``suffix`` (its story tokens). The filler of row i is read
+    backwards from the suffixes of rows i+1, i+2, … of the batch, around the end and again as long as
+    tokens are missing. ``place`` tells the rows of a batch apart.
+
+    The suffixes of a batch, last row first, form a ring, and the filler of a row is the stretch of
+    it that ends where the row's own suffix begins. Lengths alone are numbered; stretch and
+    suffix meet by cells of the ring, and only the pieces a row lacks are sent to it. So the work is in
+    proportion to the padding, and no row ever holds a batch. Without any suffix token nothing is padded.
     """
-    gathered = rows.groupBy(batch).agg(
-        F.sort_array(F.collect_list(F.struct(place, "tokens", "suffix"))).alias("members")
+    whole = Window.partitionBy(batch)
+    later = whole.orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    own, size = F.size("suffix").cast("bigint"), F.size("tokens").cast("bigint")
+    ring = rows.select(batch, place, own.alias("_own"), size.alias("_size")).select(
+        batch, place, "_own",
+        F.coalesce(F.sum("_own").over(later), none).alias("_from"),
+        F.sum("_own").over(whole).alias("_ring"),
+        (F.max("_size").over(whole) - F.col("_size")).alias("_missing"),
+        F.greatest(F.floor(F.sum("_own").over(whole) / F.count(F.lit(1)).over(whole)), F.lit(1).cast("bigint")).alias("_cell"),
+    )
+
+    def cells(first: Column, past: Column) -> Column:
+        return F.explode(F.sequence(F.floor(first / F.col("_cell")), F.floor((past - 1) / F.col("_cell")))).alias("_at_cell")
+
+    # the stretch [from - missing, from), cut where the ring closes; places below 0 are earlier rounds
+    begin, length = F.col("_from") - F.col("_missing"), F.col("_ring")
+    rounds = F.explode(F.sequence(F.floor(begin / length), F.floor((F.col("_from") - 1) / length))).alias("_round")
+    stretches = ring.filter((F.col("_missing") > 0) & (F.col("_ring") > 0)).select(
+        batch, place, "_cell", "_ring", begin.alias("_begin"), F.col("_from").alias("_end"), rounds
+    )
+    low = F.greatest(F.col("_begin") - F.col("_round") * length, none)
+    high = F.least(F.col("_end") - F.col("_round") * length, length)
+    wanted = stretches.select(batch, place, "_cell", (F.col("_round") * length).alias("_turn"), low.alias("_low"), high.alias("_high"))
+    wanted = wanted.select("*", cells(F.col("_low"), F.col("_high")))
+    past = F.col("_from") + F.col("_own")
+    offered = ring.filter(F.col("_own") > 0).select(
+        batch, F.col(place).alias("_giver"), F.col("_from").alias("_first"), past.alias("_past"), cells(F.col("_from"), past)
     )
-    longest = F.array_max(F.transform("members", lambda m: F.size(m["tokens"])))
-    ringed = gathered.select(
-        batch,
-        longest.alias("width"),
-        F.reverse(F.col("members.suffix")).alias("backward"),
-        F.aggregate(
-            "members", F.lit(0), lambda acc, m: acc + F.size(m["suffix"])
-        ).alias("ring"),
-        F.posexplode("members").alias("i", "m"),
+    meet_low, meet_high = F.greatest("_low", "_first"), F.least("_high", "_past")
+    met = wanted.join(offered, [batch, "_at_cell"]).filter(
+        (meet_low < meet_high) & (F.col("_at_cell") == F.floor(meet_low / F.col("_cell")))  # once, where both begin to overlap
+    ).select(
+        batch, place, "_giver", (F.col("_turn") + meet_low).alias("_at"),
+        (meet_low - F.col("_first") + 1).cast("int").alias("_start"), (meet_high - meet_low).cast("int").alias("_n"),
     )
-    # suffixes in the order …, i+2, i+1: the backward list turned so that i+1 comes last
-    n = F.size("backward")
-    turn = n - F.col("i") - 1
-    order = F.concat(
-        F.slice("backward", turn + 1, n), F.slice("backward", F.lit(1), turn)
+    givers = rows.select(batch, F.col(place).alias("_giver"), "suffix")
+    pieces = met.join(givers, [batch, "_giver"]).select(batch, place, "_at", F.slice("suffix", F.col("_start"), F.col("_n")).alias("_piece"))
+    filler = pieces.groupBy(batch, place).agg(
+        F.flatten(F.sort_array(F.collect_list(F.struct("_at", "_piece")))["_piece"]).alias("_filler")
     )
-    missing = F.col("width") - F.size("m.tokens")
-    rounds = F.ceil(missing / F.col("ring")).cast("int")
-    filler = F.flatten(F.array_repeat(F.flatten(order), rounds))
-    padded = F.when(missing == 0, F.col("m.tokens")).otherwise(
-        F.concat(F.slice(filler, F.size(filler) - missing + 1, F.greatest(missing, F.lit(0))), F.col("m.tokens"))
+    nothing = F.array().cast(rows.schema["tokens"].dataType)
+    return rows.select(batch, place, "tokens").join(filler, [batch, place], "left").select(
+        batch, place, F.concat(F.coalesce("_filler", nothing), F.col("tokens")).alias("padded")
     )
-    return ringed.select(batch, F.col(f"m.{place}").alias(place), padded.alias("padded"))
 
 
 def sequence_stats(encoded: DataFrame, bos: int = 1) -> DataFrame:

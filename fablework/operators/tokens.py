@@ -9,7 +9,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -291,6 +294,38 @@ def decode_tokens(encoded: DataFrame, vocab: DataFrame, keys: tuple[str, ...] =
     return joined.select(*keys, F.substr(text, F.lit(2)).alias("text"))
 
 
+def decode_rows(rows: DataFrame, vocab: DataFrame, tokens: str = "tokens", name: str = "text") -> DataFrame:
+    """Replace the token lists of a column by their texts, as ``decode_tokens`` gives them, without moving a row.
+
+    The vocabulary, which ids of 16 bits bound, goes to every task. Ids outside it give nothing.
+    """
+    spark = rows.sparkSession
+    listed = {r["id"]: r["piece"] for r in vocab.select("id", "piece").filter(F.col("id") >= FIRST_BYTE).collect()}  # at most MAX_IDS
+    spelled = [b""] * (max(listed, default=0) + 2)  # the last one for ids outside
+    for i, piece in listed.items():
+        spelled[i] = bytes([i - FIRST_BYTE]) if i < FIRST_PIECE else piece.encode()
+    shared = spark.sparkContext.broadcast(spelled)
+    kept = [c for c in rows.columns if c != tokens]
+    schema = rows.select(*kept, F.lit("").alias(name)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(shared.value, pa.large_binary())
+        last = len(pieces) - 1
+        for batch in batches:
+            lists = batch[tokens]
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            found = pieces.take(pa.array(np.where((ids >= 0) & (ids < last), ids, last)))
+            ends = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(found), 0).to_numpy(zero_copy_only=False)))
+            data = b"".join(found.to_pylist())
+            cuts = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+            texts = [
+                data[ends[a] : ends[b]].decode("utf-8", "replace").replace(BLANK, " ")[1:] for a, b in zip(cuts[:-1], cuts[1:])
+            ]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(texts, pa.string())], names=[*kept, name])
+
+    return rows.select(*kept, tokens).mapInArrow(run, schema)
+
+
 # ------------------------------------------------------------------ export
 
 
@@ -315,6 +350,7 @@ __all__ = [
     "chunks",
     "cut_texts",
     "decode_tokens",
+    "decode_rows",
     "encode_cut",
     "encode_text",
     "encode_words",

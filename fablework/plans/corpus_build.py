@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import computed_once, word_list
-from ..operators import blocks, splits, tokens
+from ..operators import blocks, parse, splits, tokens
 from ..operators.render import render
 from ..session import cut_lineage
 from ..sources.readers import first_shards
@@ -51,12 +51,12 @@ def learn_vocabulary(texts: DataFrame, size: int):
     return tokens.bpe_vocabulary(counts, merges), merges
 
 
-def bpe_tokens(texts: DataFrame, vocab: DataFrame, merges) -> DataFrame:
+def bpe_tokens(texts: DataFrame, vocab: DataFrame, merges, keys: tuple[str, ...] = ("shard_key", "story_id")) -> DataFrame:
     """Texts as BPE ids. Texts are cut and distinct words encoded once, and written to the shared folder."""
-    cut = tokens.cut_texts(texts)
+    cut = tokens.cut_texts(texts, keys=keys)
     counts = cut_lineage(tokens.word_counts(cut))
     ids = cut_lineage(tokens.word_ids(tokens.merge_words(counts, merges), vocab))
-    return tokens.encode_cut(cut, ids, counts)
+    return tokens.encode_cut(cut, ids, counts, keys)
 
 
 def build_dataset(
@@ -84,3 +84,45 @@ def training_batches(
     """
     ordered = splits.epoch_order(pairs.select("shard_key", "block"), epochs, seed, worker, rank)
     return splits.batches(ordered, batch_size).join(pairs, ["shard_key", "block"])
+
+
+BATCH = ("batch_id", "place")
+
+
+def _without_bos(ids: Column) -> Column:
+    """Story tokens closed by a line break, which fill up other rows."""
+    return F.array_append(F.slice(ids, F.lit(2), F.size(ids)), F.lit(tokens.FIRST_BYTE + 10))
+
+
+def label_batches(batches: DataFrame, vocab: DataFrame, merges) -> DataFrame:
+    """Batches of stories with their labels: ``(batch_id, place, padded, target)``.
+
+    ``batches`` are rows ``(batch_id, place, tokens)`` of blocks that begin with a story. Each is
+    decoded, cut down to its story, encoded again and padded on the left with stories of the same batch;
+    ``target`` has a 0 or 1 for each feature. A character that the block's end has cut becomes a
+    replacement character. Rows that do not parse, or whose features are unknown, are dropped and leave
+    their batch smaller; a list that repeats is a row of its own by its place.
+    """
+    texts = tokens.decode_rows(batches.select(*BATCH, "tokens"), vocab)
+    parsed = cut_lineage(parse.labelled_stories(texts).filter(F.size("unknown") == 0).select(*BATCH, "story", "target"))
+    rows = bpe_tokens(parsed.select(*BATCH, F.col("story").alias("text")), vocab, merges, BATCH)
+    padded = blocks.pad_left(rows.select(*BATCH, "tokens", _without_bos(F.col("tokens")).alias("suffix")))
+    return padded.join(parsed.select(*BATCH, "target"), [*BATCH])
+
+
+def prefix_batches(batches: DataFrame, vocab: DataFrame, merges) -> DataFrame:
+    """Batches of prompts to be continued: ``(batch_id, place, padded, prefix, target)``.
+
+    The prompt of a row is its text up to and with the story marker; it is encoded again and padded on the
+    left with the stories of the batch. ``target`` is the story. Rows without a story are dropped.
+    """
+    texts = tokens.decode_rows(batches.select(*BATCH, "tokens"), vocab)
+    parsed = cut_lineage(parse.prefix_rows(texts).select(*BATCH, "prefix", "target"))
+    both = F.explode(F.array(
+        F.struct(F.lit("prefix").alias("part"), F.col("prefix").alias("text")), F.struct(F.lit("story").alias("part"), F.col("target").alias("text"))
+    )).alias("p")
+    encoded = bpe_tokens(parsed.select(*BATCH, both).select(*BATCH, "p.part", "p.text"), vocab, merges, (*BATCH, "part"))
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("tokens")))
+    rows = encoded.groupBy(*BATCH).agg(of("prefix").alias("tokens"), of("story").alias("_story"))
+    padded = blocks.pad_left(rows.select(*BATCH, "tokens", _without_bos(F.col("_story")).alias("suffix")))
+    return padded.join(parsed, [*BATCH])

@@ -176,3 +176,51 @@ def test_ids_must_fit_16_bits(spark, tmp_path):
     df = spark.createDataFrame([("s", 1, [1, 65536])], "shard_key string, story_id bigint, tokens array<int>")
     with pytest.raises(Exception, match="16 bits"):
         writers.write_tokens(df, str(tmp_path), 8192, "bad")
+
+
+def test_padding_goes_around_short_rings(spark):
+    def slow(rows):
+        width = max(len(t) for _, t, _ in rows)
+        out = {}
+        for i, (place, own, _) in enumerate(rows):
+            j = i + 1
+            while len(own) < width:
+                fill = rows[j % len(rows)][2]
+                own = fill[max(len(fill) - (width - len(own)), 0):] + own
+                j += 1
+            out[place] = own
+        return out
+
+    rng = random.Random(8)
+    batches = {b: [(p * 3, [rng.randrange(9) for _ in range(rng.randrange(1, 40))], [rng.randrange(9) for _ in range(rng.randrange(0, 6))])
+                   for p in range(rng.randrange(1, 7))] for b in range(12)}
+    for rows in batches.values():
+        rows[0] = (*rows[0][:2], rows[0][2] or [7])  # a ring has a token at least
+    flat = [(b, *r) for b, rows in batches.items() for r in rows]
+    df = spark.createDataFrame(flat, "batch_id bigint, place int, tokens array<int>, suffix array<int>")
+    got = {(r["batch_id"], r["place"]): r["padded"] for r in blocks.pad_left(df).collect()}
+    assert got == {(b, p): t for b, rows in batches.items() for p, t in slow(rows).items()}
+    bare = spark.createDataFrame([(1, 0, [5], []), (1, 1, [5, 6], [])], df.schema)
+    assert sorted(r["padded"] for r in blocks.pad_left(bare).collect()) == [[5], [5, 6]]
+    assert blocks.pad_left(df.limit(0)).count() == 0
+
+
+def test_batches_of_decoded_blocks(spark):
+    texts = ["Features: Twist\nStory: One day. 漢", "Words: a\nStory: No features", "Features: Twist, Dialogue\nStory: Two", "no story at all",
+             "Features: \nStory: b\nWords: c", "Features: Magic\nStory: x"]
+    vocab = tokens.bpe_vocabulary(spark.createDataFrame([("a", 1)], "w string, c bigint"), []).filter("id < 259")
+    ids = [[1] + [b + 3 for b in ("▁" + t.replace(" ", "▁")).encode()] for t in texts]
+    ids[0] = ids[0][:-1]  # the block ends inside the last character
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(ids)], "batch_id bigint, place int, tokens array<int>")
+    back = {r["place"]: r["text"] for r in tokens.decode_rows(df, vocab).collect()}
+    assert back == {i: t.replace("漢", "�") for i, t in enumerate(texts)}
+
+    def readable(padded):
+        return bytes(t - 3 for t in padded if t > 2).decode().replace("▁", " "), padded.count(1)
+
+    labels = {r["place"]: (readable(r["padded"]), r["target"]) for r in corpus_build.label_batches(df, vocab, []).collect()}
+    assert set(labels) == {0, 2, 4} and labels[0] == ((" One day. \ufffd", 1), [1, 0, 0, 0, 0, 0])
+    assert labels[2][1] == [1, 0, 1, 0, 0, 0] and labels[4][1] == [0] * 6
+    assert labels[2][0][0].endswith("�\n b\n\n Two") and labels[4][0][0].endswith("�\n b\n")
+    prompts = {r["place"]: (r["prefix"], r["target"]) for r in corpus_build.prefix_batches(df, vocab, []).collect()}
+    assert prompts[4] == ("Features: \nStory: ", "b\n") and set(prompts) == {0, 1, 2, 4, 5}
