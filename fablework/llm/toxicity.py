@@ -189,16 +189,17 @@ def fit_label_model(
 
     ``unknown`` counts texts without a label; ``clean`` and ``toxic`` those with one, which hold the
     classes in place: however many texts have no label, together they weigh ``unknown_share`` of the
-    others at most. Without labels the share of word lists that voted starts the classes.
+    others at most. Without labels the number of word lists that voted stands for them.
     Correlated voters are joined by the tree that explains most of what they share within a class,
     so that their votes do not count twice.
     """
     bits = (patterns[:, None] >> np.arange(voters)) & 1
-    known = clean + toxic
-    if known.sum() > 0:
-        unknown = unknown * min(1.0, unknown_share * known.sum() / max(unknown.sum(), 1.0))
     votes = bits[:, : len(LEXICONS)].sum(axis=1)
-    start = np.where(votes > 0, 0.5 + votes / (2 * len(LEXICONS) + 2), 0.02)
+    start = np.where(votes > 0, 1 - 0.25 ** (votes + 1), 0.02)
+    if not (clean + toxic).any():
+        clean, toxic = unknown * (1 - start), unknown * start
+    known = clean + toxic
+    unknown = unknown * min(1.0, unknown_share * known.sum() / max(unknown.sum(), 1.0))
     chance = np.where(known > 0, (toxic + start) / (known + 1), start)
     model, shared = LabelModel(0.5, (-1,) * voters, np.full((2, 2, voters), 0.5)), np.zeros((voters, voters))
     parents: list[int] = []
