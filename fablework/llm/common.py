@@ -37,6 +37,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Rows ``(vec_id, vector)`` with an id and finite components only."""
     vector = F.col(vector_col)

@@ -102,14 +102,15 @@ def language_families(centres: dict[str, np.ndarray], count: int) -> list[tuple[
 
 
 def fit_languages(
-    labelled: DataFrame, rows_per_language: int = 800, most_languages: int = 64, features: int = 4096,
+    labelled: DataFrame, rows_per_language: int = 800, most_rows: int = 25_600, features: int = 4096,
     families: int | None = None, seed: int = 3, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
 ) -> LanguageModel:
     """Fit on rows with text and language; others are left out.
 
     The sample is bounded: about ``rows_per_language`` rows (by a hash of id and text) of each
-    of the ``most_languages`` most frequent languages, and only their features come to the
-    driver. Languages are grouped into ``families`` (default: the root of their number) by how
+    language, fewer where all of them would be more than ``most_rows``, and only their features come to
+    the driver. Every language is learned; so many that less than eight rows of each would fit are an
+    error. Languages are grouped into ``families`` (default: the root of their number) by how
     similar their features are.
     """
     usable = labelled.filter(
@@ -117,11 +118,13 @@ def fit_languages(
     ).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(seed), id_col, text_col).alias("pick"))
     counts = {
         r["lang"]: r["n"]
-        for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+        for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_rows // 8 + 1).collect()
     }
     if not counts:
         return LanguageModel((), (), {}, features)
+    if len(counts) > most_rows // 8:
+        raise ValueError(f"more than {most_rows // 8} languages: raise most_rows")
+    rows_per_language = min(rows_per_language, most_rows // len(counts))
     chance = F.lit(0.0)
     for lang, n in counts.items():
         chance = F.when(F.col("lang") == lang, F.lit(min(1.0, rows_per_language / n))).otherwise(chance)

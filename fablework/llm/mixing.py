@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fablework.operators.ordinals import running_total
 
-from .common import remaining, stored, word_count
+from .common import remaining, stored, unused, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], budget: float, most: float) -> DataFrame:
@@ -135,23 +135,26 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     may hold the first words of a document only. Rows that repeat id and text count as one
     document.
     """
+    cut_at = unused(docs, "mix_words")
     mixed = mix_sources(docs, id_col=id_col, text_col=text_col, **options).filter(F.col("taken") > 0)
-    taken = mixed.groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash")).agg(
-        F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken")
+    taken = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.max("size").alias("_size"), F.max("taken").alias("_taken")
     )
-    times = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
-    words = F.least(F.col("mix_size"), F.col("mix_taken") - F.col("mix_round") * F.col("mix_size"))
     schema = docs.schema
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    same = docs[id_col].eqNullSafe(taken["_id"]) & (F.xxhash64(docs[text_col]) == taken["_hash"])
+    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
+    words = F.least(F.col("_size"), F.col("_taken") - F.col("_round") * F.col("_size"))
     services = (
-        docs.join(taken, docs[id_col].eqNullSafe(taken["mix_id"]) & (F.xxhash64(docs[text_col]) == taken["mix_hash"]))
-        .select("*", F.explode(F.sequence(F.lit(0), times - 1)).alias("mix_round"))
-        .select(*[docs[c] for c in docs.columns], F.when(words < F.col("mix_size"), words).alias("mix_words"))
+        docs.join(taken, same).select(whole, "_size", "_taken")
+        .select("*", F.explode(F.sequence(F.lit(0), times - 1)).alias("_round"))
+        .select("_row.*", F.when(words < F.col("_size"), words).alias(cut_at))
     )
 
     def cut(batches):
         at = schema.names.index(text_col)
         for batch in batches:
-            words = batch["mix_words"].to_pylist()
+            words = batch[cut_at].to_pylist()
             columns = [batch[c] for c in schema.names]
             if any(n is not None for n in words):
                 texts = columns[at].to_pylist()

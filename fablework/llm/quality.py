@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 @dataclass(frozen=True)
 class QualityModel:
@@ -56,21 +58,21 @@ def size_difference(model: QualityModel, text: str | None, piece: int = 2048) ->
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, dictionary_bytes: int = 524_288, most_rows: int = 2000,
-    calibration_rows: int = 2000, sample_chars: int = 3000, seed: int = 5,
+    calibration_rows: int = 2000, seed: int = 5,
 ) -> QualityModel:
     """Fit on the texts of ``docs`` (``doc_id, text``) that ``labels`` (``doc_id, label``: 1 good, 0 bad) marks.
 
     The sample is bounded: at most ``most_rows`` rows of each label for the dictionaries and
     ``calibration_rows`` of each label, other rows, for the calibration, by a hash of the id.
-    It is drawn from the labels alone, so that its ids go to the texts and no text is moved;
-    the first ``sample_chars`` characters of these texts come to the driver. A dictionary
-    holds parts of equal length of its texts. The calibration is isotonic: pooled shares of good
-    rows along the difference, weighted to the labels' shares of all rows. Labels that are neither
-    0 nor 1, null ids and null texts are left out. Without texts of both labels every score is
-    the share of good rows (0.5 without any).
+    It is drawn from the labels alone, so that its ids go to the texts and no text is moved. Of a dictionary's
+    text comes a part from anywhere in it, by a hash, so that the parts fill ``dictionary_bytes``; the texts of
+    the calibration are scored whole where they are, and only the scores come to the driver.
+    The calibration is isotonic: pooled shares of good rows along the difference, weighted to the labels'
+    shares of all rows. Labels that are neither 0 nor 1, null ids and null texts are left out. Without texts of
+    both labels every score is the share of good rows (0.5 without any).
     """
     usable = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select(
-        "doc_id", "label", F.xxhash64(F.lit(seed), "doc_id").alias("pick")
+        "doc_id", F.col("label").cast("int").alias("label"), F.xxhash64(F.lit(seed), "doc_id").alias("pick")
     )
     share = usable.agg(F.avg("label").alias("good")).first()["good"]
     prior = 0.5 if share is None else float(share)
@@ -79,29 +81,39 @@ def fit_quality(
         usable.filter((F.col("label") == label) & (half == part)).orderBy("pick", "doc_id").limit(most)
         for part, most in ((0, most_rows), (1, calibration_rows)) for label in (0, 1)
     ]
-    sample = functools.reduce(DataFrame.union, drawn).select("doc_id", "label", half.alias("part"))
-    text = F.substring("text", 1, sample_chars)
-    rows = (  # at most 2 * (most_rows + calibration_rows) ids
-        docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
-        .select("doc_id", "label", "part", text.alias("text")).collect()
-    )
+    sample = stored(functools.reduce(DataFrame.union, drawn).select("doc_id", "label", "pick", half.alias("part")), "quality-sample")
+    texts = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(sample), "doc_id")  # at most 2 * (both bounds) ids
+    sizes = {r["label"]: r["n"] for r in sample.filter("part = 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = F.when(F.col("label") == 1, F.lit(_part_size(dictionary_bytes, sizes.get(1)))).otherwise(F.lit(_part_size(dictionary_bytes, sizes.get(0))))
+    start = F.pmod(F.xxhash64("pick", "text"), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1
+    rows = texts.filter("part = 0").select("doc_id", "label", F.substr("text", start.cast("int"), size).alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    texts = {k: [r["text"] for r in rows if (r["label"], r["part"]) == k and r["text"]] for k in ((0, 0), (1, 0), (0, 1), (1, 1))}
-    good, bad = (_dictionary(texts[label, 0], dictionary_bytes) for label in (1, 0))
+    good, bad = (_dictionary([r["text"] for r in rows if r["label"] == label], dictionary_bytes) for label in (1, 0))
     raw = QualityModel(good, bad, (0.0,), (prior,))
-    if not all(texts.values()):
+    if not good or not bad:
+        return raw
+    shared = docs.sparkSession.sparkContext.broadcast(raw)
+
+    def differences(batches):
+        for batch in batches:
+            found = pa.array([size_difference(shared.value, t.as_py()) for t in batch["text"]], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch["label"], found], names=["label", "difference"])
+
+    held = texts.filter("part = 1").select("label", "text").mapInArrow(differences, "label int, difference double").toArrow()
+    label, x = held["label"].to_numpy(), held["difference"].to_numpy()
+    if not (label == 0).any() or not (label == 1).any():
         return raw
-    scores = [np.array([size_difference(raw, t) for t in texts[label, 1]]) for label in (0, 1)]
-    knots, chances = _isotonic(scores[0], scores[1], prior)
+    knots, chances = _isotonic(np.sort(x[label == 0]), np.sort(x[label == 1]), prior)
     return QualityModel(good, bad, tuple(knots), tuple(chances))
 
 
-def _dictionary(texts: list[str], size: int) -> bytes:
-    """Equal parts of the texts up to ``size`` bytes."""
-    if not texts:
-        return b""
-    part = max(256, size // len(texts))
-    return b"\n".join(t.encode("utf-8", "surrogatepass")[-part:] for t in texts)[-size:]
+def _part_size(size: int, texts: int | None) -> int:
+    return max(256, size // max(texts or 1, 1))
+
+
+def _dictionary(parts: list[str], size: int) -> bytes:
+    """The parts of all texts, up to ``size`` bytes."""
+    return b"\n".join(t.encode("utf-8", "surrogatepass") for t in parts)[-size:]
 
 
 def _isotonic(bad: np.ndarray, good: np.ndarray, prior: float, pool: int = 25) -> tuple[list[float], list[float]]:

@@ -17,8 +17,9 @@ def place(items: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS)
 
     Items come in decreasing order of their largest share. Each goes to the shard where
     the dot product of its shares with the residual capacity is highest, of those where no
-    capacity is exceeded if there are any; ties go to the smaller shard. The capacity is
-    the even share of a shard.
+    capacity is exceeded if there are any, else of those that have room for its bytes; where none
+    has, it goes to the shard with most bytes free. Ties go to the smaller shard. The capacity of a
+    shard is its even share of each resource.
     """
     shares = items / np.maximum(items.sum(axis=0), 1) * shards
     weighted = shares * np.asarray(weights)
@@ -26,7 +27,8 @@ def place(items: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS)
     out = np.empty(len(items), dtype=np.int64)
     for i in np.argsort(-shares.max(axis=1), kind="stable"):
         value = residual @ weighted[i]
-        fits = residual[:, 0] >= shares[i, 0]
+        room = residual >= shares[i]
+        fits = room.all(axis=1) if room.all(axis=1).any() else room[:, 0]
         out[i] = int(np.argmax(np.where(fits, value, value - 1e6) if fits.any() else residual[:, 0]))
         residual[out[i]] -= shares[i]
     return out
@@ -34,16 +36,17 @@ def place(items: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS)
 
 def shard_documents(
     docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", cells: int = 6144,
-    part: float = 1 / 4,
+    uneven: float = 0.01,
 ) -> DataFrame:
-    """Put every row into one of ``shards`` shards; rows with equal texts stay together.
+    """Put every row into one of ``shards`` shards; rows with equal texts stay together while a shard holds them.
 
     Law ``bytes``: sizes (UTF-8 bytes plus 8) of the shards are near equal; words and rows
     are balanced next to them. A group (the rows of one text) with more than 1/``cells`` of all
     bytes, words or rows is an item of its own; smaller ones are gathered by a hash of the
-    text in ``cells`` items. A group above a ``part`` of a shard can't be balanced as a whole and
-    becomes several items, by a hash of its ids. So there are at most about four items for each
-    cell, whatever the number of rows, and placing these few is the only step that isn't
+    text in ``cells`` items. A group above a whole shard in one of the three can't stay together and
+    becomes several items, by a hash of its ids; only if the bytes of the shards then differ by more than
+    ``uneven`` of their mean, groups above a half, a quarter or an eighth of a shard are cut, too. So there are a
+    few items for each cell, whatever the number of rows, and placing these is the only step that isn't
     distributed. Slots are numbered inside pieces of an item (one for each cell's worth of it),
     which start where the pieces before them in the shard end.
 
@@ -78,27 +81,28 @@ def shard_documents(
     )
     # at most 3 * cells groups have such a share of one of the three sums
     large = groups.filter((share * F.lit(cells) > 1) & (F.col("r") > 1)).select(
-        "group", F.ceil(share * F.lit(cells)).cast("bigint").alias("pieces"),
-        F.ceil(share * F.lit(shards / part)).cast("bigint").alias("parts"),
+        "group", F.ceil(share * F.lit(cells)).cast("bigint").alias("pieces"), (share * F.lit(float(shards))).alias("of_shard")
     )
     piece = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.col("pieces"))
-    placed = (
-        rows.join(F.broadcast(large), "group", "left")
-        .withColumn("piece", F.coalesce(piece, F.lit(0).cast("bigint")))
-        .withColumn(
-            "item",
-            F.when(F.col("pieces").isNull(), F.concat(F.lit("c"), F.pmod(F.col("group"), F.lit(cells)).cast("string")))
-            .otherwise(F.concat_ws(".", F.lit("g"), "group", F.pmod(F.col("piece"), F.col("parts")))),
-        )
-    )
+    small = F.concat(F.lit("c"), F.pmod(F.col("group"), F.lit(cells)).cast("string"))
+    placed = rows.join(F.broadcast(large), "group", "left").withColumns({
+        "piece": F.coalesce(piece, F.lit(0).cast("bigint")),
+        "item": F.when(F.col("pieces").isNull(), small).otherwise(F.concat_ws(".", F.lit("g"), "group")),
+    })
     pieces = (
         placed.groupBy("item", "piece")
-        .agg(F.sum("size").alias("b"), F.sum("words").alias("w"), F.count(F.lit(1)).alias("r"))
+        .agg(F.sum("size").alias("b"), F.sum("words").alias("w"), F.count(F.lit(1)).alias("r"), F.max("of_shard").alias("of_shard"))
         .toPandas().sort_values(["item", "piece"], ignore_index=True)
     )
-    items = pieces.groupby("item", as_index=False)[["b", "w", "r"]].sum()
-    items["shard"] = place(items[["b", "w", "r"]].to_numpy(dtype=np.float64), shards)
-    pieces = pieces.merge(items[["item", "shard"]], on="item")
+    for part in (1.0, 0.5, 0.25, 0.125):
+        parts = np.ceil(pieces["of_shard"].fillna(0.0) / part).clip(lower=1).astype(np.int64)
+        pieces["part"] = pieces["piece"] % parts
+        items = pieces.groupby(["item", "part"], as_index=False)[["b", "w", "r"]].sum()
+        items["shard"] = place(items[["b", "w", "r"]].to_numpy(dtype=np.float64), shards)
+        filled = np.bincount(items["shard"], items["b"], shards)
+        if filled.max() - filled.min() <= uneven * filled.mean():
+            break
+    pieces = pieces.merge(items[["item", "part", "shard"]], on=["item", "part"])
     pieces["start"] = pieces.groupby("shard")["r"].cumsum() - pieces["r"]
     homes = docs.sparkSession.createDataFrame(
         pieces[["item", "piece", "shard", "start"]], "item string, piece bigint, shard int, start bigint"

@@ -163,7 +163,8 @@ def _sent(ids: np.ndarray, f: Features, fragments: int, name: str) -> list[tuple
     """Rows ``(fragment, header, payload)`` of one block."""
     digest = np.array(f.digest, dtype="S16") if f.digest else np.empty(0, "S16")
     raw = np.frombuffer(b"".join(f.digest), np.uint64).reshape(-1, 2)
-    order = np.lexsort((ids, raw[:, 1], raw[:, 0]))
+    # a null id comes last: its copies with an id keep their features
+    order = np.lexsort((np.where(ids == NO_ID, np.iinfo(np.int64).max, ids), raw[:, 1], raw[:, 0]))
     holder = np.zeros(len(ids), bool)
     if len(ids):
         ordered = raw[order]

@@ -33,12 +33,14 @@ def exact_topk(
     its ``k`` smallest ids, so a vector that occurs a million times costs ``k`` rows a block.
 
     Rows whose id or vector is null, or whose vector holds null, NaN or infinity, take no
-    part. Short vectors count as filled up with zeros. Rows that repeat an id count once
-    (the greatest vector). Scores are exact below 2**53 and wrap at 64 bits beyond. An empty
+    part; nor do vectors whose square sum after scaling exceeds 2**60, as their scores may not fit
+    64 bits. Short vectors count as filled up with zeros. Rows that repeat an id count once
+    (the greatest vector). Scores are exact below 2**53. An empty
     table gives no rows; fewer than ``k`` candidates are all returned. Other columns are not
     read. Returns ``query_id, rank, vec_id, score``.
     """
-    usable = usable_vectors(vectors, id_col, vector_col)
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (F.abs(x.cast("double")) * F.lit(float(scale)) + 1) ** 2)
+    usable = usable_vectors(vectors, id_col, vector_col).filter(square <= F.lit(float(2**60)))
     query_ids = vectors.filter(is_query).select(F.col(id_col).cast("bigint").alias("vec_id"))
     sizes = usable.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -48,7 +50,7 @@ def exact_topk(
     n_queries = query_ids.filter(F.col("vec_id").isNotNull()).distinct().count()
     chunks = max(1, -(-sizes["rows"] // chunk_rows))
     blocks = max(1, -(-n_queries // query_rows))
-    bound = int((scale * (sizes["most"] or 0.0) + 1) ** 2) * (sizes["dim"] or 0) + 1
+    bound = min(int((scale * (sizes["most"] or 0.0) + 1) ** 2) * (sizes["dim"] or 0), 2**60) + 1  # of any score, by the sums of squares
 
     every_chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")

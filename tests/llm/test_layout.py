@@ -241,3 +241,20 @@ def test_placement_prefers_the_residual_that_matches():
     items = np.array([[10.0, 1, 1], [1, 10, 1], [10, 1, 1], [1, 10, 1]])
     home = place(items, 2, (1.0, 1.0, 1.0))
     assert sorted(np.bincount(home).tolist()) == [2, 2] and home[0] != home[2]
+
+
+def test_a_text_that_fits_a_shard_is_not_cut(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abc ") for _ in range(rng.randrange(100, 900))), "s") for i in range(900)]
+    rows += [(i, "copy of one text", "s") for i in range(1000, 1060)]  # 6 % of all rows and few bytes
+    got = shard_documents(documents(spark, rows), shards=12).collect()
+    assert len({r["shard"] for r in got if r["doc_id"] >= 1000}) == 1
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert max(size.values()) <= 1.02 * min(size.values())
+
+
+def test_placement_keeps_to_all_capacities():
+    home = place(np.array([[6.0, 1, 8], [6, 9, 2], [1, 9, 1], [5, 1, 9]]), 2, (1.0, 0.1, 0.1))
+    assert home[1] != home[2]  # together they hold more words than a shard

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fablework.llm.langid import fit_languages, fit_svm, language_families, predict_languages, trainable
@@ -77,3 +78,23 @@ def test_quality_without_labels(spark):
     assert [r["score"] for r in score_quality(docs, none).collect()] == [0.5, 0.5]
     one = fit_quality(docs, spark.createDataFrame([(1, 1)], "doc_id bigint, label int"))
     assert [r["score"] for r in score_quality(docs, one).collect()] == [1.0, 1.0] and score_quality(docs.limit(0), one).count() == 0
+
+
+def test_more_than_64_languages_are_learned(spark):
+    rng = random.Random(3)
+    rows = [(70 * i + n, " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}{rng.randrange(9)}zz" for _ in range(30)), f"l{n:02d}") for i in range(10) for n in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = fit_languages(docs, features=512, most_rows=700)
+    assert len([x for f in model.families for x in f]) == 70
+    with pytest.raises(ValueError, match="most_rows"):
+        fit_languages(docs, features=512, most_rows=400)
+
+
+def test_quality_reads_the_ends_of_long_texts(spark):
+    rng = random.Random(4)
+    plain, junk = lambda n: text(rng, "aa", n), lambda n: " ".join(w.upper() + "!!" for w in text(rng, "aa", n).split())
+    rows = [(i, plain(600) + " " + (plain(900) if i % 2 else junk(900))) for i in range(200)]  # alike for 3,000 characters
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id bigint, label int")
+    got = {r["doc_id"]: r["score"] for r in score_quality(docs, fit_quality(docs, marks)).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(i % 2) for i in range(150, 200)]) >= 0.95

@@ -204,3 +204,34 @@ def test_passages_of_nothing(spark):
 
 def test_remaining_text_keeps_what_stands_around():
     assert remaining("a  b\nc d", [(1, 2)]) == "a  c d" and remaining("ä b", [(0, 1)]) == "b" and remaining("a b", [(0, 2)]) == ""
+
+
+def test_a_null_id_never_hides_a_copy_with_one(spark):
+    rng = random.Random(5)
+    a = words(rng, 80)
+    near = list(a)
+    near[40] = "other"
+    rows = [(None, " ".join(a)), (3, " ".join(a)), (9, " ".join(near))]
+    got = {r["doc_id"]: r["component_id"] for r in similar_groups(frame(spark, rows).coalesce(1)).collect()}
+    assert got[9] == got[3] == 3
+
+
+def test_rows_that_share_an_id_are_apart(spark):
+    rng = random.Random(6)
+    passage, one, other, third = words(rng, 80), words(rng, 90), words(rng, 20), words(rng, 70)
+    rows = [(5, " ".join(one + passage)), (5, " ".join(other + passage)), (7, " ".join(third + passage)), (8, " ".join(words(rng, 100)))]
+    for parts in (1, 4):
+        df = frame(spark, rows).repartition(parts)
+        left = {r["text"] for r in without_repeats(df, repeated_passages(df)).collect()}
+        whole = {" ".join(w + passage) for w in (one, other)} & left
+        cut = {" ".join(w) for w in (one, other)} & {t.strip() for t in left}
+        assert len(whole) == len(cut) == 1 and " ".join(third) in {t.strip() for t in left} and rows[3][1] in left and len(left) == 4
+
+
+def test_passages_with_clashing_columns(spark):
+    rng = random.Random(7)
+    passage = words(rng, 60)
+    rows = [(i, " ".join(words(rng, 30) + passage), "kept") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, repeat_spans string")
+    left = without_repeats(df, repeated_passages(df)).collect()
+    assert {r["repeat_spans"] for r in left} == {"kept"} and sorted(len(r["text"].split()) for r in left) == [30, 30, 90]

@@ -85,3 +85,11 @@ def test_best_of_breaks_ties_by_id():
 def test_a_tree_over_equal_rows_is_a_leaf():
     tree = fit_tree(np.ones((50, 3)))
     assert tree.n_leaves == 1 and tree.order(np.ones(3), 5) == [0]
+
+
+def test_topk_leaves_out_what_64_bits_cannot_score(spark):
+    rows = random_rows(60)
+    rows += [(100, [1e12] * 8), (101, [3e30, 0, 0, 0, 0, 0, 0, 0]), (102, [30000.0] + [0.0] * 7)]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in exact_topk(frame(spark, rows), F.col("vec_id") % 10 == 0, k=3).collect()}
+    want = plain_topk([r for r in rows if r[0] not in (100, 101)], 10, 3, integer_product)
+    assert got == {(q, n): (v, s) for q, n, v, s in want}
