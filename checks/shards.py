@@ -33,6 +33,13 @@ def json_shards(spark, folder):
     return _shown(readers.read_story_shards(spark, _written(spark, folder)))
 
 
+def json_ranges(spark, folder):
+    """One shard for each source, read in ranges of 32 KB."""
+    path = fresh_path(spark, "json-shards")
+    writers.write_story_shards(stories(spark, folder), path)
+    return _shown(readers.read_large_shards(spark, path, split_bytes=32_768))
+
+
 def json_shard_index(spark, folder):
     return readers.shard_index(readers.read_story_shards(spark, _written(spark, folder)))
 
@@ -56,7 +63,7 @@ def json_stream(spark, folder):
     )
 
 
-QUERIES = {f.__name__: f for f in (json_shards, json_shard_index, json_first_shards, json_early_stop, json_stream)}
+QUERIES = {f.__name__: f for f in (json_shards, json_ranges, json_shard_index, json_first_shards, json_early_stop, json_stream)}
 
 # ------------------------------------------------------------------ oracle SQL
 
@@ -71,6 +78,9 @@ _ALL = sql.with_views(sql.STORIES, _SHARDS)
 
 SQL = {
     "json_shards": _ALL + _SHOWN,
+    "json_ranges": sql.with_views(sql.STORIES)
+    + """SELECT shard_key, CAST(row_number() OVER (PARTITION BY shard_key ORDER BY story_id)-1 AS BIGINT) place, md5(story) story, summary,
+ array_to_string(words,',') words, array_to_string(features,',') features FROM stories""",
     "json_shard_index": _ALL
     + "SELECT shard shard_key, CAST(count(*) AS BIGINT) n_rows, CAST(shard_idx AS BIGINT) shard_idx FROM shards GROUP BY shard, shard_idx",
     "json_first_shards": _ALL + _SHOWN + " WHERE shard_idx < 3",

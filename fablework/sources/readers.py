@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from . import json_ranges
+
 STORY_SCHEMA = T.StructType(
     [
         T.StructField("story", T.StringType()),
@@ -96,7 +97,7 @@ def story_files(spark: SparkSession, folder: str) -> DataFrame:
     found = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.{json,txt}").option("recursiveFileLookup", True).load(folder)
     )
-    return found.select(shard_name(F.col("path")).alias("shard_key"), "path", "length")
+    return found.select(shard_name(F.col("_metadata.file_path")).alias("shard_key"), "path", "length")
 
 
 def _read_files(spark: SparkSession, paths: list[str], broken: str) -> DataFrame:
@@ -104,11 +105,39 @@ def _read_files(spark: SparkSession, paths: list[str], broken: str) -> DataFrame
     return shape_stories(found, broken, len(found.inputFiles()))
 
 
+def read_large_shards(
+    spark: SparkSession, folder: str, shards: int | None = None, broken: str = "fail", split_bytes: int = json_ranges.SPLIT_BYTES
+) -> DataFrame:
+    """The rows of ``read_story_shards``, with every file read in ranges of ``split_bytes`` by many tasks.
+
+    Each file is read twice: where strings and brackets begin must be known before it can be cut.
+    """
+    files = story_files(spark, folder)
+    if shards is not None:
+        files = files.orderBy("shard_key").limit(shards)
+    named = json_ranges.array_elements(files.select("path", "length"), split_bytes).join(files.select("path", "shard_key"), "path")
+    parsed = F.from_json("text", STORY_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = named.select("shard_key", "path", "place", "error", parsed.alias("s"))
+    bad = F.col("error").isNotNull() | F.col("s._corrupt_record").isNotNull()
+    if broken == "skip":
+        rows = rows.join(rows.filter(bad).select("path").distinct(), "path", "left_anti")
+    else:
+        stop = F.raise_error(F.concat(F.lit("shard cannot be read: "), F.col("path"))).cast("boolean")
+        rows = rows.filter(F.when(bad, stop).otherwise(F.lit(True)))
+    key = F.shiftleft(F.xxhash64("shard_key").bitwiseAND(F.lit((1 << 31) - 1)), PLACE_BITS)
+    return rows.select(
+        "shard_key", key.bitwiseOR(F.col("place")).alias("story_id"), "s.story", "s.summary", "s.sentence",
+        F.col("s.instruction.words").alias("words"), F.col("s.instruction.features").alias("features"),
+    )
+
+
 def read_story_shards(
     spark: SparkSession, folder: str, shards: int | None = None, broken: str = "fail"
 ) -> DataFrame:
     """Stories of a folder of JSON-array shards; with ``shards`` only the first so many are opened.
 
+    A file is read by one task (``read_large_shards`` cuts large ones).
+
     ``story_id`` grows along a shard. A shard that cannot be parsed raises an error when it
     is read, or is left out with ``broken="skip"``.
     """
@@ -293,6 +322,7 @@ __all__ = [
     "early_stop_scan",
     "first_shards",
     "nan_to_null",
+    "read_large_shards",
     "read_runs",
     "read_shot_blocks",
     "read_story_shards",

@@ -34,7 +34,16 @@ _NUMBERED = re.compile(r"(.+)\.(\d{5})$")
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1))
+    """The file system of a path and the path on it."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str):
+    """A file that can be read at any place."""
+    system, place = _open(path)
+    return system.open_input_file(place)
 
 
 def file_name(shard: str, part: int) -> str:

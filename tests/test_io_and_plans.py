@@ -12,7 +12,7 @@ from fablework.operators import scoring, splits
 from fablework.operators.blocks import bos_blocks, fixed_blocks, token_offsets
 from fablework.plans import corpus_build, recipes, scoring_job
 from fablework.session import fresh_path, shared_dir
-from fablework.sources import readers, token_files, writers
+from fablework.sources import json_ranges, readers, token_files, writers
 from fablework.sources.readers import read_story_shards
 from fablework.streaming import metrics as stream_metrics
 from fablework.streaming import scores as stream_scores
@@ -77,6 +77,39 @@ def test_equal_stories_in_a_streamed_shard_stay_apart(spark, tmp_path):
     assert streamed == {r["story_id"] for r in readers.read_story_shards(spark, str(source)).collect()} and len(streamed) == 2
 
 
+def test_structure_from_any_cut():
+    text = json.dumps([{"a": 'x"y\\ {[', "b": ["]", {"c": '\\\\\\"}'}]}, {"d": "\\"}, {}, {"é": "漢}"}], ensure_ascii=False).encode()
+    data = np.frombuffer(text, np.uint8)
+    whole, steps, end = json_ranges.structure(data, json_ranges.OUTSIDE)
+    assert end == json_ranges.OUTSIDE and steps.sum() == 0 and bytes(data[whole]) == b"[{[{}]}{}{}{}]"
+    for cut in range(len(data) + 1):
+        left, _, state = json_ranges.structure(data[:cut], json_ranges.OUTSIDE)
+        right, _, last = json_ranges.structure(data[cut:], state)
+        assert np.concatenate([left, right + cut]).tolist() == whole.tolist() and last == end
+
+
+def test_large_shards_in_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    part = lambda: "".join(rng.choice('ab"\\\\{}[],: \n漢é') for _ in range(rng.randrange(40)))
+    for name, count, indent in (("data1", 30, None), ("data 2", 7, 3), ("none", 0, None), ("one", 1, None)):
+        rows = [story(part(), extra={"deep": [part(), {"x": part()}]}, sentence=part()) for _ in range(count)]
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=count == 7))
+    want = sorted(map(repr, readers.read_story_shards(spark, str(tmp_path)).collect()))
+    for split in (16, 1 << 20):
+        assert sorted(map(repr, readers.read_large_shards(spark, str(tmp_path), split_bytes=split).collect())) == want, split
+    assert len(want) == 38
+    first = readers.read_large_shards(spark, str(tmp_path), shards=1, split_bytes=50)
+    assert {r["shard_key"] for r in first.collect()} == {"data%202.json"}
+    good = (tmp_path / "data1.json").read_bytes()
+    broken = [good[:-20], b'[{"story": "a"} {"story": "b"}]', b'[1, {"story": "a"}]', good.replace(b"sentence", b"sent\xffnce", 1), b'[{"story" "a"}]']
+    for data in broken:
+        (tmp_path / "data1.json").write_bytes(data)
+        with pytest.raises(Exception, match="shard cannot be read"):
+            readers.read_large_shards(spark, str(tmp_path), split_bytes=60).collect()
+        left = readers.read_large_shards(spark, str(tmp_path), broken="skip", split_bytes=60)
+        assert {r["shard_key"] for r in left.collect()} == {"data%202.json", "one.json"}, data
+
+
 def test_token_files(spark, tmp_path):
     for name, ids in {"a.bin": range(10), "b.bin": [1, 65535, 2], "empty.bin": []}.items():
         np.array(list(ids), dtype="<u2").tofile(tmp_path / name)
