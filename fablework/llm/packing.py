@@ -10,12 +10,14 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fablework.operators.ordinals import ordinal
 
 from .common import stored, text_slices
+from .wordcodes import flat
 
 
 def public_tokenizer(name: str) -> str:
@@ -28,6 +30,11 @@ def public_tokenizer(name: str) -> str:
 #: Sentence marks at the end of a word that ends in an ASCII letter or digit.
 END_MARKS = re.compile(rb"(?<=[a-z0-9])([.,!?;:]+)(?![^\x20\x09-\x0D])")
 
+#: Tables by byte: A-Z in lower case, blanks, marks and letters or digits as in ``END_MARKS``.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK, _MARK, _ALNUM = (np.isin(np.arange(256), list(chosen)) for chosen in (b" \t\n\x0b\x0c\r", b".,!?;:", b"abcdefghijklmnopqrstuvwxyz0123456789"))
+
 
 class WordEncoder:
     """Token ids of documents from a cache of their words.
@@ -37,7 +44,7 @@ class WordEncoder:
     one flat array; a full cache (``most`` words) starts anew.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -96,22 +103,60 @@ class WordEncoder:
         self.used = total
         self.slots.update(zip(words, range(first, first + len(words))))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """``(codes, distinct words, rows)`` of all words of a column, as ``_words`` cuts them; nothing of special texts."""
+        data, offsets = flat(texts)
+        if self.simple:
+            data = _LOWER[data]
+        inside = ~_BLANK[data]
+        if self.simple and len(data):  # texts with special tokens are cut by themselves
+            for row in self._special(texts):
+                inside[offsets[row] : offsets[row + 1]] = False
+        edges = offsets[1:-1]
+        edges = edges[(edges > 0) & (edges < len(data))]
+        before, after = np.append(False, inside[:-1])[: len(data)], np.append(inside[1:], False)[: len(data)]
+        before[edges], after[edges - 1] = False, False
+        begins, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        if self.simple and len(begins):  # marks at the end of a word behind a letter or digit are a word of their own
+            word_end = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))[ends - 1]
+            marked = (word_end >= begins) & (word_end < ends - 1)
+            marked[marked] = _ALNUM[data[word_end[marked]]]
+            order = np.argsort(np.append(begins, word_end[marked] + 1), kind="stable")
+            begins = np.append(begins, word_end[marked] + 1)[order]
+            ends = np.append(np.where(marked, word_end + 1, ends), ends[marked])[order]
+        cuts = np.append(0, np.cumsum(ends - begins))
+        words = pa.Array.from_buffers(
+            pa.large_binary(), len(begins), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data[inside].tobytes())]
+        ).dictionary_encode()
+        rows = np.searchsorted(offsets, begins, side="right") - 1
+        return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist(), rows
+
+    def _special(self, texts: pa.Array) -> list[int]:
+        return np.flatnonzero(pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False)).tolist() if self.simple else []
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the position where each document ends; every document ends with the end id."""
-        words: list[bytes] = []
-        ends = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                words += self._words(text)
-            words.append(b"")
-            ends[i] = len(words)
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if len(self.slots) > self.most:
             self._clear()
-        self._learn([w for w in dict.fromkeys(words) if w not in self.slots])
-        at = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        codes, distinct, rows = self._cut(texts)
+        special = {row: self._words(texts[row].as_py()) for row in self._special(texts)}
+        wanted = dict.fromkeys(distinct)
+        for words in special.values():
+            wanted.update(dict.fromkeys(words))
+        self._learn([w for w in wanted if w not in self.slots])
+        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))[codes]
+        if special:  # their words go between those of the other rows
+            slots = np.concatenate([slots, *(np.array([self.slots[w] for w in words], np.int64) for words in special.values())])
+            rows = np.concatenate([rows, *(np.full(len(words), row) for row, words in special.items())])
+            order = np.argsort(rows, kind="stable")
+            slots, rows = slots[order], rows[order]
+        at = np.zeros(len(slots) + len(texts), np.int64)  # 0, the end, behind each document
+        at[np.arange(len(slots)) + rows] = slots
+        ends = np.cumsum(np.bincount(rows, minlength=len(texts)) + 1)
         lengths = self.lengths[at]
         past = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[at] - past + lengths, lengths) + np.arange(past[-1])]
+        ids = self.flat[np.repeat(self.starts[at] - past + lengths, lengths) + np.arange(past[-1] if len(past) else 0)]
         return ids, past[ends - 1]
 
 
@@ -140,7 +185,7 @@ def tokenized_pieces(
         encoder = _encoder(tokenizer, end_id)
         for batch in batches:
             for first, past in text_slices(batch["text"]):
-                ids, ends = encoder.encode(batch["text"].slice(first, past - first).to_pylist())
+                ids, ends = encoder.encode(batch["text"].slice(first, past - first))
                 begins = np.concatenate([[0], ends[:-1]])
                 count = -((begins - ends) // capacity)
                 doc = np.repeat(np.arange(len(ends)), count)
