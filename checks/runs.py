@@ -209,6 +209,13 @@ def loss_by_type(spark, folder):
     return _rounded(curve.withColumn("mean", F.col("mean") + 1e-9))  # off exact decimal ties
 
 
+def loss_bands(spark, folder):
+    """The loss curve of each kind of run with the band of 50 replicates."""
+    rows = _typed_history(spark, folder).withColumn("stage", F.floor(F.col("iter") / 100).cast("bigint"))
+    bands = hist.mean_bands(rows, ["deletion_type", "stage"], "loss_test", ["run_id", "iter"], replicates=50, seed=4)
+    return bands.select("deletion_type", "stage", "n", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("mean", "low", "high")])
+
+
 def renamed_losses(spark, folder):
     wide = history(spark, folder).select("run_id", "iter", F.col("loss_test").alias("loss/specialise-Twist"))
     return _rounded(runs.renamed(wide, runs.loss_names()))
@@ -234,7 +241,7 @@ QUERIES = {
         runs_view, runs_read, runs_filtered, runs_scheduled, runs_tagged, deletion_info, baseline_replicated, model_dir, shown_type,
         dataset_name, dataset_name_parts, rate_strings, run_name_lines, sweep_grid, model_lineage, history_view,
         history_enriched, history_thinned, smooth_history, smooth_last_evals, last_n_evals, ema, running_best, step_time,
-        distinct_evals, derived_columns, lr_schedule, score_pivot, score_table_lines, chosen_scores, loss_by_type,
+        distinct_evals, derived_columns, lr_schedule, score_pivot, score_table_lines, chosen_scores, loss_by_type, loss_bands,
         renamed_losses, probe_columns, runs_sorted,
     )
 }
@@ -352,6 +359,14 @@ SQL = {
     "loss_by_type": sql.with_views(sql.RUNS, sql.HISTORY, _STUDIED, _TYPED)
     + """SELECT round(deletion_lr,6) deletion_lr, deletion_type, iter, round(avg(loss_test)+1e-9,6) mean, CAST(count(loss_test) AS BIGINT) n
  FROM typed GROUP BY 1, 2, 3""",
+    "loss_bands": sql.with_views(sql.RUNS, sql.HISTORY, _STUDIED, _TYPED)
+    + f"""SELECT m.deletion_type, m.stage, n, round("mean"+1e-9,6) "mean", round("low"+1e-9,6) "low", round("high"+1e-9,6) "high" FROM
+ (SELECT deletion_type, iter//100 stage, avg(loss_test) "mean", CAST(count(loss_test) AS BIGINT) n FROM typed WHERE loss_test IS NOT NULL GROUP BY 1, 2) m
+ JOIN (SELECT deletion_type, stage, quantile_cont(s/k, 0.025) "low", quantile_cont(s/k, 0.975) "high" FROM
+  (SELECT deletion_type, stage, b, sum(w*loss_test) s, nullif(sum(w),0) k FROM
+   (SELECT deletion_type, iter//100 stage, loss_test, b, len(list_filter({list(hist.POISSON)}, lambda c: u >= c)) w FROM
+    (SELECT *, {sql.u01(4, 'band', "(run_id||'|'||iter||'|'||b)")} u FROM typed, (SELECT unnest(range(1,51)) b) WHERE loss_test IS NOT NULL))
+   GROUP BY 1, 2, 3) GROUP BY 1, 2) p ON p.deletion_type IS NOT DISTINCT FROM m.deletion_type AND p.stage=m.stage""",
     "renamed_losses": H + 'SELECT run_id, iter, round(loss_test,6) "Task Loss" FROM history',
     "probe_columns": sql.with_views(sql.PROBES)
     + """SELECT feature, layer probe_index, round(avg(CASE WHEN (logit>0)=(target=1) THEN 1.0 ELSE 0.0 END),6) probe_accuracy

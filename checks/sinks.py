@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from fablework.operators import scoring, tokens
 from fablework.operators.history import KEY
 from fablework.operators.render import render
-from fablework.session import fresh_path
+from fablework.session import cut_lineage, fresh_path
 from fablework.sources import readers, writers
 from fablework.sources.sample_tables import generations, history, labelled, stories
+from fablework.streaming import blocks as stream_token
 from fablework.streaming import metrics as stream_metrics
 from fablework.streaming import scores as stream_scores
 from fablework.streaming import shards as stream_shards_mod
@@ -90,6 +91,20 @@ def stream_shards(spark, folder):
     return spark.read.parquet(target).select("story_id", "text")
 
 
+def stream_token_blocks(spark, folder):
+    """Blocks of 256 tokens from stories that arrive in five runs of files."""
+    source, target, state = (fresh_path(spark, n) for n in ("arriving", "blocks", "state"))
+    encoded = cut_lineage(token_checks._encoded(spark, folder))
+    bounds = encoded.agg(F.percentile("story_id", F.array(*[F.lit(i / 5) for i in range(1, 5)]))).first()[0]
+    for low, high in zip([float("-inf"), *bounds], [*bounds, float("inf")]):
+        part = encoded.filter((F.col("story_id") > low) & (F.col("story_id") <= high))
+        part.coalesce(1).write.mode("append").parquet(source)
+    arriving = stream_shards_mod.stream_tables(spark, source, encoded.schema, 1)
+    stream_shards_mod.append_rows(stream_token.stream_blocks(arriving, 256), target, state).awaitTermination()
+    found = spark.read.schema(stream_token.BLOCKS).parquet(target)
+    return found.select("shard_key", "block", F.array_join("chunk", " ").alias("chunk"))
+
+
 def stream_dedup_scores(spark, folder):
     source, cache, state = (fresh_path(spark, n) for n in ("prompts", "scores", "state"))
     prompts = _prompts(spark, folder).repartition(4)
@@ -150,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_export, token_dataset, labelled_cache, chat_lines, score_cache_append, summary_csv, version_tables, vocab_file,
-        stream_shards, stream_dedup_scores, stream_ema, stream_running_best, stream_late_rows, stream_metric_log,
+        stream_shards, stream_token_blocks, stream_dedup_scores, stream_ema, stream_running_best, stream_late_rows, stream_metric_log,
     )
 }
 
@@ -177,6 +192,7 @@ SQL = {
     "vocab_file": sql.with_views(sql.VOCAB)
     + """SELECT CAST(row_number() OVER (ORDER BY id)-1 AS INTEGER) id, '▁'||w piece, CAST(259-id AS DOUBLE) score FROM vocab WHERE id < 8192""",
     "stream_shards": annotations.SQL["recipe_filter_adv_Twist"],
+    "stream_token_blocks": token_checks.SQL["fixed_blocks"],
     "stream_dedup_scores": sql.with_views(scoring_checks._PROMPTS) + f"SELECT DISTINCT cache_id, {_RULE} FROM prompts",
     "stream_ema": RUN_SQL["ema"],
     "stream_running_best": RUN_SQL["running_best"],

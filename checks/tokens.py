@@ -173,14 +173,26 @@ def build_tokens(spark, folder):
     return encoded.select("shard_key", "story_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-def linear_probe(spark, folder):
-    """Six probes on the whole vectors as layer 0 and on their second half as layer 1."""
+def _probed(spark, folder):
+    """The whole vectors as layer 0 and their second half as layer 1."""
     e = table(spark, folder, "embeddings")
     target = F.array(*[(F.col("label") % 6 == f).cast("int") for f in range(6)])
     rows = e.select(F.col("vec_id").alias("example_id"), F.col("embedding").cast("array<double>").alias("v"), target.alias("target"))
     vectors = rows.select("example_id", F.lit(0).alias("layer"), F.col("v").alias("vector"), "target").unionByName(
         rows.select("example_id", F.lit(1).alias("layer"), F.slice("v", 33, 32).alias("vector"), "target")
     )
+    return vectors
+
+
+def given_probe(spark, folder):
+    """Outputs of probes with given weights."""
+    weights = {(layer, f): [((d + 1) * (f + 2) % 7 - 3) / 8 for d in range(64 if layer == 0 else 32)] for layer in (0, 1) for f in range(6)}
+    return probe_outputs(_probed(spark, folder), weights).withColumn("logit", F.round("logit", 6))
+
+
+def linear_probe(spark, folder):
+    """Six probes on each layer."""
+    vectors = _probed(spark, folder)
     outputs = probe_outputs(vectors, fit_probes(vectors, [0, 1]))
     loss = bce_by_layer(outputs).filter(F.col("layer").isNotNull())
     return probe_accuracy(outputs).filter(F.col("layer").isNotNull()).join(loss, "layer")
@@ -189,6 +201,7 @@ def linear_probe(spark, folder):
 QUERIES = {
     "build_tokens": build_tokens,
     "linear_probe": linear_probe,
+    "given_probe": given_probe,
     "word_freq": word_freq,
     "rank_vocab": rank_vocab,
     "encode_words": encode_words,
@@ -269,6 +282,9 @@ _PROMPTED = f"""parsed AS (SELECT batch_id, place, string_split(text, chr(10)||'
 rowed AS (SELECT batch_id, place, list_prepend(1, {_ids('prefix')}) tokens, list_append({_ids('target')}, 13) suffix FROM parsed WHERE target IS NOT NULL)"""
 
 SQL = {
+    "given_probe": """SELECT vec_id example_id, layer, feature, round(list_sum(list_transform(range(1, 65-32*layer), lambda d:
+  CAST(embedding[d+32*layer] AS DOUBLE)*((d*(feature+2)%7-3)/8.0))),6) logit, CAST(label%6=feature AS INTEGER) target
+ FROM embeddings, (SELECT CAST(unnest([0,1]) AS INTEGER) layer), (SELECT CAST(unnest(range(6)) AS INTEGER) feature)""",
     "label_batches": "WITH " + ", ".join([_BYTES, _LABELLED, _PAD])
     + f"""SELECT batch_id, place, padded, array_to_string(list_transform({list(FEATURE_NAMES)}, lambda f: CAST(list_contains(names, f) AS INTEGER)),'') target
  FROM padded JOIN parsed USING (batch_id, place)""",

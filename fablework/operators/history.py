@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import computed_once
+from ..functions import computed_once, uniform
 from .ordinals import id_bucket, ordinal, running_min, with_halo
 
 KEY = "run_id"
@@ -191,6 +192,39 @@ def mean_curve(history: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     return history.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
+# The distribution function of the Poisson distribution with mean 1 at 0, 1, 2, …
+POISSON = (
+    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+    0.9994058151824183, 0.9999167588507119, 0.9999898032318966, 0.9999988747797947, 0.9999998880384222,
+)
+
+
+def mean_bands(
+    history: DataFrame, keys: Sequence[str], value: str, row_keys: Sequence[str], replicates: int = 200,
+    low: float = 0.025, high: float = 0.975, seed: int = 0,
+) -> DataFrame:
+    """``(keys, mean, low, high, n)``: the mean of each plotted point with a bootstrap band.
+
+    In each replicate a row counts as often as a Poisson number says, drawn by hash from the row's own
+    ``row_keys`` and the replicate. So rows are drawn where they are, the sums of all replicates are
+    one aggregation that shrinks before it is shuffled, and a group may be of any size. The band lies between
+    two percentiles of the replicates' means. Null values are left out; a point without values has no row.
+    """
+    rows = history.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.struct(*row_keys).alias("_row"))
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b"))
+    u = uniform(seed, "band", *[F.col("_row")[k] for k in row_keys], F.col("_b"))
+    times = F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda n, c: n + (F.col("_u") >= c).cast("int"))
+    sums = (
+        drawn.withColumn("_u", u).withColumn("_w", times)
+        .groupBy(*keys, "_b").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n"))
+    )
+    means = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
+    bands = sums.groupBy(*keys).agg(F.percentile(means, low).alias("low"), F.percentile(means, high).alias("high"))
+    whole = rows.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"))
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return whole.alias("w").join(bands.alias("b"), reduce(lambda a, c: a & c, same)).select(*[f"w.{k}" for k in keys], "mean", "low", "high", "n")
+
+
 def unpivot_probes(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Probe columns ``…/probe_3`` as rows ``(probe_index, probe_accuracy)``."""
     long = df.unpivot(list(ids), list(columns), "_name", "probe_accuracy")

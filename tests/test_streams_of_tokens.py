@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from fablework.operators import blocks, merging, tokens
 from fablework.plans import corpus_build
 from fablework.sources import writers
+from fablework.streaming import blocks as stream_blocks
+from fablework.streaming import shards as stream_shards
 
 
 def make_stream(spark, seed=0, hot=True):
@@ -224,3 +226,25 @@ def test_batches_of_decoded_blocks(spark):
     assert labels[2][0][0].endswith("�\n b\n\n Two") and labels[4][0][0].endswith("�\n b\n")
     prompts = {r["place"]: (r["prefix"], r["target"]) for r in corpus_build.prefix_batches(df, vocab, []).collect()}
     assert prompts[4] == ("Features: \nStory: ", "b\n") and set(prompts) == {0, 1, 2, 4, 5}
+
+
+def test_blocks_of_a_stream_equal_those_of_the_whole(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(s, i, [1] + [rng.randrange(2, 99) for _ in range(rng.randrange(0, 25))]) for s, n in (("a", 60), ("b", 25), ("c", 1)) for i in range(n)]
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    schema = "shard_key string, story_id bigint, tokens array<int>"
+    for low, high in ((0, 3), (3, 4), (4, 30), (30, 60)):
+        part = [r for r in rows if low <= r[1] < high]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = stream_shards.stream_tables(spark, source, schema, 1)
+        stream_shards.append_rows(stream_blocks.stream_blocks(stream, 8), str(tmp_path / "out"), state).awaitTermination()
+        so_far = spark.createDataFrame([r for r in rows if r[1] < high], schema)
+        want = sorted((r["shard_key"], r["block"], r["chunk"]) for r in blocks.fixed_blocks(blocks.token_offsets(so_far), 8).collect())
+        got = spark.read.schema(stream_blocks.BLOCKS).parquet(str(tmp_path / "out")).collect()
+        assert sorted((r["shard_key"], r["block"], r["chunk"]) for r in got) == want
+    assert len(want) > 50
+    spark.createDataFrame([("a", 2, [1])], schema).write.mode("append").parquet(source)
+    late = stream_shards.append_rows(stream_blocks.stream_blocks(stream_shards.stream_tables(spark, source, schema, 1), 8), str(tmp_path / "out"), state)
+    with pytest.raises(Exception, match="came after later ones"):
+        late.awaitTermination()

@@ -192,6 +192,32 @@ def test_probes_beat_the_majority(spark):
     assert set(rates) == {0, 1} and min(rates.values()) > 0.95
 
 
+def test_probes_reach_the_optimum(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4)) * [1, 5, 0.2, 1]
+    y = (x @ rng.normal(size=(4, 2)) + rng.normal(size=(300, 2)) > 0).astype(int)
+    rows = [(i % 2, x[i].tolist(), y[i].tolist()) for i in range(300)] + [(0, None, [1, 0]), (5, [1.0] * 4, [0, 1])]
+    found = fit_probes(spark.createDataFrame(rows, "layer int, vector array<double>, target array<int>"), [0, 1], features=2, reg=0.05)
+    assert set(found) == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    for (layer, f), w in found.items():
+        a, b = x[layer::2], y[layer::2, f]
+        slope = a.T @ (1 / (1 + np.exp(-a @ np.array(w))) - b) / len(a) + 0.05 * np.array(w)
+        assert np.abs(slope).max() < 1e-5
+
+
+def test_bands_of_means(spark):
+    rng = random.Random(7)
+    rows = [(k, i, rng.gauss(n, 1.0)) for n, k in enumerate(["a", None]) for i in range(400)] + [("a", 900, None), ("c", 1, 3.0), ("d", 1, None)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    got = {r["k"]: r for r in hist.mean_bands(df, ["k"], "v", ["i"], replicates=300).collect()}
+    assert set(got) == {"a", None, "c"} and (got["c"]["low"], got["c"]["high"], got["c"]["n"]) == (3.0, 3.0, 1)
+    for k, n in (("a", 0), (None, 1)):
+        r = got[k]
+        assert r["n"] == 400 and r["low"] < r["mean"] < r["high"] and abs(r["high"] - r["low"] - 2 * 1.96 / 20) < 0.04
+    again = {r["k"]: r["low"] for r in hist.mean_bands(df.repartition(7), ["k"], "v", ["i"], replicates=300).collect()}
+    assert all(abs(again[k] - got[k]["low"]) < 1e-9 for k in got)
+
+
 def test_a_later_run_replaces_the_whole_row_of_a_table(spark):
     rows = [(1, 0.0, 0.1), (1, 30.0, 0.3), (2, 0.0, 0.2), (2, 30.0, None), (2, 30.0, float("nan"))]
     history = spark.createDataFrame(rows, "run_id int, iter_num_gen double, s double")
