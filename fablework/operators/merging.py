@@ -250,12 +250,13 @@ class _Index:
 
 
 def learn(
-    counts: DataFrame, merges: int, steps: int = 64, most: int = 50_000, store_every: int = 1024, part_words: int = 20_000
+    counts: DataFrame, merges: int, steps: int = 64, most_steps: int = 512, most: int = 50_000, store_every: int = 1024, part_words: int = 20_000
 ) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """The first ``merges`` merges of the distinct words ``(w, c)`` and the words ``(w, c, pieces)`` after them.
 
     A merge is ``(left, right, count)``: the pair with the highest count, ties by text, at its turn.
-    Learning ends early when no pair is left. A job plays up to ``steps`` merges; the driver holds the
+    Learning ends early when no pair is left. A job plays ``steps`` merges, twice as many after a plan that
+    held, up to ``most_steps``, and fewer after one that mostly didn't; the driver holds the
     ``most`` best pairs and what the merges made of them, and counts all pairs anew when a pair outside
     could be the best. Words are written to the shared folder every ``store_every`` merges; tasks repeat
     the merges since then, so a lost executor costs its tasks only. Null and empty words take no part.
@@ -304,7 +305,7 @@ def learn(
             likely[i]: dict(zip(codes[first[len(ask) - 1 - i] : first[len(ask) - i]], sums[first[len(ask) - 1 - i] : first[len(ask) - i]]))
             for i in range(len(ask))
         }
-        valid = True
+        valid, held = True, len(found)
         for i, (left, right, made) in enumerate(plan):
             at = slice(first[len(ask) + i], first[len(ask) + i + 1])
             best = index.best() if valid else None
@@ -319,6 +320,8 @@ def learn(
             done.append((left, right, made))
             index.change(codes[at], sums[at], oldest)
         shared.unpersist()
+        held = len(found) - held
+        steps = min(2 * steps, most_steps) if held == len(plan) else max(steps // 2, 16) if 4 * held < len(plan) else steps
         known = FIRST_MERGED + len(ids)  # pieces of dropped steps don't exist
         near = {
             code: {side: n for side, n in sides.items() if side >> 1 < known}
