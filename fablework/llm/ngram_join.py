@@ -95,6 +95,12 @@ def ngram_join(
     class. A null id is in its class but names no group (null if all ids of it are null).
     Repeated rows give a row each. An empty table gives no rows. Other columns are not read.
     """
+    members, links, _ = _join(docs, words, percent, id_col, text_col)
+    return members, links
+
+
+def _join(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``members`` and ``links`` of ``ngram_join``, and the classes ``(id, n, tokens)`` that may have links."""
     fragments = fragment_count(docs, text_col, 1.0)
     sets = stored(
         shared_features(docs, id_col, text_col, _features(words), _candidates_of(percent), _SET, fragments), "ngram-sets"
@@ -122,23 +128,63 @@ def ngram_join(
     few = _overlaps(crossed.filter(~F.col("large")).drop("large"), segments, percent)
     bundles = components(crossed.filter("large").select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("bundle"))
     many = _block_links(shared, bundles, groups, percent)
-    return members, stored(links.union(few).union(many), "ngram-links")
+    return members, stored(links.union(few).union(many), "ngram-links"), shared
 
 
-def similar_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(
+    docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True
+) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id, n_links``: each document with its group.
 
-    ``component_id`` is the smallest id that links reach. ``n_links`` counts the links between
-    classes that were needed at its class. See ``ngram_join`` for empty and null values.
+    ``component_id`` is the smallest id that links reach. ``n_links`` counts the other classes that the document's
+    class links with, all of them (null without ``count_links``): links never leave a group, so every group is
+    compared in itself, in blocks of ``BLOCK_CLASSES``, and only counts leave a block. See ``ngram_join`` for empty
+    and null values.
     """
-    members, links = ngram_join(docs, words, percent, id_col, text_col)
-    groups = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    by_class = groups.join(degree, F.col("node") == F.col("a"), "left").select("node", "component", "n_links")
+    members, links, classes = _join(docs, words, percent, id_col, text_col)
+    groups = stored(components(links), "ngram-groups")
+    if count_links:
+        counts = _link_counts(classes, groups, percent)
+    else:
+        counts = groups.select(F.col("node").alias("id"), F.lit(None).cast("bigint").alias("n_links"))
+    by_class = groups.join(counts, F.col("node") == F.col("id"), "left").select("node", "component", "n_links")
     return members.join(by_class, F.col("class_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id",
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        (F.coalesce("n_links", F.lit(0).cast("bigint")) if count_links else F.col("n_links")).alias("n_links"),
+    )
+
+
+def _link_counts(classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """``id, n_links`` of the classes of all groups (``node, component``).
+
+    Small groups share a bundle, since classes of different groups have no links.
+    """
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    total = groups.count()
+    bundle = F.when(F.col("size") > BLOCK_CLASSES // 8, F.col("component")).otherwise(
+        -1 - F.pmod(F.xxhash64("component"), F.lit(max(1, -(-total // (BLOCK_CLASSES // 2)))))
     )
+    bundles = groups.join(sizes, "component").select(F.col("node").alias("id"), (2 * bundle).alias("bundle"))
+    blocks = bundles.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_CLASSES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    member = classes.join(bundles, "id").join(blocks, "bundle").select("bundle", "id", "n", "tokens", own.alias("own"), "blocks")
+    met = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "bundle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "n", "own", "tokens"
+    )
+
+    def counted(rows: pa.Table) -> pa.Table:
+        id_, n, own, low, high = (np.asarray(rows[c], np.int64) for c in ("id", "n", "own", "low", "high"))
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        common = _common_counts(rows, left, right)
+        linked = (100 + percent) * common >= percent * (n[left][:, None] + n[right][None, :])
+        linked &= id_[left][:, None] != id_[right][None, :]
+        found = linked.sum(axis=1)
+        ids = id_[left]
+        if len(left) and low[0] != high[0]:
+            ids, found = np.append(ids, id_[right]), np.append(found, linked.sum(axis=0))
+        return pa.table({"id": pa.array(ids, pa.int64()), "n_links": pa.array(found, pa.int64())})
+
+    return met.groupBy("bundle", "low", "high").applyInArrow(counted, "id bigint, n_links bigint").groupBy("id").agg(F.sum("n_links").alias("n_links"))
 
 
 def _cut(classes: DataFrame, bits: int) -> DataFrame:

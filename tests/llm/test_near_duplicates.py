@@ -235,3 +235,24 @@ def test_passages_with_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, repeat_spans string")
     left = without_repeats(df, repeated_passages(df)).collect()
     assert {r["repeat_spans"] for r in left} == {"kept"} and sorted(len(r["text"].split()) for r in left) == [30, 30, 90]
+
+
+@pytest.mark.parametrize("block", [None, 4])
+def test_every_link_is_counted(spark, corpus, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
+    rng = random.Random(13)
+    base = words(rng, 120)
+    variants = []
+    for i in range(14):  # all similar to one another, or nearly so
+        w = list(base)
+        for _ in range(i % 4):
+            w[rng.randrange(120)] = f"edit{rng.randrange(10**6)}"
+        variants.append((1000 + i, " ".join(w)))
+    rows = [*corpus, *variants]
+    got = {r["doc_id"]: r["n_links"] for r in similar_groups(frame(spark, rows)).collect()}
+    sets = {i: frozenset(shingles(t)) for i, t in rows if i is not None}
+    different = set(sets.values())
+    for i, own in sets.items():
+        want = sum(1 for o in different if own and o and o != own and 100 * len(own & o) >= 75 * len(own | o))
+        assert got[i] == want, i
