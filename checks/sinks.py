@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fablework.functions import uniform
 from fablework.operators import scoring, tokens
 from fablework.operators.history import KEY
 from fablework.operators.render import render
@@ -152,6 +153,30 @@ def stream_late_rows(spark, folder):
     return _streamed(spark, folder).agg(F.count_if("late").alias("late"), F.count(F.lit(1)).alias("n"))
 
 
+def _shuffled(spark, folder):
+    """The stream over files that bring rows up to 150 iterations late, with a last row that closes each run."""
+    source, target, state = (fresh_path(spark, n) for n in ("arriving", "averages", "state"))
+    rows = history(spark, folder).select(KEY, "iter", "loss_test")
+    comes = F.col("iter") + F.floor(uniform(5, "late", F.col(KEY), F.col("iter")) * 150)
+    for low, high in ((0, 200), (200, 350), (350, 600), (600, None)):
+        part = rows.filter((comes >= low) if high is None else (comes >= low) & (comes < high))
+        part.repartition(2, "iter").write.mode("append").parquet(source)
+    ends = rows.select(KEY, F.lit(None).cast("bigint").alias("iter"), F.lit(None).cast("double").alias("loss_test")).distinct()
+    ends.coalesce(1).write.mode("append").parquet(source)
+    arriving = stream_shards_mod.stream_tables(spark, source, rows.schema, 2)
+    stream_shards_mod.append_rows(stream_metrics.running_metrics(arriving, "loss_test", slack=300), target, state).awaitTermination()
+    return spark.read.schema(stream_metrics.OUTPUT).parquet(target)
+
+
+def stream_shuffled_ema(spark, folder):
+    rows = _shuffled(spark, folder).filter(~F.col("late") & F.col("ema").isNotNull())
+    return rows.select("run_id", "iter", F.round(F.col("ema") + 1e-9, 6).alias("ema"))
+
+
+def stream_shuffled_best(spark, folder):
+    return _shuffled(spark, folder).select("run_id", "iter", F.round("best_before", 6).alias("best_before"), "improved")
+
+
 def stream_metric_log(spark, folder):
     target, state = fresh_path(spark, "log"), fresh_path(spark, "state")
     rows = _arriving_history(spark, folder).select(
@@ -165,7 +190,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_export, token_dataset, labelled_cache, chat_lines, score_cache_append, summary_csv, version_tables, vocab_file,
-        stream_shards, stream_token_blocks, stream_dedup_scores, stream_ema, stream_running_best, stream_late_rows, stream_metric_log,
+        stream_shards, stream_token_blocks, stream_dedup_scores, stream_ema, stream_running_best, stream_late_rows, stream_shuffled_ema, stream_shuffled_best,
+        stream_metric_log,
     )
 }
 
@@ -196,6 +222,8 @@ SQL = {
     "stream_dedup_scores": sql.with_views(scoring_checks._PROMPTS) + f"SELECT DISTINCT cache_id, {_RULE} FROM prompts",
     "stream_ema": RUN_SQL["ema"],
     "stream_running_best": RUN_SQL["running_best"],
+    "stream_shuffled_ema": RUN_SQL["ema"],
+    "stream_shuffled_best": RUN_SQL["running_best"],
     "stream_late_rows": sql.with_views(sql.HISTORY)
     + "SELECT CAST(0 AS BIGINT) late, CAST(count(*) AS BIGINT) n FROM history WHERE loss_test IS NOT NULL",
     "stream_metric_log": sql.with_views(sql.HISTORY)

@@ -238,6 +238,28 @@ def test_late_metric_rows_are_flagged_and_repaired(spark, tmp_path):
     assert got == {(r["run_id"], r["iter"]): round(r["ema"], 9) for r in want.collect()}
 
 
+def test_rows_wait_for_those_that_come_late(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(run, i * 10, float(rng.randrange(90))) for run in (1, 2, 3) for i in range(40)]
+    history = spark.createDataFrame(rows, "run_id bigint, iter bigint, loss_test double")
+    order = sorted(rows, key=lambda r: r[1] + rng.random() * 100)
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    parts = [order[i : i + 30] for i in range(0, len(order), 30)] + [[(1, None, None), (2, None, None)], [(2, 5, 1.0)]]
+    for part in parts:
+        spark.createDataFrame(part, history.schema).coalesce(1).write.mode("append").parquet(source)
+        stream = stream_shards.stream_tables(spark, source, history.schema, 1)
+        stream_shards.append_rows(stream_metrics.running_metrics(stream, "loss_test", slack=100), target, state).awaitTermination()
+    results = spark.read.schema(stream_metrics.OUTPUT).parquet(target)
+    assert [(r["run_id"], r["iter"]) for r in results.filter("late").collect()] == [(2, 5)]
+    got = {(r["run_id"], r["iter"]): r for r in results.filter("not late").collect()}
+    assert {k for k in got if k[0] < 3} == {(run, it) for run, it, _ in rows if run < 3}
+    assert {it for run, it in got if run == 3} == {it for it in range(0, 400, 10) if it <= 290}  # the newest still wait
+    want = {(r["run_id"], r["iter"]): round(r["ema"], 9) for r in hist.moving_average(history, "loss_test").collect()}
+    assert all(round(got[k]["ema"], 9) == v for k, v in want.items() if k in got)
+    best = {(r["run_id"], r["iter"]): (r["best_before"], r["improved"]) for r in hist.running_best(history, "loss_test").collect()}
+    assert all((r["best_before"], r["improved"]) == best[k] for k, r in got.items())
+
+
 def test_cache_table_append(spark, tmp_path):
     path = str(tmp_path / "c")
     row = spark.createDataFrame([("k", 1.0, "yes")], "cache_id string, score double, content string")
