@@ -30,8 +30,24 @@ def _models(spark, folder):
     return typed.select("model", "deletion_type", "deletion_lr")
 
 
+def _typed_runs(table, tags):
+    """Finished runs with all ``tags`` at the wanted rates, with their types."""
+    return (
+        table.transform(runs.finished_runs)
+        .transform(runs.without_rates, "learning_rate")
+        .transform(predicates.with_all_tags, tags)
+        .transform(runs.with_training_type, TYPES)
+    )
+
+
 def _studied(spark, folder):
-    return runs.select_runs(run_table(spark, folder), TYPES, ["exp2"], True, _models(spark, folder))
+    return (
+        _typed_runs(run_table(spark, folder), ["exp2"])
+        .transform(runs.with_deletion_info, _models(spark, folder))
+        .transform(runs.without_rates, "deletion_lr")
+        .transform(runs.of_types, "training_type")
+        .transform(runs.of_types, "deletion_type")
+    )
 
 
 def runs_view(spark, folder):
@@ -49,7 +65,7 @@ def runs_read(spark, folder):
 
 
 def runs_filtered(spark, folder):
-    kept = runs.select_runs(run_table(spark, folder), TYPES, ["exp2", "deletion"], True)
+    kept = _typed_runs(run_table(spark, folder), ["exp2", "deletion"]).transform(runs.of_types, "training_type")
     return kept.select("run_id", "state", "learning_rate", "training_type")
 
 
