@@ -54,7 +54,7 @@ def few_shots(spark, folder):
 
 def few_shot_prompts(spark, folder):
     shots = scoring.join_shots(_shots(spark, folder), ASK, seed=2)
-    rest = splits.minus(_docs(spark, folder), _shots(spark, folder), "story_id")
+    rest = splits.minus(_docs(spark, folder), F.broadcast(_shots(spark, folder).select("story_id")), "story_id")  # four rows
     return rest.select("story_id", scoring.few_shot_prompt(F.col("story"), ASK, shots).alias("prompt"))
 
 

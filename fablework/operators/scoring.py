@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from string import Formatter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,9 @@ class Templates:
 
 DEFAULT = Templates()
 
+#: Prompts of a call where the caller names no number.
+CALL_ROWS = 1_000
+
 SCORED_SCHEMA = "cache_id string, content string, error string, attempts int"
 
 Scorer = Callable[[pd.Series], pd.Series]
@@ -160,22 +164,26 @@ def score_prompts(
 
     ``scorer`` maps a series of prompts to a series of answers, null for none. A prompt that keeps
     failing comes back with its error and without content; the others are not touched by it.
-    ``parallel`` limits how many tasks call the scorer at once, ``batch_rows`` the prompts of a call.
+    ``parallel`` limits how many tasks call the scorer at once, ``batch_rows`` the prompts of a call
+    (``CALL_ROWS`` if not given, as pandas holds the texts of a call several times over).
     """
     spread = prompts.select("cache_id", "prompt")
     spread = spread.repartition(parallel) if parallel else spread
     tasks = parallel or spread.sparkSession.sparkContext.defaultParallelism
     share = None if retry.total is None else max(retry.total // tasks, 0)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asker = _Asker(scorer, retry, share)
-        for frame in frames:
-            for first in range(0, len(frame), batch_rows or max(len(frame), 1)):
-                part = frame.iloc[first : first + (batch_rows or len(frame))]
-                content, error, attempts = zip(*asker.ask(part["prompt"]))
-                yield pd.DataFrame({"cache_id": part["cache_id"].to_numpy(), "content": content, "error": error, "attempts": attempts})
+    rows = batch_rows or CALL_ROWS
 
-    return spread.mapInPandas(run, SCORED_SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asker = _Asker(scorer, retry, share)
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                content, error, attempts = zip(*asker.ask(part["prompt"].to_pandas()))
+                answers = [pa.array(content, pa.string()), pa.array(error, pa.string()), pa.array(attempts, pa.int32())]
+                yield pa.RecordBatch.from_arrays([part["cache_id"], *answers], names=["cache_id", "content", "error", "attempts"])
+
+    return spread.mapInArrow(run, SCORED_SCHEMA)
 
 
 def rule_scorer(question: str, sign: str = "!") -> Scorer:

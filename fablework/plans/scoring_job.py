@@ -13,6 +13,12 @@ from ..session import fresh_path
 from ..sources.writers import read_failures, read_scores, write_new_scores
 
 
+#: A run has at most so many slices, so that a large table costs no job for each few rows.
+MOST_SLICES = 64
+#: Prompts of a file of a slice.
+FILE_ROWS = 5_000
+
+
 def first_of_version(generations: DataFrame, subset: int | None) -> DataFrame:
     """The first ``subset`` rows of each table version; rows are numbered from 0 there."""
     return generations if subset is None else generations.filter(F.col("row_idx") < subset)
@@ -47,7 +53,7 @@ def fill_cache(
     """Ask the scorer for every prompt ``(cache_id, prompt)`` that the cache table lacks.
 
     The missing prompts are written to the shared folder and worked off in slices of about
-    ``slice_rows``. The answers of a slice, and the errors of prompts that keep failing, are committed
+    ``slice_rows``, or larger ones where these would be more than ``MOST_SLICES``. The answers of a slice, and the errors of prompts that keep failing, are committed
     together before the next slice begins, so a run that dies loses the slice it was at, and the next
     run asks what is still missing. ``retry`` is dealt over the slices and their tasks. More than
     ``most_failed`` failing prompts end the run after their slice. Null prompts are not asked.
@@ -58,11 +64,13 @@ def fill_cache(
     scoring.missing(prompts, known).filter(F.col("prompt").isNotNull()).write.parquet(path)
     todo = spark.read.parquet(path)
     total = todo.count()
-    slices = max(1, -(-total // slice_rows))
+    slices = max(1, min(-(-total // slice_rows), MOST_SLICES))
     if slices > 1:
         path = fresh_path(spark, "slices")
         sliced = todo.withColumn("slice", F.pmod(F.xxhash64("cache_id"), F.lit(slices)).cast("int"))
-        sliced.repartition("slice").write.partitionBy("slice").parquet(path)
+        files = -(-total // (slices * FILE_ROWS))  # of a slice, which no single task has to write or read
+        part = F.pmod(F.xxhash64("cache_id", F.lit(1)), F.lit(files))
+        sliced.repartition("slice", part).write.partitionBy("slice").parquet(path)
         todo = spark.read.schema("cache_id string, prompt string, slice int").parquet(path)
     dealt = retry if retry.total is None else replace(retry, total=retry.total // slices)
     failed = 0
@@ -131,7 +139,7 @@ def classifier_report(
     if shots is None and shots_per_class:
         chosen = splits.class_slice(labelled, shots_per_class)
         shots = scoring.join_shots(chosen, question, seed, templates)
-        rest = splits.minus(labelled, chosen, "story_id")
+        rest = splits.minus(labelled, F.broadcast(chosen.select("story_id")), "story_id")  # a few rows
     story = F.col("story")
     prompt = (
         scoring.zero_shot_prompt(story, question, templates) if shots is None
