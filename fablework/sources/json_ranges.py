@@ -20,7 +20,9 @@ from .token_files import open_file
 #: What a byte may begin in: outside of strings, inside one, inside one behind a backslash.
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
 SPLIT_BYTES = 32 << 20
-_MORE = 1 << 20  # bytes read at a time beyond a range's end
+TASK_BYTES = 32 << 20  # of short ranges that a task reads one after the other
+_MORE = 1 << 20  # bytes read at a time beyond a long range's end
+_LEAST_MORE = 1 << 14  # and beyond a short one's
 
 _OPEN, _CLOSE, _QUOTE, _BACKSLASH, _BRACE = (np.frombuffer(b, np.uint8) for b in (b"{[", b"}]", b'"', b"\\", b"{"))
 
@@ -90,7 +92,8 @@ def _compose(rows: pa.Table) -> pa.Table:
 def _objects(path: str, first: int, past: int, state: int, depth: int) -> Iterator[str]:
     """The objects of the array that begin in a range; what stands between them must be one comma."""
     with open_file(path) as file:
-        data, size = file.read_at(past - first, first), file.size()
+        size, more = file.size(), min(_MORE, max(_LEAST_MORE, past - first >> 3))
+        data = file.read_at(min(past - first + more, size - first), first)
         while True:
             array = np.frombuffer(data, np.uint8)
             places, steps, _ = structure(array, state)
@@ -103,7 +106,8 @@ def _objects(path: str, first: int, past: int, state: int, depth: int) -> Iterat
             # the last own object is followed by its end, a gap, and then a bracket or the end of the file
             if not len(own) or len(closed) and (places > closed[0]).any() or first + len(data) >= size:
                 break
-            data += file.read_at(min(_MORE, size - first - len(data)), first + len(data))
+            data += file.read_at(min(more, size - first - len(data)), first + len(data))
+            more *= 2
     for i, begin in enumerate(own):
         end = ends[np.searchsorted(ends, begin)]
         follows = begins[i + 1] if i + 1 < len(begins) else None
@@ -144,13 +148,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def array_elements(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``(path, place, text, error)``: the objects of the JSON arrays in ``files`` (``path, length``).
 
-    ``place`` counts the objects of a file from 0. A task holds ``split_bytes`` and the object at their end. A file
+    ``place`` counts the objects of a file from 0. A task holds ``split_bytes`` and the object at their end at a time,
+    and reads about ``TASK_BYTES`` in all, or one range if that is longer. A file
     that is no array of objects has a row with ``error``, and maybe rows of its readable part.
     """
     ranges = files.filter(F.col("length") > 0).select(
         "path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(split_bytes).cast("bigint"))).alias("first")
     ).select("path", "first", F.least(F.col("first") + split_bytes, "length").alias("past"))
-    tasks = max(1, min(ranges.count(), 50_000))
+    # short ranges share a task: the bytes of the files decide how many tasks there are, not the number of ranges
+    size = ranges.agg(F.count(F.lit(1)).alias("ranges"), F.coalesce(F.sum(F.col("past") - F.col("first")), F.lit(0)).alias("bytes")).first()
+    least = 4 * files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(size["ranges"], max(least, -(-size["bytes"] // TASK_BYTES)), 50_000))
     scanned = ranges.repartition(tasks).mapInArrow(_scan, _SCANNED)
     starts = scanned.groupBy("path").applyInArrow(_compose, _STARTS)
     return starts.repartition(tasks).mapInArrow(_cut, _CUT)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.blocks import token_offsets
@@ -20,13 +20,15 @@ def write_text(df: DataFrame, path: str, column: str = "text") -> None:
 def write_story_shards(stories: DataFrame, path: str) -> None:
     """One JSON array a shard, in a file below ``shard=<key>``, stories in the order of their ids.
 
-    An array can't be cut, so a shard is a row here and a file there: keep shards small.
+    A story is a line of its file. One task writes a shard, story after story: it holds no shard, but a large one takes long.
     """
-    names = ("story", "summary", "sentence")
-    row = F.struct("story_id", *names, F.struct("words", "features").alias("instruction"))
-    ordered = F.transform(F.sort_array(F.collect_list(row)), lambda s: F.struct(*[s[n].alias(n) for n in (*names, "instruction")]))
-    arrays = stories.groupBy(F.col("shard_key").alias("shard")).agg(F.to_json(ordered).alias("value"))
-    arrays.write.mode("overwrite").partitionBy("shard").text(path)
+    row = F.struct("story", "summary", "sentence", F.struct("words", "features").alias("instruction"))
+    shard = Window.partitionBy("shard")
+    lines = stories.select(F.col("shard_key").alias("shard"), "story_id", F.to_json(row).alias("value"))
+    lines = lines.withColumn("_place", F.row_number().over(shard.orderBy("story_id", "value"))).withColumn("_n", F.count(F.lit(1)).over(shard))
+    begin = F.when(F.col("_place") == 1, F.lit("[")).otherwise(F.lit(","))
+    end = F.when(F.col("_place") == F.col("_n"), F.lit("]")).otherwise(F.lit(""))
+    lines.select("shard", F.concat(begin, "value", end).alias("value")).write.mode("overwrite").partitionBy("shard").text(path)
 
 
 def in_id_range(tokens: Column) -> Column:
