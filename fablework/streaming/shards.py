@@ -9,17 +9,30 @@ from ..plans.recipes import Recipe, build_text
 from ..sources.readers import raw_shards, shape_stories, shard_options
 
 
+#: The files that are present when a stream is built take about so many triggers, and no more.
+MOST_TRIGGERS = 32
+
+
+def _trigger_files(spark: SparkSession, folder: str, files_per_trigger: int) -> int:
+    """``files_per_trigger``, or more where the present files would take more than ``MOST_TRIGGERS``.
+
+    A trigger costs its logs, plans and state commits however few rows it has. Their number must not grow with the table.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    present = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getFileCount()
+    return max(files_per_trigger, -(-present // MOST_TRIGGERS))
+
+
 def stream_tables(spark: SparkSession, folder: str, schema: StructType | str, files_per_trigger: int = 64) -> DataFrame:
-    """Parquet files of a folder as they arrive."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    )
+    """Parquet files of a folder as they arrive, oldest first, ``files_per_trigger`` (or a share of a large folder) at a time."""
+    files = _trigger_files(spark, folder, files_per_trigger)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def stream_story_shards(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
     """Parsed rows of JSON-array shards as they arrive; ``write_texts`` makes stories of them."""
-    reader = shard_options(spark.readStream).option("maxFilesPerTrigger", files_per_trigger)
-    return raw_shards(reader.json(folder))
+    files = _trigger_files(spark, folder, files_per_trigger)
+    return raw_shards(shard_options(spark.readStream).option("maxFilesPerTrigger", files).json(folder))
 
 
 def write_texts(stream: DataFrame, recipe: str | Recipe, path: str, checkpoint: str, seed: int = 0):
@@ -30,7 +43,7 @@ def write_texts(stream: DataFrame, recipe: str | Recipe, path: str, checkpoint:
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        # a trigger has at most ``files_per_trigger`` shards
+        # the shards of a trigger are a share of the driver's listing
         found = shape_stories(batch, shards=0) if "_corrupt_record" in batch.columns else batch
         build_text(found, recipe, seed).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
