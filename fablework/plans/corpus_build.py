@@ -52,11 +52,8 @@ def learn_vocabulary(texts: DataFrame, size: int):
 
 
 def bpe_tokens(texts: DataFrame, vocab: DataFrame, merges, keys: tuple[str, ...] = ("shard_key", "story_id")) -> DataFrame:
-    """Texts as BPE ids. Texts are cut and distinct words encoded once, and written to the shared folder."""
-    cut = tokens.cut_texts(texts, keys=keys)
-    counts = cut_lineage(tokens.word_counts(cut))
-    ids = cut_lineage(tokens.word_ids(tokens.merge_words(counts, merges), vocab))
-    return tokens.encode_cut(cut, ids, counts, keys)
+    """Texts as BPE ids, encoded where they are."""
+    return tokens.encode_rows(texts, vocab, merges, keys=keys)
 
 
 def build_dataset(
