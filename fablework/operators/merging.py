@@ -24,6 +24,7 @@ from ..session import fresh_path
 
 # A piece is a number: a character its code point, a merged piece a number above all of them.
 FIRST_MERGED = 0x110000
+GONE = -1  # stands where a joined piece was
 BITS = 21  # of a piece; a pair is ``left << BITS | right``
 
 STATE_SCHEMA = "w string, c bigint, pieces array<int>"
@@ -37,29 +38,55 @@ def pair_code(left: int, right: int) -> int:
 
 
 class Part:
-    """Words of a part as one array of pieces, with the word and the weight of each piece."""
+    """Words of a part as one array of pieces, each linked to the ones beside it in its word.
+
+    An index of the pairs' places, which grows with the pairs that merges make, keeps a merge's work in proportion to
+    the places it has, whatever the size of the part. A joined piece leaves ``GONE`` at its place.
+    """
 
     def __init__(self, pieces: np.ndarray, lengths: np.ndarray, counts: np.ndarray):
         self.pieces = pieces.astype(np.int64)
         self.word = np.repeat(np.arange(len(lengths)), lengths)
         self.counts = counts
+        self.end = len(self.pieces)
+        at = np.arange(self.end)
+        same = self.word[1:] == self.word[:-1]
+        self.after = np.where(np.append(same, False)[: self.end], at + 1, self.end)
+        self.before = np.where(np.append(False, same)[: self.end], at - 1, -1)
+        self.index: tuple[np.ndarray, np.ndarray] | None = None
+        self.made: dict[int, list[np.ndarray]] = {}  # places of pairs that came after the index
 
     def _codes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that begin at ``at`` and their weights; places where a word ends are left out."""
-        at = at[(at >= 0) & (at < len(self.pieces) - 1)]
-        at = at[self.word[at] == self.word[at + 1]]
-        return self.pieces[at] << BITS | self.pieces[at + 1], self.counts[self.word[at]]
+        """Those of ``at`` where a pair begins, and the pairs; a word's last piece begins none."""
+        at = at[(at >= 0) & (at < self.end)]
+        at = at[(self.pieces[at] != GONE) & (self.after[at] < self.end)]
+        return at, self.pieces[at] << BITS | self.pieces[self.after[at]]
+
+    def _weights(self, at: np.ndarray) -> np.ndarray:
+        return self.counts[self.word[at]]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        return summed(*self._codes(np.arange(len(self.pieces))))
+        at, codes = self._codes(np.arange(self.end))
+        return summed(codes, self._weights(at))
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces that are left, and the word of each."""
+        left = self.pieces != GONE
+        return self.pieces[left], self.word[left]
 
     def places(self, left: int, right: int) -> np.ndarray:
         """Where the pair stands, from the left and without overlap."""
-        p = self.pieces
-        at = np.flatnonzero((p[:-1] == left) & (p[1:] == right))
-        at = at[self.word[at] == self.word[at + 1]]
+        if self.index is None:
+            at, codes = self._codes(np.arange(self.end))
+            order = np.argsort(codes, kind="stable")
+            self.index = codes[order], at[order]
+        code = pair_code(left, right)
+        first, past = np.searchsorted(self.index[0], [code, code + 1])
+        at = np.unique(np.concatenate([self.index[1][first:past], *self.made.get(code, [])]))
+        at = at[(self.pieces[at] == left) & (self.after[at] < self.end)]
+        at = at[self.pieces[self.after[at]] == right]
         if left == right and len(at) > 1:  # of a run of equal pieces every second place counts
-            first = np.append(True, np.diff(at) > 1)
+            first = np.append(True, self.after[at[:-1]] != at[1:])
             begin = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - begin) % 2 == 0]
         return at
@@ -69,25 +96,30 @@ class Part:
         at = self.places(left, right)
         if not len(at):
             return None
-        before = self._codes(np.unique(np.concatenate([at - 1, at, at + 1]))) if compare else None
-        kept = np.ones(len(self.pieces), bool)
-        kept[at + 1] = False
-        self.pieces[at] = made
-        self.pieces, self.word = self.pieces[kept], self.word[kept]
+        second = self.after[at]
+        if compare:
+            old, old_codes = self._codes(np.unique(np.concatenate([self.before[at], at, second])))
+        beyond = self.after[second]
+        self.pieces[at], self.pieces[second] = made, GONE
+        self.after[at] = beyond
+        linked = beyond < self.end
+        self.before[beyond[linked]] = at[linked]
+        new, codes = self._codes(np.unique(np.concatenate([self.before[at], at])))
+        order = np.argsort(codes, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(codes[order]) != 0)) if len(codes) else np.zeros(0, np.int64)
+        for code, stretch in zip(codes[order][heads].tolist(), np.split(new[order], heads[1:])):
+            self.made.setdefault(code, []).append(stretch)
         if not compare:
             return None
-        new = at - np.arange(len(at))  # one piece is gone for each place before
-        after = self._codes(np.unique(np.concatenate([new - 1, new])))
-        return summed(np.concatenate([before[0], after[0]]), np.concatenate([-before[1], after[1]]))
+        return summed(np.concatenate([old_codes, codes]), np.concatenate([-self._weights(old), self._weights(new)]))
 
     def neighbours(self, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
         """Pieces beside a pair, as codes ``piece << 1 | side``, with weights: what merging it would make."""
         at = self.places(left, right)
-        ahead, behind = at[at > 0], at[at + 2 < len(self.pieces)]
-        ahead = ahead[self.word[ahead - 1] == self.word[ahead]]
-        behind = behind[self.word[behind + 2] == self.word[behind]]
-        codes = np.concatenate([self.pieces[ahead - 1] << 1, self.pieces[behind + 2] << 1 | 1])
-        return summed(codes, self.counts[self.word[np.concatenate([ahead, behind])]])
+        ahead, behind = self.before[at], self.after[self.after[at]]
+        begun, follows = ahead >= 0, behind < self.end
+        codes = np.concatenate([self.pieces[ahead[begun]] << 1, self.pieces[behind[follows]] << 1 | 1])
+        return summed(codes, self._weights(np.concatenate([at[begun], at[follows]])))
 
 
 def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,9 +183,9 @@ def _spelled(batches):
 def _merged(shared, batches):
     """Words with their pieces after the merges."""
     for batch in batches:
-        part = _part(iter([batch]), shared.value)
-        ends = np.searchsorted(part.word, np.arange(batch.num_rows + 1))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(part.pieces, pa.int32()))
+        pieces, word = _part(iter([batch]), shared.value).rest()
+        ends = np.searchsorted(word, np.arange(batch.num_rows + 1))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pieces, pa.int32()))
         yield pa.RecordBatch.from_arrays([batch["w"], batch["c"], lists], names=["w", "c", "pieces"])
 
 

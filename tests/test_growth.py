@@ -2,9 +2,12 @@
 
 import json
 
-from fablework.operators import scoring, tokens
+import numpy as np
+
+from fablework.operators import merging, scoring, tokens
 from fablework.plans import corpus_build, scoring_job
 from fablework.sources import json_ranges, readers, writers
+from fablework.streaming import blocks as stream_blocks
 from fablework.streaming import shards as stream_shards
 
 
@@ -90,3 +93,25 @@ def test_byte_pairs_are_encoded_where_the_text_is(spark):
     words = tokens.word_counts(ids)
     joined = tokens.encode_cut(ids, tokens.word_ids(tokens.merge_words(words, merges), vocab), words)
     assert sorted(map(tuple, encoded.collect())) == sorted(map(tuple, joined.collect()))
+
+
+def test_a_merge_looks_at_its_own_places_alone():
+    pieces = np.concatenate([[1, 2], np.full(200_000, 3)])
+    part = merging.Part(pieces, np.array([2, 200_000]), np.array([5, 1]))
+    part.places(9, 9)  # the index is there
+    kept = part.pieces
+    codes, sums = part.merge(1, 2, 7, True)
+    assert part.pieces is kept and len(part.places(7, 9)) == 0  # no array of the part was made anew
+    assert codes.tolist() == [merging.pair_code(1, 2)] and sums.tolist() == [-5] and part.rest()[0][:3].tolist() == [7, 3, 3]
+
+
+def test_a_trigger_of_blocks_comes_in_frames(spark, tmp_path, monkeypatch):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("s", i, list(range(i, i + 50))) for i in range(100)]
+    spark.createDataFrame(rows, "shard_key string, story_id bigint, tokens array<int>").coalesce(1).write.parquet(source)
+    monkeypatch.setattr(stream_blocks, "FRAME_BLOCKS", 3, raising=False)
+    stream = stream_shards.stream_tables(spark, source, "shard_key string, story_id bigint, tokens array<int>", 1)
+    stream_shards.append_rows(stream_blocks.stream_blocks(stream, 10), target, str(tmp_path / "state")).awaitTermination()
+    found = spark.read.schema(stream_blocks.BLOCKS).parquet(target).orderBy("block").collect()
+    flat = [t for _, _, x in rows for t in x]
+    assert [r["chunk"] for r in found] == [flat[i * 10 : i * 10 + 11] for i in range(499)]
