@@ -108,7 +108,8 @@ def stream_token_blocks(spark, folder):
 
 def stream_dedup_scores(spark, folder):
     source, cache, state = (fresh_path(spark, n) for n in ("prompts", "scores", "state"))
-    prompts = _prompts(spark, folder).repartition(4)
+    prompts = _prompts(spark, folder)
+    prompts = prompts.repartition(max(4, prompts.rdd.getNumPartitions()))  # a larger table comes in more files
     prompts.write.parquet(source)
     arriving = stream_shards_mod.stream_tables(spark, source, prompts.schema, 1)
     stream_scores.score_stream(arriving, cache, state, scoring.rule_scorer(ASK), ASK).awaitTermination()
