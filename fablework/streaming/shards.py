@@ -10,7 +10,7 @@ from ..sources.readers import raw_shards, shape_stories, shard_options
 
 
 #: The files that are present when a stream is built take about so many triggers, and no more.
-MOST_TRIGGERS = 32
+MOST_TRIGGERS = 8
 
 
 def _trigger_files(spark: SparkSession, folder: str, files_per_trigger: int) -> int:
