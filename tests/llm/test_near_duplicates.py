@@ -140,6 +140,44 @@ def test_common_passages_bridge_insertions_and_deletions(n, turned):
     assert [(x[2:4] + x[:2]) if turned else x[:4] for x in found] == expected
 
 
+def plain_parts(a, b, place, hits, least, similarity):
+    """The rows of pieces of a chain, each compared on its own."""
+    cuts = [0, *(n for n in range(1, len(hits)) if place[n] - place[n - 1] > 1 or hits[n] - hits[n - 1] > 1), len(hits)]
+    out, reached = [], 0
+    for n, start in enumerate(cuts[:-1]):
+        for e in range(len(cuts) - 1, max(n, reached), -1):
+            i, j, k, m, count = place[start], place[cuts[e] - 1] + 1, hits[start], hits[cuts[e] - 1] + 1, cuts[e] - start
+            if max(j - i, m - k) < least or count < similarity * least or count < 0.9 * similarity * (j - i + m - k - count):
+                continue
+            x, y = set(a[i:j].tolist()), set(b[k:m].tolist())
+            if len(x & y) / len(x | y) >= similarity:
+                out.append((i, j, k, m, len(x & y) / len(x | y)))
+                reached = e
+                break
+    return out
+
+
+@pytest.mark.parametrize("kinds", [3, 60, 10**9])
+def test_rows_of_pieces_equal_plain_comparison(kinds):
+    rng = np.random.default_rng(kinds)
+    for n in range(40):
+        a = rng.integers(0, kinds, 250)
+        kept = rng.random(250) > n / 80
+        b = np.where(kept, a, rng.integers(kinds, 2 * kinds, 250))
+        at = np.flatnonzero(kept)
+        assert passages._similar_parts(a, b, at, at, 46, 0.75) == plain_parts(a, b, at, at, 46, 0.75)
+
+
+def test_many_pieces_are_compared_in_one_pass_from_each(monkeypatch):
+    a = np.arange(6000)
+    b = np.where(a % 10 < 8, a, a + 10**6)  # two of ten differ: 8 / 12 is below the bound, but not by much
+    at, rows = np.flatnonzero(a == b), []
+    unique = np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *args, **kwargs: rows.append(len(x)) or unique(x, *args, **kwargs))
+    assert passages._similar_parts(a, b, at, at, 46, 0.75) == []
+    assert sum(rows) <= len(a) + len(b)
+
+
 def test_repeats_are_found_and_clean_documents_left(spark):
     rng = random.Random(3)
     passage, other = words(rng, 60), words(rng, 80)
