@@ -115,3 +115,27 @@ def test_a_trigger_of_blocks_comes_in_frames(spark, tmp_path, monkeypatch):
     found = spark.read.schema(stream_blocks.BLOCKS).parquet(target).orderBy("block").collect()
     flat = [t for _, _, x in rows for t in x]
     assert [r["chunk"] for r in found] == [flat[i * 10 : i * 10 + 11] for i in range(499)]
+
+
+def test_shard_folders_are_listed_once_and_by_few_tasks(spark, tmp_path, monkeypatch):
+    for n in range(70):
+        folder = tmp_path / f"shard=s-{n:03d}"
+        folder.mkdir()
+        (folder / "part.json").write_text(json.dumps([{"story": f"Story {n}."}]))
+    context, usual = spark.sparkContext, spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    tracker, listed = context.statusTracker(), []
+    files = readers.story_files
+    monkeypatch.setattr(readers, "story_files", lambda *args: listed.append(args) or files(*args))
+    try:
+        context.setJobGroup("list-shards", "shards are listed")
+        found = readers.story_files(spark, str(tmp_path))
+        jobs = tracker.getJobIdsForGroup("list-shards")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    tasks = [tracker.getStageInfo(stage).numTasks for job in jobs for stage in tracker.getJobInfo(job).stageIds]
+    assert found.count() == 70 and tasks and max(tasks) <= 4 * context.defaultParallelism < 70
+    listed.clear()
+    rows = readers.read_until(spark, str(tmp_path), 15).select("shard_key").collect()  # runs of 8, 16 and 32 shards
+    assert sorted(r["shard_key"] for r in rows) == [f"s-{n:03d}" for n in range(31)] and len(listed) == 1
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == usual
