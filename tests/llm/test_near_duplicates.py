@@ -235,6 +235,20 @@ def test_edited_repeats_are_found_behind_many_hubs(spark, monkeypatch, small):
     assert {(r["doc_id"], r["kept_doc_id"]) for r in got if r["doc_id"] >= len(rows) - 2 and r["past_word"] - r["first_word"] >= 60} == pairs
 
 
+def test_places_out_of_reach_are_told_from_open_ones():
+    a, b = np.arange(60), np.concatenate([np.arange(1000, 1030), np.arange(60)])
+    spot = np.where(b < 60, b, -1)
+    count = lambda open_: np.append(0, np.cumsum(np.isin(np.arange(90), open_)))
+    assert common_passages(a, b, 46, 0.75) == [(0, 60, 30, 90, 1.0)]
+    assert passages._may_cover(spot, spot, count([40]), 46, 0.75)
+    assert not passages._may_cover(spot, spot, count([3, 29]), 46, 0.75)
+    shared = spot >= 0
+    shared[2] = True  # a stray hit far before the passage can't be reached, one near it can
+    assert np.flatnonzero(passages.coverable(b, shared, 46, 0.75)).tolist() == list(range(30, 90))
+    shared[25] = True
+    assert passages.coverable(b, shared, 46, 0.75)[25:].all()
+
+
 def test_passages_of_nothing(spark):
     assert repeated_passages(frame(spark, [])).count() == 0
     assert repeated_passages(frame(spark, [(1, None), (None, " ".join(map(str, range(99)))), (2, "")])).count() == 0
