@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import remove, shuffles_removed, stored
 from .components import components
 from .sharing import BITS, Block, Features, fragment_count, shared_features, shingle_hashes, word_hashes
 
@@ -95,54 +95,69 @@ def ngram_join(
     class. A null id is in its class but names no group (null if all ids of it are null).
     Repeated rows give a row each. An empty table gives no rows. Other columns are not read.
     """
-    members, links, _ = _join(docs, words, percent, id_col, text_col)
+    members, links, _ = _join(docs, words, percent, id_col, text_col, [])
     return members, links
 
 
-def _join(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``members`` and ``links`` of ``ngram_join``, and the classes ``(id, n, tokens)`` that may have links."""
+def _join(
+    docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, scratch: list[str]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``members`` and ``links`` of ``ngram_join``, and the classes ``(id, n, tokens)`` that may have links.
+
+    All three are stored and noted in ``scratch``; what they were made from is removed.
+    """
+    spark, sent, used = docs.sparkSession, [], []
     fragments = fragment_count(docs, text_col, 1.0)
     sets = stored(
-        shared_features(docs, id_col, text_col, _features(words), _candidates_of(percent), _SET, fragments), "ngram-sets"
+        shared_features(docs, id_col, text_col, _features(words), _candidates_of(percent), _SET, fragments), "ngram-sets", sent
     )
     classes = sets.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     members = sets.join(classes, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "digest", F.coalesce("class_id", "doc_id").alias("class_id")
     )
+    members = stored(members, "ngram-members", scratch)
     shared = sets.filter(F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(
         F.min(F.struct("doc_id", "n", "tokens")).alias("s")
     ).select(F.col("s.doc_id").alias("id"), "s.n", "s.tokens")
-    shared = stored(shared, "ngram-classes")
-    total = shared.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    shared = stored(shared, "ngram-classes", scratch)
+    remove(spark, sent)
+    with shuffles_removed(spark):
+        total = shared.agg(F.sum(F.size("tokens"))).first()[0] or 0
     bits = min(24, max(3, math.ceil(math.log2(max(total, 1) / PART_TOKENS))))
     segments = _cut(shared, SLICES.bit_length() - 1)
-    lists = stored(_prefix_lists(shared, bits, percent), "ngram-prefixes")
+    lists = stored(_prefix_lists(shared, bits, percent), "ngram-prefixes", used)
 
     pairs = lists.groupBy("part").applyInArrow(_hub_pairs(percent), PAIR).distinct()
-    links = stored(_overlaps(pairs, segments, percent), "ngram-links")
-    groups = components(links)
+    links = stored(_overlaps(pairs, segments, percent), "ngram-links", used)
+    groups = components(links, used)
     marked = lists.join(groups, F.col("id") == F.col("node"), "left").select(
         "part", "id", "n", "s", "tokens", F.coalesce("component", "id").alias("component")
     )
-    crossed = stored(marked.groupBy("part").applyInArrow(_crossings(percent), f"{PAIR}, large boolean").distinct(), "ngram-crossings")
+    crossed = stored(marked.groupBy("part").applyInArrow(_crossings(percent), f"{PAIR}, large boolean").distinct(), "ngram-crossings", used)
     few = _overlaps(crossed.filter(~F.col("large")).drop("large"), segments, percent)
-    bundles = components(crossed.filter("large").select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("bundle"))
+    bundles = components(crossed.filter("large").select("a", "b"), used).select(F.col("node").alias("id"), F.col("component").alias("bundle"))
     many = _block_links(shared, bundles, groups, percent)
-    return members, stored(links.union(few).union(many), "ngram-links"), shared
+    links = stored(links.union(few).union(many), "ngram-links", scratch)
+    remove(spark, used)
+    return members, links, shared
 
 
 def similar_groups(
-    docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True
+    docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True,
+    scratch: list[str] | None = None,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id, n_links``: each document with its group.
 
     ``component_id`` is the smallest id that links reach. ``n_links`` counts the other classes that the document's
     class links with, all of them (null without ``count_links``): links never leave a group, so every group is
     compared in itself, in blocks of ``BLOCK_CLASSES``, and only counts leave a block. See ``ngram_join`` for empty
-    and null values.
+    and null values. ``scratch`` gets the folders that the result reads.
     """
-    members, links, classes = _join(docs, words, percent, id_col, text_col)
-    groups = stored(components(links), "ngram-groups")
+    scratch = [] if scratch is None else scratch
+    members, links, classes = _join(docs, words, percent, id_col, text_col, scratch)
+    rounds: list[str] = []
+    groups = stored(components(links, rounds), "ngram-groups", scratch)
+    remove(docs.sparkSession, rounds)
     if count_links:
         counts = _link_counts(classes, groups, percent)
     else:

@@ -3,14 +3,18 @@
 import random
 from collections import defaultdict
 
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fablework.llm import ngram_join, passages
+from fablework.llm import common, ngram_join, passages
 from fablework.llm.components import components
 from fablework.llm.ngram_join import similar_groups
 from fablework.llm.passages import common_passages, compact_windows, repeated_passages, without_repeats
-from fablework.llm.common import remaining
+from fablework.llm.common import remaining, stored
+from fablework.session import shared_dir
 
 SCHEMA = "doc_id bigint, text string, n_shingles string, component_id string, kind string"
 
@@ -235,6 +239,58 @@ def test_edited_repeats_are_found_behind_many_hubs(spark, monkeypatch, small):
     assert {(r["doc_id"], r["kept_doc_id"]) for r in got if r["doc_id"] >= len(rows) - 2 and r["past_word"] - r["first_word"] >= 60} == pairs
 
 
+def kept_tables(spark, since=()):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    return sorted(p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in since and (p / "_SUCCESS").exists())
+
+
+def kept_shuffles(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {b for b in blocks.mkString(" ").split() if b.startswith("shuffle_")}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    before = kept_shuffles(spark)
+    rows, scratch = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id")), []
+    assert len(stored(rows, "sums", scratch).collect()) == 7 and not [b for b in kept_shuffles(spark) - before if b.endswith(".data")]
+    assert spark.conf.get(common._REMOVE_SHUFFLES) == "false" and Path(scratch[0].removeprefix("file:")).exists()
+    gone = scratch[0]
+    common.remove(spark, scratch)
+    assert scratch == [] and not Path(gone.removeprefix("file:")).exists()
+
+
+def test_operators_leave_only_the_tables_that_their_results_read(spark, corpus):
+    before = {p.name for p in Path(shared_dir(spark).removeprefix("file:")).iterdir()}
+    found, noted = repeated_passages(frame(spark, corpus)), []
+    assert kept_tables(spark, before) == ["passage-members", "passage-pairs"] and found.count()
+    before = {p.name for p in Path(shared_dir(spark).removeprefix("file:")).iterdir()}
+    groups = similar_groups(frame(spark, corpus), scratch=noted)
+    assert kept_tables(spark, before) == ["ngram-classes", "ngram-groups", "ngram-links", "ngram-members"] and groups.count() == len(corpus)
+    common.remove(spark, noted)
+    assert kept_tables(spark, before) == []
+
+
+def test_meetings_in_rounds_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SMALL_GROUP", 2)
+    monkeypatch.setattr(passages, "BLOCK_REGIONS", 16)
+    rng = random.Random(5)
+    base = words(rng, 90)
+    rows = []
+    for i in range(60):  # variants that agree in part with many and are similar to some
+        w = list(base)
+        for k in rng.sample(range(90), 8):
+            w[k] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words(rng, 20) + w + words(rng, 20))))
+    got, rounds = {}, {}
+    for n in (1000, 1):
+        monkeypatch.setattr(passages, "ROUND_BLOCKS", n)
+        made = []
+        monkeypatch.setattr(passages, "stored", lambda df, label, *a: (made.append(label), stored(df, label, *a))[1])
+        got[n] = sorted(map(tuple, repeated_passages(frame(spark, rows)).collect()), key=str)
+        rounds[n] = made.count("passage-partners")
+    assert got[1] == got[1000] and got[1] and rounds[1000] == 1 < rounds[1]
+
+
 def test_places_out_of_reach_are_told_from_open_ones():
     a, b = np.arange(60), np.concatenate([np.arange(1000, 1030), np.arange(60)])
     spot = np.where(b < 60, b, -1)
