@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.blocks import token_offsets
 from ..operators.ordinals import ID_BITS
 from ..operators.tokens import MAX_IDS
+from . import version_files
 from .readers import VOCAB_SCHEMA, escaped_piece
 
 
@@ -174,7 +175,10 @@ def write_version_tables(rows: DataFrame, columns: list[str], path: str) -> None
             )
         ).alias("value")
     )
-    documents.write.mode("overwrite").partitionBy("v", "part").text(path)
+    if version_files.file_system(path) is None:
+        documents.write.mode("overwrite").partitionBy("v", "part").text(path)
+    else:
+        version_files.write_documents(documents, path)
 
 
 def write_vocabulary(vocab: DataFrame, path: str) -> None:

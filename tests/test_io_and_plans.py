@@ -169,6 +169,24 @@ def test_versions_stop_at_the_first_gap(spark, tmp_path):
     ]
 
 
+def test_version_tables_take_few_tasks_and_keep_their_folders(spark, tmp_path):
+    wanted = [(v, i, f"g{v} {i}\n\"ü", None if v == 3 else "r") for v in range(60) for i in range(1 + v % 3)]
+    rows = spark.createDataFrame(wanted, "version bigint, row_idx bigint, generation string, role string")
+    for _ in range(2):  # the second time replaces the first
+        writers.write_version_tables(rows.filter("version <> 50"), ["generation", "role"], str(tmp_path / "t"))
+    assert sorted(p.name for p in (tmp_path / "t").glob("v=*/part=0")) == ["part=0"] * 59 and (tmp_path / "t" / "_SUCCESS").exists()
+    (tmp_path / "t" / "v=49" / ".left").write_text("{")
+    back = readers.read_version_tables(spark, str(tmp_path / "t"))
+    assert back.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    got = sorted((r["version"], r["row_idx"], r["row"]["generation"], r["row"]["role"]) for r in back.filter("version <> 3").collect())
+    assert got == [w for w in wanted if w[0] < 50 and w[0] != 3]
+    assert [r["row"] for r in back.filter("version = 3").collect()] == [{"generation": "g3 0\n\"ü", "role": None}]
+    (tmp_path / "t" / "v=2" / "part=0" / "table.json").write_text("{broken")
+    (tmp_path / "t" / "v=9" / "part=0" / "table.json").write_text('[{"columns": ["a"], "data": [["1"]]}, {"columns": ["a"], "data": [["2"]]}]')
+    rows = readers.read_version_tables(spark, str(tmp_path / "t")).select("version", "row").collect()
+    assert {r["version"] for r in rows} == set(range(50)) - {2} and [r["row"] for r in rows if r["version"] == 9] == [{"a": "1"}, {"a": "2"}]
+
+
 def test_vocabulary_file_keeps_quotes_and_order(spark, tmp_path):
     path = tmp_path / "v.vocab"
     path.write_text('<unk>\t0\n"\t-1\n▁\t-2\n', encoding="utf-8")
