@@ -95,6 +95,18 @@ def test_byte_pairs_are_encoded_where_the_text_is(spark):
     assert sorted(map(tuple, encoded.collect())) == sorted(map(tuple, joined.collect()))
 
 
+def test_decoding_moves_lists_and_no_single_tokens(spark):
+    vocab = tokens.bpe_vocabulary(spark.createDataFrame([("a", 1)], "w string, c bigint"), [])
+    ids = lambda t: [1] + [b + 3 for b in ("▁" + t.replace(" ", "▁")).encode()]
+    rows = [("s", 1, ids("one é")), ("s", 2, ids("two")[:-1] + [60000, None]), ("s", 3, []), ("s", 4, None), ("s", 5, [1]),
+            ("s", 6, ids("漢")[:-1]), (None, None, ids("x")), ("t", 7, ids("b")), ("t", 7, ids("ac"))]
+    found = tokens.decode_tokens(spark.createDataFrame(rows, "shard_key string, story_id bigint, tokens array<int>"), vocab)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "Generate" not in plan
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [("s", 1, "one é"), ("s", 2, "tw"), ("s", 5, ""), ("s", 6, "\ufffd"), (None, None, "x"), ("t", 7, "\u2596\ufffd\ufffdabc")], key=str)
+
+
 def test_a_merge_looks_at_its_own_places_alone():
     pieces = np.concatenate([[1, 2], np.full(200_000, 3)])
     part = merging.Part(pieces, np.array([2, 200_000]), np.array([5, 1]))
